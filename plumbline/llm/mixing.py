@@ -1,10 +1,10 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document of a source is to be taken target / size times on average. The whole part is taken surely; the
-fractional parts are rounded together: two documents meet, one passes mass to the other at random so that each keeps
-its expectation and one becomes 0 or 1, and the other one goes on. Meetings are in order of size, so the words taken
-stay within about one document of the target. They form a reduction tree: leaves of about LEAF documents of one
-source, then groups of FAN residuals, up to one residual per source, which a last coin decides.
+fractional parts are rounded together: two documents meet, one passes expected words to the other at random so that each
+keeps its expectation and one becomes 0 or 1, and the other one goes on. The longest meet first, so the words taken
+end within about one short document of the target. They form a reduction tree: leaves of about LEAF documents of one
+source, then groups of FAN residuals, up to one residual per source, which is rounded to the nearest, for the source's words to end nearest to their target.
 """
 
 from __future__ import annotations
@@ -63,29 +63,37 @@ def _coin(seed: int, *ids: int) -> float:
     return (xxhash.xxh64_intdigest(np.array(ids, np.int64).tobytes(), seed) >> 11) * 2.0**-53
 
 
-def pivotal(ids: list[int], p: list[float], seed: int = SEED) -> tuple[list[int], float]:
-    """Rounds the probabilities p in turn. Returns the 0/1 decisions, -1 for the one left open, and its mass
-    (-1.0 if none is left open)."""
+def pivotal(ids: list[int], p: list[float], size: list[int], seed: int = SEED) -> tuple[list[int], float]:
+    """Rounds the probabilities p in turn. Returns the 0/1 decisions, -1 for the one left open, and its mass (-1.0 if none
+    is left open).
+
+    What two documents exchange is words: one gains x / its size, the other loses x / its size, with x the most that
+    either direction allows and the direction drawn so that both keep their expectation. The expected words stay the
+    same at each step. A document of no words is decided by itself.
+    """
     out = [0] * len(ids)
     held, mass = -1, 0.0
     for i, b in enumerate(p):
         if b <= _EDGE or b >= 1 - _EDGE:
             out[i] = int(b > 0.5)
             continue
+        if size[i] == 0:
+            out[i] = int(_coin(seed, ids[i]) < b)
+            continue
         if held < 0:
             held, mass = i, b
             continue
-        both, u = mass + b, _coin(seed, ids[held], ids[i])
-        if both < 1:
-            stays = u * both < mass
-            out[i if stays else held] = 0
+        s, t = size[held], size[i]
+        up, down = min((1 - mass) * s, b * t), min(mass * s, (1 - b) * t)
+        x = up if _coin(seed, ids[held], ids[i]) * (up + down) < down else -down
+        mass, b = mass + x / s, b - x / t
+        if b <= _EDGE or b >= 1 - _EDGE:
+            out[i] = int(b > 0.5)
+            if mass <= _EDGE or mass >= 1 - _EDGE:
+                out[held], held = int(mass > 0.5), -1
         else:
-            stays = u * (2 - both) >= 1 - b
-            out[i if stays else held] = 1
-            both -= 1
-        held, mass = (held if stays else i), both
-        if mass <= _EDGE or mass >= 1 - _EDGE:
-            out[held], held = int(mass > 0.5), -1
+            out[held] = int(mass > 0.5)
+            held, mass = i, b
     if held >= 0:
         out[held] = -1
     return out, (mass if held >= 0 else -1.0)
@@ -93,8 +101,8 @@ def pivotal(ids: list[int], p: list[float], seed: int = SEED) -> tuple[list[int]
 
 def _level(seed: int):
     def f(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "h", "doc_id"], kind="stable")
-        taken, mass = pivotal(group["doc_id"].tolist(), group["p"].tolist(), seed)
+        group = group.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
+        taken, mass = pivotal(group["doc_id"].tolist(), group["p"].tolist(), group["size"].tolist(), seed)
         group["taken"] = np.array(taken, np.int32)
         group["p"] = np.where(group["taken"] < 0, mass, group["p"])
         return group[["doc_id", "rank", "leaf", "size", "h", "p", "taken"]]
@@ -128,9 +136,7 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
         rest = level.where("taken < 0").withColumn("leaf", F.floor(F.col("leaf") / FAN).cast("int")).drop("taken")
         level = written(rest.groupBy("rank", "leaf").applyInPandas(_level(seed), shape), "mixing")
         decided = decided.union(level.where("taken >= 0").select("doc_id", "rank", "taken"))
-    # 53 bits of another hash of the id: the last coin of each source
-    coin = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), 11) * F.lit(2.0**-53)
-    last = level.where("taken < 0").select("doc_id", "rank", (coin < F.col("p")).cast("int").alias("taken"))
+    last = level.where("taken < 0").select("doc_id", "rank", (F.col("p") >= 0.5).cast("int").alias("taken"))
     out = units.join(decided.union(last), ["doc_id", "rank"]).select("doc_id", "rank", (F.col("whole") + F.col("taken")).alias("n_copies"))
     return goal, out
 
