@@ -8,7 +8,9 @@ Blocks in order of (part, block) hold the documents in ascending doc_id order.
 
 from __future__ import annotations
 
+import itertools
 import os
+import unicodedata
 import uuid
 import zlib
 
@@ -24,55 +26,155 @@ from plumbline.llm.rans import Coder, Frequencies
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 PART_TOKENS = 1 << 23
-_CACHED = 400_000
-#: Of this Python worker: ids of chunks already seen, as bytes, by the tokenizer's path.
-_CACHE: dict[str, dict[str, bytes]] = {}
-_TOKENIZERS: dict = {}
+_CACHED = 500_000
+_JOINED = 2_000
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class ChunkIds(dict):
+    """The numbers of chunks of text already seen by this worker, and the ids of each.
+
+    Looking up a new chunk gives it the next number; its ids are found before they are used. When there are more than
+    _CACHED chunks, those met since the last time stay and the others go.
+    """
+
+    def __init__(self, path: str, width: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+        super().__init__()
+        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.new: list[str] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        """Keeps half of the numbers at most: the chunks that were used last."""
+        if len(self):
+            used = np.partition(self.used[: len(self)], len(self) // 2)[len(self) // 2]
+            stay = np.flatnonzero(self.used[: len(self)] > used)
+            ids = self.gather(stay)
+            size, names = self.size[stay], list(self)
+            self.clear()
+            for i, k in enumerate(stay.tolist()):
+                dict.__setitem__(self, names[k], i)
+        else:
+            ids, size = np.zeros(0, self.width), np.zeros(0, np.int64)
+        self.flat, self.end = ids, len(ids)
+        self.size = np.concatenate([size, np.zeros(_CACHED, np.int64)])
+        self.start = np.cumsum(self.size) - self.size
+        self.used, self.clock = np.zeros(len(self.size), np.int64), 0
+
+    def __missing__(self, chunk: str) -> int:
+        n = len(self)
+        self[chunk] = n
+        self.new.append(chunk)
+        return n
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of chunks, one after another."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[numbers] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self) > _CACHED:
+            self._forget()
+        chunks = [cut(t) for t in texts]
+        n = np.array([len(c) for c in chunks])
+        numbers = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, n.sum())
+        self._learn()
+        self.clock += 1
+        self.used[numbers] = self.clock
+        flat = self.gather(numbers)
+        ends = np.cumsum(self.size[numbers])[np.cumsum(n) - 1] * flat.itemsize
+        raw = flat.tobytes()
+        return [raw[x:y] for x, y in itertools.pairwise([0, *ends.tolist()])]
+
+    def _learn(self) -> None:
+        """Finds the ids of the new chunks. Words, which end in one id that ends a word, are encoded many at a time."""
+        first, found = len(self) - len(self.new), [b""] * len(self.new)
+        words = [i for i, c in enumerate(self.new) if c.isalpha()]
+        odd = [i for i, c in enumerate(self.new) if c and not c.isalpha()]
+        parts = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join([self.new[i] for i in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):  # letters to Python but not to the tokenizer
+                odd += part
+                continue
+            raw, at = ids.astype(self.width).tobytes(), (ends * np.dtype(self.width).itemsize).tolist()
+            for i, x, y in zip(part, [0, *at[:-1]], at, strict=True):
+                found[i] = raw[x:y]
+        for k in range(0, len(odd), 20_000):
+            part = odd[k : k + 20_000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([self.new[i] for i in part], add_special_tokens=False), strict=True):
+                found[i] = np.array(e.ids, self.width).tobytes()
+        more = np.frombuffer(b"".join(found), self.width)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.width).itemsize
+        if len(self) > len(self.size):
+            wide = np.zeros(2 * len(self), np.int64)
+            self.size, self.start, self.used = (np.concatenate([x, wide]) for x in (self.size, self.start, self.used))
+        if self.end + len(more) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 2 + len(more), self.width)])
+        self.flat[self.end : self.end + len(more)] = more
+        self.size[first : len(self)] = size
+        self.start[first : len(self)] = self.end + np.cumsum(size) - size
+        self.end += len(more)
+        self.new = []
+
+
+#: Of this Python worker, by path and width.
+_IDS: dict[tuple[str, str], ChunkIds] = {}
+_ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+_MARK = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))  # not the apostrophe, which can begin a piece of letters
+
+
+def cut(text: bytes) -> list[str]:
+    """A text in chunks whose ids, one after another, are the text's ids.
+
+    The tokenizer lower-cases and splits into runs of letters, digits and marks, which hold no white space. So a text can be
+    cut at spaces and newlines; A-Z can be lower-cased first if no characters would then combine in another way; and it
+    can be cut between an ASCII letter or digit and an ASCII mark, which makes far fewer different chunks.
+    """
+    if b"<|" not in text:
+        low = text.lower()
+        if text.isascii() or (unicodedata.is_normalized("NFC", text.decode("utf-8", "replace")) and unicodedata.is_normalized("NFC", low.decode("utf-8", "replace"))):
+            x = np.frombuffer(low, np.uint8)
+            if len(x) > 1:
+                letter, mark = _ALNUM[x], _MARK[x]
+                at = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+                low = np.insert(x, at, 32).tobytes() if len(at) else low
+            text = low
+    return text.decode("utf-8", "replace").replace("\n", " ").split(" ")
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
+def encode_texts(texts: list[bytes], path: str, width: str = "<u4") -> list[bytes]:
+    """The ids of each UTF-8 text as little-endian integers."""
+    if (path, width) not in _IDS:
+        _IDS[path, width] = ChunkIds(path, width)
+    return _IDS[path, width].encode(texts) if texts else []
 
-    The tokenizer never joins across an ASCII space or newline (its pieces hold no white space), so texts are cut
-    there, each different chunk is encoded once, and the ids are joined again.
-    """
-    cache = _CACHE.setdefault(path, {})
-    chunks = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*chunks).difference(cache))
-    if len(cache) + len(new) > _CACHED:
-        cache.clear()
-        new = list(set().union(*chunks))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for c, e in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, c)) for c in chunks]
-
-
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (binary: little-endian 16-bit integers; 32-bit for a vocabulary of over 65,536), the end id last."""
-    narrow = max(_tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16
+
+def vocabulary_size(path: str, end_id: int) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+
+
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, str]:
+    """doc_id and ids (binary), the end id last, and the width of an id: 16 bits, or 32 for a vocabulary of over 65,536."""
+    width = "<u2" if vocabulary_size(path, end_id) <= 1 << 16 else "<u4"
 
     def f(batches):
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], width).tobytes()
         for batch in batches:
             for b in slices(batch, "text"):
-                texts = [(x or b"").decode("utf-8", "replace") for x in b.column("text").to_pylist()]
-                ids = [x + end for x in encode_texts(texts, path)]
-                if narrow:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                ids = [x + end for x in encode_texts([x or b"" for x in b.column("text").to_pylist()], path, width)]
                 yield record(doc_id=b.column("doc_id"), ids=pa.array(ids, pa.binary()))
 
-    return documents_of(docs).mapInArrow(f, "doc_id long, ids binary"), "<u2" if narrow else "<u4"
+    return documents_of(docs).mapInArrow(f, "doc_id long, ids binary"), width
 
 
 def _counts(width: str, vocabulary: int):
@@ -119,7 +221,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, block_t
     spark = docs.sparkSession
     ids, width = encoded(docs, path, end_id)
     ids = written(ids, "ids")
-    vocabulary = max(_tokenizer(path).get_vocab_size(), end_id + 1)
+    vocabulary = vocabulary_size(path, end_id)
     counts = np.zeros(vocabulary, np.int64)
     for r in ids.select("ids").mapInArrow(_counts(width, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]  # a row per id of the vocabulary at most
