@@ -20,7 +20,7 @@ from plumbline.llm.common import documents_of, record, slices, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
-LEAF = 20_000
+LEAF = 4_000
 FAN = 64
 SEED = 20_240_601
 _EDGE = 1e-9
