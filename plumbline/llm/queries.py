@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import embedding_dedup, langid, line_dedup, minhash, mixing, tokens, toxicity
+from plumbline.llm import decontamination, embedding_dedup, langid, line_dedup, minhash, mixing, tokens, toxicity
 from plumbline.llm.common import table
 
 
@@ -43,13 +44,19 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_documents(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_mixing": op6_mixing, "op7_token_output": op7_token_output, "op9_minhash": op9_minhash}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_mixing": op6_mixing, "op7_token_output": op7_token_output, "op8_decontamination": op8_decontamination, "op9_minhash": op9_minhash}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
@@ -62,4 +69,20 @@ judged as (select keyed.*, coalesce(last <> doc_id, false) as gone from keyed le
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from judged group by doc_id""",
+    "op8_decontamination": f"""
+with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD}) as ws
+  from documents where doc_id is not null),
+items as (select item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), {_WORD}) as ws
+  from benchmark where item_id is not null and text is not null),
+cuts as (select item_id, ws, unnest(range(greatest(len(ws) - 10, 0) + 1)) as i from items where len(ws) > 0),
+windows as (select distinct cast(item_id as varchar) as item_id, least(len(ws), 10) as n, array_to_string(ws[i + 1 : i + 10], ' ') as w from cuts),
+lengths as (select distinct n from windows),
+places as (select doc_id, ws, n, unnest(range(greatest(len(ws) - n + 1, 0))) as i from docs, lengths),
+grams as (select doc_id, n, i, array_to_string(ws[i + 1 : i + n], ' ') as w from places),
+hits as (select doc_id, grams.n, i, item_id from grams join windows using (w)),
+spots as (select doc_id, count(distinct i + j) as n_hit from (select doc_id, i, unnest(range(n)) as j from hits) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hits) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join spots using (doc_id) left join named using (doc_id)""",
 }
