@@ -126,3 +126,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     rows = rows.select("doc_id", "n_words", covered.alias("n_hit"), ids.alias("item_ids"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without the documents that hold a match, all columns kept. Rows without a doc_id stay."""
+    bad = written(contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["_id"], "left_anti")

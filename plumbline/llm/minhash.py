@@ -212,3 +212,14 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     ids = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("comp"))
     own = F.coalesce("comp", "doc_id")
     return rows.join(ids, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one of the smallest doc_id, all columns kept. Of rows that repeat its
+    doc_id one stays; rows without a doc_id all stay."""
+    stay = near_documents(docs, shingle, percent).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    stay = written(stay, "kept")
+    once = docs.join(stay.where("_n = 1"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    if not stay.where("_n > 1").isEmpty():
+        once = once.unionByName(docs.join(stay.where("_n > 1"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -12,7 +12,7 @@ table of weights by hashed subsequence, and scoring a word is a sum of table ent
 the landmarks.
 
 The curve is fitted on documents that a machine trained on the others hasn't seen, then the machine on all of them. Fitted on a
-bounded sample: up to SAMPLE documents of each label, chosen by a hash of doc_id, of up to SAMPLE_BYTES bytes.
+bounded sample: up to SAMPLE toxic and CLEAN * SAMPLE clean documents, chosen by a hash of doc_id, of up to SAMPLE_BYTES bytes.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import documents_of, record, slices
 from plumbline.llm.langid import held_out
 
-SAMPLE = 1500
+SAMPLE = 1200
+CLEAN = 3
 SAMPLE_BYTES = 1 << 17
 LANDMARKS = 128
-NEGATIVES = 12_000
-ROUNDS = 4
+NEGATIVES = 9_000
+ROUNDS = 3
 COST = 4.0
 #: A clean word weighs (1 + its documents) to this power; a toxic one, its documents.
-POWER = 0.4
+POWER = 0.5
 #: The score from which an unclear word of toxic documents becomes positive.
 EXPAND = 0.0
 DECAY = 0.6
@@ -107,14 +108,18 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine by Newton's method on the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-3
-    w = np.zeros(x.shape[1])
+    m = x.shape[1]
+    w = np.zeros(m + 1)
     for _ in range(20):
-        inside = y * (x @ w) < 1
-        a = x[inside] * (c * weight[inside])[:, None]
-        new = np.linalg.solve(ridge + a.T @ x[inside], a.T @ y[inside])
+        lhs, rhs = np.eye(m + 1), np.zeros(m + 1)
+        lhs[-1, -1] = 1e-3
+        for at in range(0, len(x), 2048):
+            part = np.hstack([x[at : at + 2048].astype(np.float64), np.ones((len(x[at : at + 2048]), 1))])
+            inside = y[at : at + 2048] * (part @ w) < 1
+            part, k = part[inside], (c * weight[at : at + 2048])[inside]
+            lhs += (part * k[:, None]).T @ part
+            rhs += part.T @ (k * y[at : at + 2048][inside])
+        new = np.linalg.solve(lhs, rhs)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -226,7 +231,8 @@ def _machine(words: list[str], bags: list[np.ndarray], y: np.ndarray, use: np.nd
         values, vecs = np.linalg.eigh((kmm + kmm.T) / 2)
         keep = values > 1e-4 * values.max()
         root = vecs[:, keep] / np.sqrt(values[keep])
-        x = np.concatenate([kernel([words[i] for i in part], marks) @ root for part in (pos, neg)])
+        every = np.concatenate([pos, neg])
+        x = np.concatenate([(kernel([words[i] for i in every[k : k + 2048]], marks) @ root).astype(np.float32) for k in range(0, len(every), 2048)])
         sign = np.repeat([1.0, -1.0], [len(pos), len(neg)])
         weight = np.concatenate([bad[pos].astype(float), (1.0 + good[neg]) ** POWER])
         if len(neg):
@@ -237,7 +243,7 @@ def _machine(words: list[str], bags: list[np.ndarray], y: np.ndarray, use: np.nd
         for a, mark in zip(alpha, marks, strict=True):
             _, k, v, norm = subsequences([mark])
             np.add.at(table, k, a * v / norm[0])
-        s = np.concatenate([table_scores(words[i : i + 20_000], table, bias) for i in range(0, len(words), 20_000)])
+        s = np.concatenate([table_scores(words[i : i + 8_000], table, bias) for i in range(0, len(words), 8_000)])
         if step == ROUNDS - 1:
             break
         positive |= (bad > 1) & (good == 0) & (s > EXPAND)
@@ -256,10 +262,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     u = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(u < F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / max(1, n.get(1, 0))))).otherwise(F.lit(min(1.0, sample / max(1, n.get(0, 0))))))
-    rows = documents_of(docs).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES)  # about 2 * SAMPLE rows of two numbers
-    got = sorted((r["doc_id"], bytes(r["text"]), r["toxic"]) for r in rows.collect())
-    return train([t.decode("utf-8", "replace") for _, t, _ in got], [y for _, _, y in got])
+    chosen = known.where(u < F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / max(1, n.get(1, 0))))).otherwise(F.lit(min(1.0, CLEAN * sample / max(1, n.get(0, 0))))))
+    rows = documents_of(docs).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES)  # about (1 + CLEAN) * SAMPLE rows of two numbers
+
+    def f(batches):
+        got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
+        m = train([t.decode("utf-8", "replace") for _, t, _ in got], [y for _, _, y in got])
+        yield record(table=pa.array([None if m.table is None else m.table.astype("<f4").tobytes()], pa.binary()), bias=[float(m.bias)], curve=pa.array([m.curve.tolist()], pa.list_(pa.float64())), prior=[float(m.prior)])
+
+    # one task, since the sample is bounded
+    r = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(f, "table binary, bias double, curve array<double>, prior double").first()
+    if r is None:
+        return Model(None, 0.0, np.zeros(5), 0.0)
+    return Model(None if r["table"] is None else np.frombuffer(r["table"], "<f4").astype(np.float64), r["bias"], np.array(r["curve"]), r["prior"])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -280,3 +295,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, learnt from labels that are not held out."""
     return scored(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that score as toxic, all columns and all other rows kept (also those without a doc_id)."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def f(batches):
+        cache: dict[str, float] = {}
+        for batch in batches:
+            for b in slices(batch, "text"):
+                s = sent.value.score([x or "" for x in b.column("text").to_pylist()], cache)
+                yield b.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(f, docs.schema)
