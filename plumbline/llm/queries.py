@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, embedding_dedup, langid, line_dedup, minhash, mixing, substring_dedup, tokens, toxicity
+from plumbline.llm import decontamination, embedding_dedup, langid, line_dedup, minhash, mixing, passages, substring_dedup, tokens, toxicity
 from plumbline.llm.common import table
 
 
@@ -57,7 +57,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_documents(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_mixing": op6_mixing, "op7_token_output": op7_token_output, "op8_decontamination": op8_decontamination, "op9_minhash": op9_minhash}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.documents_with_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_mixing": op6_mixing, "op7_token_output": op7_token_output, "op8_decontamination": op8_decontamination, "op9_minhash": op9_minhash, "op10_passages": op10_passages}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
