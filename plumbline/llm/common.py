@@ -6,6 +6,7 @@ a batch (and by one row, if that is larger), never by a partition or a group.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -42,6 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the text as UTF-8 bytes (null stays null), and the named columns; other columns are left behind,
     whatever their names. Rows without a doc_id have no identity and are left out."""

@@ -19,7 +19,6 @@ fingerprinted whole, each by itself.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents_of, mix64, record, slices, written
+from plumbline.llm.common import documents_of, mix64, record, slices, tidy, written
 
 LENGTH = 200
 REACH = 128
@@ -132,15 +131,19 @@ def _sent(shards: int, length: int):
             k = np.concatenate(keys)
             n = np.concatenate(sizes)
             first, inverse, count = _distinct(k)
+            turn = np.argsort(first)  # contexts are numbered as they come, which packs well
+            place = np.empty_like(turn)
+            place[turn] = np.arange(len(turn))
+            first, inverse, count = first[turn], place[inverse], count[turn]
             shard = (k["g"][first] % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((first, shard))
+            order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             ids, blobs = [0], [b"D" + zlib.compress(np.array([len(docs)], "<i8").tobytes() + np.array(docs, "<i8").tobytes() + np.array(hashes, "<i8").tobytes() + n.astype("<i4").tobytes() + np.array([len(first)], "<i8").tobytes() + first.astype("<i4").tobytes() + inverse.astype("<i4").tobytes(), 1)]
             for s in range(shards):
                 j = order[cuts[s] : cuts[s + 1]]
                 if len(j):
                     ids.append(s)
-                    blobs.append(b"K" + k[first[j]].tobytes() + j.astype("<i4").tobytes() + (count[j] > 1).astype("u1").tobytes())
+                    blobs.append(_packed(k[first[j]], j, count[j] > 1))
             return record(shard=np.array(ids, np.int64), run=np.full(len(ids), name, np.int64), blob=pa.array(blobs, pa.binary()))
 
         for batch in batches:
@@ -161,6 +164,27 @@ def _sent(shards: int, length: int):
     return f
 
 
+def _packed(keys: np.ndarray, places: np.ndarray, many: np.ndarray) -> bytes:
+    """Keys with 48 bits of either fingerprint (the shard tells some more), their ascending places as steps, and a bit each."""
+    step = np.diff(places, prepend=0)
+    width = "<u2" if step.max() < 1 << 16 else "<u4"
+    bits = [np.ascontiguousarray(keys[c]).view("u1").reshape(-1, 8)[:, 2:].tobytes() for c in ("g", "a")]
+    return b"K" + width[-1:].encode() + len(keys).to_bytes(4, "little") + b"".join(bits) + step.astype(width).tobytes() + np.packbits(many).tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width, n, at = "<u" + chr(blob[1]), int.from_bytes(blob[2:6], "little"), 6
+    keys = np.zeros(n, _KEY)
+    for c in ("g", "a"):
+        raw = np.zeros((n, 8), np.uint8)
+        raw[:, 2:] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
+        keys[c] = raw.view("<u8").reshape(n)
+        at += 6 * n
+    step = np.frombuffer(blob, width, n, at)
+    many = np.unpackbits(np.frombuffer(blob, np.uint8, offset=at + step.nbytes), count=n)
+    return keys, np.cumsum(step, dtype=np.int64), many
+
+
 def _text_hash(text: bytes) -> int:
     """As Spark's xxhash64."""
     h = xxhash.xxh64_intdigest(text, 42)
@@ -211,11 +235,11 @@ def _judged(batches):
                 yield from rows()
                 runs, keys, places, many = [], [], [], []
             shard = s
-            n = (len(blob) - 1) // (_KEY.itemsize + 5)
+            k, at, twice = _unpacked(blob)
             runs.append(name)
-            keys.append(np.frombuffer(blob, _KEY, n, 1))
-            places.append(np.frombuffer(blob, "<i4", n, 1 + n * _KEY.itemsize))
-            many.append(np.frombuffer(blob, "u1", n, 1 + n * (_KEY.itemsize + 4)))
+            keys.append(k)
+            places.append(at)
+            many.append(twice)
     if keys:
         yield from rows()
 
@@ -395,12 +419,6 @@ def _cut(length: int):
     return f
 
 
-def _tidy(spark) -> None:
-    """Lets Spark delete the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay, null where
     nothing goes).
@@ -418,16 +436,16 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     sent = base.mapInArrow(_sent(shards, length), "shard long, run long, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
     judged = sent.mapInArrow(_judged, "run long, blob binary").repartition("run").sortWithinPartitions("run")
     flags = written(judged.mapInArrow(_flagged, "d long, h long, flags binary").dropDuplicates(["d", "h"]), "flags")
-    _tidy(spark)
+    tidy(spark)
     own = base.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(b""))))
     joined = own.join(flags.withColumnRenamed("h", "fh"), (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("fh")), "left").select("doc_id", "h", "text", "flags")
     split = written(joined.mapInArrow(_split, "doc_id long, h long, n_bytes long, flags binary, sha string, text binary"), "parsed")
-    _tidy(spark)
+    tidy(spark)
     some = split.where("flags is not null")
     contexts = some.select("doc_id", "h", "text", "flags").dropDuplicates(["doc_id", "h"]).mapInArrow(_contexts(length), "g long, doc_id long, h long, at long, most long, least long, open boolean, left binary, right binary")
     starts = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(length), "d long, dh long, start long")
     starts = written(starts.groupBy("d", "dh").agg(F.collect_list("start").alias("starts")), "starts")
-    _tidy(spark)
+    tidy(spark)
     both = some.join(starts, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("dh")), "left").select("doc_id", "n_bytes", "text", "flags", "starts")
     changed = both.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     same = split.where("flags is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
