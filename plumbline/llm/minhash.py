@@ -5,10 +5,11 @@ smallest and the largest image of the set: two values for one evaluation, each e
 their Jaccard similarity. ROWS values make a band; documents that share a band are candidates (at similarity 0.8 fewer than 4 pairs in
 a million are missed, at 0.85 none to speak of), and a link is confirmed on the whole sets.
 
-Only components are wanted, so pairs of the same component needn't be confirmed. Documents with equal sets are one class.
-First each class is tried with its best partner among few pivots of its buckets; then, until nothing is left, the candidates
-between different components, the most similar ones first. A pair is passed over only if the signatures rule the similarity out
-(by over five standard deviations) or its sides are connected already.
+Only components are wanted, so pairs of the same component needn't be confirmed, and pairs never leave a task. Documents
+with equal sets are one class. First each class is tried with its best partner among few pivots of its buckets. Then the members of
+different components that share a bucket are compared within it, in blocks, and the bucket returns a spanning forest of
+the links. A pair is passed over only if the signatures rule the similarity out (by over five standard deviations) or if its sides are
+connected already.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.buckets import block_pairs, groups
-from plumbline.llm.common import documents_of, record, slices, written
-from plumbline.llm.components import components
+from plumbline.llm.common import documents_of, record, slices, tidy, written
+from plumbline.llm.components import Forest, components
 
 PERMUTATIONS = 48
 ROWS = 4
+#: Members of a bucket whose sets are in one task, twice.
+SETS = 1024
 _CACHED = 300_000
 _rng = np.random.default_rng(20_240_602)
 _XOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -126,28 +129,88 @@ def _alike(batches):
 
 
 def _across(least: int, percent: int):
-    """Buckets (their rows with component, set size and signature) to their pairs of different components that may be links."""
+    """Buckets (their rows with component, set size, signature and bands) to their members that may have a link to another
+    component for which this is the first bucket in common. Pairs stay within the task."""
 
     def f(batches):
         for g in groups(batches, ["band", "key", "lo", "hi"]):
-            own, lo, hi = g.column("own").to_numpy(), g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
+            own, lo, hi, band = g.column("own").to_numpy(), g.column("lo")[0].as_py(), g.column("hi")[0].as_py(), g.column("band")[0].as_py()
             ids, comp, n = (g.column(c).to_numpy() for c in ("doc_id", "comp", "n"))
             if (comp == comp[0]).all():
                 continue
             sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-            names, size = np.unique(comp, return_counts=True)
-            few = np.flatnonzero(comp != names[size.argmax()])  # each pair sought has a side here
-            for i in few.tolist():
-                other = (comp != comp[i]) & ~((comp != names[size.argmax()]) & (ids <= ids[i]))
-                other &= (own != own[i]) if lo != hi else True
-                other &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-                j = np.flatnonzero(other)
-                if not len(j):
-                    continue
-                same = (sig[j] == sig[i]).sum(axis=1)
-                j, same = j[same >= least], same[same >= least]
+            bands = g.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            wanted = np.zeros(len(ids), bool)
+            for i, others in open_pairs(comp, n, percent):
+                j = others[(own[others] != own[i]) | (lo == hi)]
+                j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+                j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
                 if len(j):
-                    yield record(u=np.minimum(ids[j], ids[i]), v=np.maximum(ids[j], ids[i]), cu=np.minimum(comp[j], comp[i]), cv=np.maximum(comp[j], comp[i]), same=same.astype(np.int64))
+                    wanted[i] = True
+                    wanted[j] = True
+            if wanted.any():
+                yield record(band=np.full(wanted.sum(), band, np.int64), key=np.full(wanted.sum(), g.column("key")[0].as_py(), np.int64), doc_id=ids[wanted])
+
+    return f
+
+
+def open_pairs(comp: np.ndarray, n: np.ndarray, percent: int):
+    """Each member outside the largest component, with the members of other components whose set size allows a link. Each pair
+    of different components' members is there at least once."""
+    names, size = np.unique(comp, return_counts=True)
+    most = names[size.argmax()]
+    for i in np.flatnonzero(comp != most).tolist():
+        fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        fits[:i] &= comp[:i] == most  # the others have met already
+        j = np.flatnonzero(fits)
+        if len(j):
+            yield i, j
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b: products of incidence matrices, some thousand
+    elements at a time."""
+    flat = np.concatenate([*a, *b])
+    kinds, place = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(kinds), 8192):
+        lo, hi = np.searchsorted(place, [at, at + 8192])
+        m = np.zeros((len(a) + len(b), min(8192, len(kinds) - at)), np.float32)
+        m[row[lo:hi], place[lo:hi] - at] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _joined(percent: int):
+    """Buckets (their rows with component and set) to links between components, a spanning forest of them."""
+
+    def f(batches):
+        for g in groups(batches, ["band", "key", "lo", "hi"]):
+            ids, comp, n = (g.column(c).to_numpy() for c in ("doc_id", "comp", "n"))
+            if (comp == comp[0]).all():
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in g.column("s").to_pylist()]
+            names, size = np.unique(comp, return_counts=True)
+            few, every = np.flatnonzero(comp != names[size.argmax()]), np.arange(len(ids))
+            forest, u, v = Forest(), [], []
+            for p in range(0, len(few), 256):
+                x = few[p : p + 256]
+                for q in range(0, len(every), 256):
+                    y = every[q : q + 256]
+                    apart = comp[x][:, None] != comp[y][None, :]
+                    if not apart.any():
+                        continue
+                    both = common_counts([sets[i] for i in x], [sets[j] for j in y])
+                    linked = apart & (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both))
+                    for i, j in np.argwhere(linked).tolist():
+                        if forest.join(int(comp[x[i]]), int(comp[y[j]])):
+                            u.append(int(ids[x[i]]))
+                            v.append(int(ids[y[j]]))
+            if u:
+                yield record(u=np.array(u, np.int64), v=np.array(v, np.int64))
 
     return f
 
@@ -185,30 +248,19 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     both = likely.union(likely.select(F.col("v").alias("u"), F.col("u").alias("v"), "same"))
     best = both.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        sets = written(documents_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary"), "sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sb")), "v")
-        return written(both.mapInArrow(_confirmed(percent), "u long, v long, ok boolean"), "confirmed")
-
-    done = confirm(best)
-    links = done.where("ok").select("u", "v").union(shared)
-    share = 8
-    while True:
-        roots = written(components(links), "roots")
-        named = buckets.select("band", "key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
-        mixed = named.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band", "key")
-        open_rows = named.join(mixed, ["band", "key"], "left_semi").join(sig, "doc_id")
-        left = block_pairs(open_rows, ["band", "key"], "doc_id").mapInArrow(_across(least, percent), "u long, v long, cu long, cv long, same long").distinct()
-        left = left.join(done.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-        order = Window.partitionBy("cu", "cv").orderBy(F.col("same").desc(), "u", "v")
-        now = written(left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("v", "u").toDF("u", "v"), "pairs")  # the rest: next round
-        if now.isEmpty():
-            break
-        more = confirm(now)
-        done = done.union(more)
-        links = links.union(more.where("ok").select("u", "v"))
-        share *= 16
+    ids = buckets.select("doc_id").distinct()  # one shuffle of texts for all comparisons
+    sets = written(documents_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary"), "sets")
+    tidy(docs.sparkSession)
+    both = best.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sb")), "v")
+    links = written(both.mapInArrow(_confirmed(percent), "u long, v long, ok boolean").where("ok").select("u", "v"), "links").union(shared)
+    roots = written(components(links), "roots")
+    named = buckets.select("band", "key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select(F.col("band").cast("long").alias("band"), "key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
+    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band", "key")
+    open_rows = named.join(mixed, ["band", "key"], "left_semi").join(reps, "doc_id")
+    wanted = written(block_pairs(open_rows, ["band", "key"], "doc_id").mapInArrow(_across(least, percent), "band long, key long, doc_id long").distinct(), "wanted")
+    compared = wanted.join(named, ["band", "key", "doc_id"]).join(reps.select("doc_id", "n"), "doc_id").join(sets, "doc_id")
+    more = written(block_pairs(compared, ["band", "key"], "doc_id", SETS).mapInArrow(_joined(percent), "u long, v long"), "links")
+    roots = written(components(links.union(more)), "roots")
     ids = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("comp"))
     own = F.coalesce("comp", "doc_id")
     return rows.join(ids, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
@@ -219,7 +271,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     doc_id one stays; rows without a doc_id all stay."""
     stay = near_documents(docs, shingle, percent).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
     stay = written(stay, "kept")
-    once = docs.join(stay.where("_n = 1"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    if not stay.where("_n > 1").isEmpty():
-        once = once.unionByName(docs.join(stay.where("_n > 1"), docs["doc_id"].cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    one, more = stay.where("_n = 1"), stay.where("_n > 1")
+    once = docs.join(one, docs["doc_id"].cast("long") == one["_id"], "left_semi")
+    if not more.isEmpty():
+        once = once.unionByName(docs.join(more, docs["doc_id"].cast("long") == more["_id"], "left_semi").dropDuplicates(["doc_id"]))
     return once.unionByName(docs.where(docs["doc_id"].isNull()))
