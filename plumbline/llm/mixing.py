@@ -155,7 +155,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns kept."""
-    chosen = mix(docs.select("doc_id", "text", "source"), **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "n_copies").distinct()
-    both = docs.join(chosen, (docs["doc_id"].cast("long") == chosen["_id"]) & docs["source"].cast("string").eqNullSafe(chosen["_source"]))
-    times = F.explode(F.sequence(F.lit(1), F.col("n_copies")))
-    return both.where("n_copies > 0").select(*[docs[c] for c in docs.columns], times.alias("_copy")).drop("_copy")
+    chosen = mix(docs.select("doc_id", "text", "source"), **how).where("n_copies > 0").select("doc_id", "source", "n_copies").distinct()
+    both = docs.join(chosen, (docs["doc_id"].cast("long") == chosen["doc_id"]) & docs["source"].cast("string").eqNullSafe(chosen["source"]))
+    times = F.explode(F.sequence(F.lit(1), chosen["n_copies"])).alias("_plumbline_copy")
+    return both.select(*[docs[c] for c in docs.columns], times).drop("_plumbline_copy")
