@@ -1 +1 @@
-
+"""Structured Streaming: nothing here. All inputs are bounded tables; the rewriting batch is polled, not streamed."""
