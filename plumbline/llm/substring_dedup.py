@@ -12,6 +12,10 @@ corpus order of strings is the order of (phrase suffix, parse suffix). No suffix
    sorted backwards, with common lengths) and parse suffix array (parse suffixes sorted, with common lengths) give for each
    split of the string a class on either side, and strings are equal if both classes are.
 
+A group may hold a third of all triggers, with as many contexts (a common line in different company). Such hot groups are found
+on a sample first; which ones are found decides the way, not the result. Their fingerprints are dealt by context, and in place of
+contexts their strings are compared, each a row that is counted before and after a shuffle.
+
 Fingerprints travel packed, a row for each run of documents and shard, and a fingerprint that repeats within a run goes once; so
 one passage in a third of all documents is no large group. Strings without a trigger in their first REACH bytes are
 fingerprinted whole, each by itself.
@@ -39,6 +43,8 @@ SHARD_BYTES = 16 << 20
 RUN_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 COMPARED = 20_000
+#: A group with more contexts than this, or than this share of all triggers, is hot; found on one of SAMPLED documents.
+HOT, HOT_SHARE, SAMPLED = 20_000, 2e-6, 64
 _rng = np.random.default_rng(20_240_603)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(0, 1 << 62)) * 2 + 1
@@ -115,7 +121,29 @@ class Parse:
         return out
 
 
-def _sent(shards: int, length: int):
+def _groups(length: int):
+    """Documents to their groups and how many different contexts a batch has of each."""
+
+    def f(batches):
+        for batch in batches:
+            for b in slices(batch, "text", SLICE_BYTES):
+                k = Parse([t or b"" for t in b.column("text").to_pylist()], length).keys()
+                first, _, _ = _distinct(k)
+                g, n = np.unique(k["g"][first], return_counts=True)
+                yield record(g=g.view(np.int64), n=n.astype(np.int64))
+
+    return f
+
+
+def hot_groups(base: DataFrame, length: int, total: int) -> np.ndarray:
+    """The hot groups: 1 / HOT_SHARE of them at most, about."""
+    limit = max(HOT, HOT_SHARE * total / EVERY) / SAMPLED
+    some = base.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SAMPLED)) == 0)
+    rows = some.mapInArrow(_groups(length), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    return np.sort(np.array([r["g"] for r in rows.select("g").collect()], np.int64).view(np.uint64))
+
+
+def _sent(shards: int, length: int, hot: np.ndarray):
     """Documents to packed fingerprints by shard, and for each run the documents in it."""
 
     def f(batches):
@@ -135,7 +163,9 @@ def _sent(shards: int, length: int):
             place = np.empty_like(turn)
             place[turn] = np.arange(len(turn))
             first, inverse, count = first[turn], place[inverse], count[turn]
-            shard = (k["g"][first] % np.uint64(shards)).astype(np.int64)
+            by = k["g"][first]
+            by = np.where(np.isin(by, hot), mix64(by ^ k["a"][first]), by)
+            shard = (by % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             ids, blobs = [0], [b"D" + zlib.compress(np.array([len(docs)], "<i8").tobytes() + np.array(docs, "<i8").tobytes() + np.array(hashes, "<i8").tobytes() + n.astype("<i4").tobytes() + np.array([len(first)], "<i8").tobytes() + first.astype("<i4").tobytes() + inverse.astype("<i4").tobytes(), 1)]
@@ -203,8 +233,12 @@ def _distinct(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[new], inverse, np.bincount(cls, minlength=0)
 
 
-def _judged(batches):
+def _judged(hot: np.ndarray):
     """All runs' fingerprints of a shard to what each is. Documents of runs pass through."""
+    return lambda batches: _judge(batches, hot & ~np.uint64(0xFFFF))
+
+
+def _judge(batches, hot: np.ndarray):
     shard, runs, keys, places, many = None, [], [], [], []
 
     def rows():
@@ -218,6 +252,7 @@ def _judged(batches):
         flag = np.where(repeated, SETTLED, 0)[inverse]
         one = np.zeros(len(k), bool)
         one[first] = True  # any of the context's triggers stands for it
+        mixed |= np.isin(group, hot)  # their other contexts are in other shards
         compare = mixed[inverse] & one
         flag = np.where(compare, np.where(flag == SETTLED, SAMPLE, OPEN), flag)
         got = np.flatnonzero(flag)
@@ -292,8 +327,31 @@ def _split(batches):
             )
 
 
-def _contexts(length: int):
-    """Documents with flags to the contexts of their triggers that are to be compared."""
+def _windows(length: int, hot: np.ndarray):
+    """Documents with flags to the strings that begin before their triggers of hot groups."""
+
+    def f(batches):
+        for batch in batches:
+            for b in slices(batch, "text", SLICE_BYTES):
+                p = Parse(b.column("text").to_pylist(), length)
+                flags = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in b.column("flags").to_pylist()])
+                use = np.flatnonzero((flags >= SAMPLE) & ~p.alone)
+                use = use[np.isin(p.keys()["g"][use], hot)]
+                many = p.most[use] - p.least[use] + 1
+                i = np.repeat(use, many)
+                start = np.repeat(p.at[use] - p.most[use] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                raw = p.x.tobytes()
+                for k in range(0, len(i), 50_000):
+                    j, q = i[k : k + 50_000], start[k : k + 50_000]
+                    w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a : a + length]) for a in q.tolist()), np.int64).reshape(-1, 2)
+                    doc = p.doc[j]
+                    yield record(w1=w[:, 0].copy(), w2=w[:, 1].copy(), d=b.column("doc_id").take(pa.array(doc)), dh=b.column("h").take(pa.array(doc)), start=q - p.begin[doc], open=pa.array(flags[j] == OPEN))
+
+    return f
+
+
+def _contexts(length: int, hot: np.ndarray):
+    """Documents with flags to the contexts of their triggers that are to be compared, but for hot groups."""
 
     def f(batches):
         for batch in batches:
@@ -304,7 +362,9 @@ def _contexts(length: int):
                 use = np.flatnonzero((flags >= SAMPLE) & ~p.alone)
                 if not len(use):
                     continue
-                g = p.keys()["g"][use].view(np.int64)
+                g = p.keys()["g"]
+                use = use[~np.isin(g[use], hot)]
+                g = g[use].view(np.int64)
                 raw = p.x.tobytes()
                 at, most, least, doc = p.at[use], p.most[use], p.least[use], p.doc[use]
                 yield record(
@@ -433,8 +493,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     base = documents_of(docs)
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    sent = base.mapInArrow(_sent(shards, length), "shard long, run long, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    judged = sent.mapInArrow(_judged, "run long, blob binary").repartition("run").sortWithinPartitions("run")
+    hot = hot_groups(base, length, total)
+    sent = base.mapInArrow(_sent(shards, length, hot), "shard long, run long, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    judged = sent.mapInArrow(_judged(hot), "run long, blob binary").repartition("run").sortWithinPartitions("run")
     flags = written(judged.mapInArrow(_flagged, "d long, h long, flags binary").dropDuplicates(["d", "h"]), "flags")
     tidy(spark)
     own = base.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(b""))))
@@ -442,8 +503,13 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     split = written(joined.mapInArrow(_split, "doc_id long, h long, n_bytes long, flags binary, sha string, text binary"), "parsed")
     tidy(spark)
     some = split.where("flags is not null")
-    contexts = some.select("doc_id", "h", "text", "flags").dropDuplicates(["doc_id", "h"]).mapInArrow(_contexts(length), "g long, doc_id long, h long, at long, most long, least long, open boolean, left binary, right binary")
+    once = some.select("doc_id", "h", "text", "flags").dropDuplicates(["doc_id", "h"])
+    contexts = once.mapInArrow(_contexts(length, hot), "g long, doc_id long, h long, at long, most long, least long, open boolean, left binary, right binary")
     starts = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(length), "d long, dh long, start long")
+    if len(hot):
+        strings = once.mapInArrow(_windows(length, hot), "w1 long, w2 long, d long, dh long, start long, open boolean")
+        twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        starts = starts.union(strings.where("open").join(twice, ["w1", "w2"], "left_semi").select("d", "dh", "start"))
     starts = written(starts.groupBy("d", "dh").agg(F.collect_list("start").alias("starts")), "starts")
     tidy(spark)
     both = some.join(starts, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("dh")), "left").select("doc_id", "n_bytes", "text", "flags", "starts")

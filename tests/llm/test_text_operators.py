@@ -92,6 +92,18 @@ def test_substrings(spark):
     assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
 
 
+def test_substrings_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
+    common = prose(70, 25)  # in different company each time
+    data = rows() + [(20 + i, f"{prose(80 + i % 9, 12)} {common} {prose(90 + i % 4, 30)}", None, None, 0) for i in range(30)]
+    base = table(spark, data)
+    assert len(substring_dedup.hot_groups(substring_dedup.documents_of(base), 200, 0)) > 3
+    got = substring_dedup.dedup_substrings(base).collect()
+    want = [(d, *x) for (d, *_), x in zip(data, summed([(r[1] or "").encode() for r in data], 200), strict=True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_substrings_of_repeated_rows(spark):
     data = [(1, prose(1, 100), None, None, 0), (1, prose(1, 100), None, None, 0), (1, prose(9, 100), None, None, 0)]
     got = sorted(r["n_removed"] for r in substring_dedup.dedup_substrings(table(spark, data)).collect())
