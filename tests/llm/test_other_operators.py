@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from plumbline.llm.components import components
 from plumbline.llm.queries import tokenizer_path
 from plumbline.llm.rans import Coder, Frequencies
 from tests.llm.helpers import Union, empty, prose, rows, table
+from tests.llm.test_text_operators import near_by_hand, windows_by_hand
 
 
 def test_components(spark):
@@ -220,9 +222,17 @@ def test_pipeline_and_entry(spark):
     assert {f"op{n}_" for n in range(1, 11)} <= {k[: k.index("_") + 1] for k in q if k.startswith("op")} and "pipeline" in q
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    stage = docs
+    stage, kept = docs, []
     for _, f in corpus_pipeline.STAGES[:4]:
         stage = f(spark, stage, d)
         assert stage.columns == docs.columns
+        kept.append([tuple(r) for r in stage.select("doc_id", "text").collect()])
+    clean, unlike, apart, mix_ = kept
+    score = {r["doc_id"]: r["predicted"] for r in toxicity.judged(docs, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    assert sorted(i for i, _ in clean) == sorted(i for i, y in score.items() if not y)
+    assert sorted(i for i, _ in unlike) == [r[0] for r in near_by_hand(clean, 5, 80) if r[3]]
+    items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
+    assert sorted(i for i, _ in apart) == [r[0] for r in windows_by_hand(unlike, items) if not r[5]]
+    assert {i for i, _ in mix_} <= {i for i, _ in apart} and max(Counter(i for i, _ in mix_).values()) <= 3
     want = sorted(r["doc_id"] for r in stage.collect())
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()) == want

@@ -232,10 +232,10 @@ def windows_by_hand(data, items, n=10):
     for d, t, *_ in data:
         w = word.findall((t or "").translate(LOW))
         hit, ids = set(), set()
-        for x, own in cut.items():
-            for k in range(len(w) - len(x) + 1):
-                if tuple(w[k : k + len(x)]) == x:
-                    hit |= set(range(k, k + len(x)))
+        for m in {len(x) for x in cut}:
+            for k in range(len(w) - m + 1):
+                if (own := cut.get(tuple(w[k : k + m]))) is not None:
+                    hit |= set(range(k, k + m))
                     ids |= own
         out.append((d, len(w), len(hit), len(ids), sorted(ids), bool(hit)))
     return sorted(out)
