@@ -11,9 +11,10 @@ def shuffled_limit(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
-def numbered(df: DataFrame, *order, name: str = "pos", blocks: int = 64) -> DataFrame:
+def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     """Rows numbered from 0 in a total order: ranks within ranges of the order, and each range's count added to those after it.
     One row a range meets in one task, never the rows."""
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both uses see the same ranges
     part = df.repartitionByRange(blocks, *order).withColumn("_p", F.spark_partition_id())
     part = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
@@ -21,9 +22,9 @@ def numbered(df: DataFrame, *order, name: str = "pos", blocks: int = 64) -> Data
     return part.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_b") - 1).drop("_p", "_r", "_b")
 
 
-def fixed_batches(df: DataFrame, order: str, size: int, blocks: int = 64) -> DataFrame:
+def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """batch: the number of the run of ``size`` rows that a row is in, by a unique key's order."""
-    return numbered(df, order, name="_pos", blocks=blocks).withColumn("batch", F.floor(F.col("_pos") / size)).drop("_pos")
+    return numbered(df, order, name="_pos").withColumn("batch", F.floor(F.col("_pos") / size)).drop("_pos")
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int | None, flag: str | None = None, order: Column | None = None) -> DataFrame:

@@ -6,20 +6,30 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(value: str, *by) -> Column:
-    """The rank within ``by``, the mean of the ranks of equal values."""
-    lower = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    return lower + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def ranks(df: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
+    """(by..., value, rank, rank_ties): the rank of each different value within ``by``, the mean of the ranks of equal ones, and how
+    many they are.
+
+    Equal values are counted first, then summed up within ranges of the values, and each range's total is added to those after
+    it: no group's rows meet in one task. The ranges come from one exchange, which both of its uses share.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both uses see the same ranges
+    part = counts.repartitionByRange(blocks, *by, value).withColumn("_p", F.spark_partition_id())
+    total = part.groupBy("_p", *by).agg(F.sum("_n").alias("_s"))
+    before = total.select("_p", *by, (F.sum("_s").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_s")).alias("_b"))
+    upto = F.sum("_n").over(Window.partitionBy("_p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return part.withColumn("_c", upto).join(before, ["_p", *by]).select(*by, value, (F.col("_b") + F.col("_c") - (F.col("_n") - 1) / F.lit(2.0)).alias(name), F.col("_n").alias(f"{name}_ties"))
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 10) -> DataFrame:
     """(by..., rho, n) for groups of at least ``least`` rows in which neither value is constant."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.select(*by, average_rank(x, *by).alias("_x"), average_rank(y, *by).alias("_y"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
+    ranked = rows.join(ranks(rows, "_vx", *by, name="_x"), [*by, "_vx"]).join(ranks(rows, "_vy", *by, name="_y"), [*by, "_vy"])
     g = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_x", "_y").alias("_c"), F.stddev_pop("_x").alias("_sx"), F.stddev_pop("_y").alias("_sy"))
     return g.where((F.col("n") >= least) & (F.col("_sx") > 0) & (F.col("_sy") > 0)).select(*by, F.try_divide("_c", F.col("_sx") * F.col("_sy")).alias("rho"), "n")
 
@@ -57,7 +67,7 @@ def signed_ranks(df: DataFrame, delta: str, *by: str) -> DataFrame:
     """(by..., n, w_plus, w_minus, ties): sums of the ranks of positive and negative deltas; zeros are left out. ties is the
     sum of t^3 - t over groups of equal size."""
     rows = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).select(*by, F.col(delta).alias("_d"), F.abs(delta).alias("_a"))
-    rows = rows.withColumn("_r", average_rank("_a", *by)).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, "_a")))
+    rows = rows.join(ranks(rows, "_a", *by, name="_r"), [*by, "_a"]).withColumn("_t", F.col("_r_ties"))
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"),
