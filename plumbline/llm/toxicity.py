@@ -212,10 +212,10 @@ def _machine(words: list[str], bags: list[np.ndarray], y: np.ndarray, use: np.nd
     n_bad, n_good = int(y.sum()), max(1, int((1 - y).sum()))
     rng = np.random.default_rng(seed)
     ratio = (bad / n_bad) / ((good + 0.5) / n_good)
-    order = np.lexsort((np.array(words), -ratio))
     positive = (bad >= (3 if n_bad >= 60 else 2)) & (ratio > 8)
     if not positive.any():
-        positive[order[:8]] = bad[order[:8]] > 0
+        order = sorted(np.flatnonzero(bad).tolist(), key=lambda i: (-ratio[i], words[i]))
+        positive[order[:8]] = True
     clean = np.flatnonzero(good)
     negative = np.zeros(len(words), bool)
     negative[clean[np.argsort(-good[clean], kind="stable")[: NEGATIVES // 3]]] = True
