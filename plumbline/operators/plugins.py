@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import rewrite_prompt, stems_pattern  # noqa: F401
+from plumbline.functions.text import token_count
 from plumbline.sources.config import TIERS, Config
 
 
@@ -27,6 +27,37 @@ class Scorer(Protocol):
     def __call__(self, prompts: list[str]) -> list[list[float]]: ...
 
 
+class BatchService(Protocol):
+    """An asynchronous batch of requests at a model's provider."""
+
+    def submit(self, input_path: str) -> str: ...
+
+    def status(self, batch_id: str) -> str: ...
+
+
+#: States that a batch doesn't leave.
+TERMINAL = ("completed", "failed", "expired", "cancelled")
+
+
+def awaited(service: BatchService, batch_id: str, interval: float = 60.0) -> str:
+    """Asks for a batch's state until it is terminal."""
+    while (state := service.status(batch_id)) not in TERMINAL:
+        time.sleep(interval)
+    return state
+
+
+def token_counts(text: Column, tokenizer: Callable[[str], int] | None = None) -> Column:
+    """Tokens of a text by a tokenizer, or by white space."""
+    if tokenizer is None:
+        return token_count(text)
+
+    @F.pandas_udf("int")
+    def counted(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else tokenizer(x)).astype("Int32")
+
+    return counted(text)
+
+
 def called(f: Callable[[str], str], prompt: str, attempts: int = 4, wait: float = 1.0) -> str:
     """Up to ``attempts`` calls, waiting twice as long after each failure."""
     for k in range(attempts):

@@ -233,3 +233,17 @@ def test_plugins(spark):
     assert tuple(plugins.round_trip(rows, Config(), lambda t: " Moderate.").first()) == (4, 1.0)
     units = spark.createDataFrame([("q",), ("rr",)], "user_msg string")
     assert plugins.prompt_scores(units, plugins.stub_scorer, 1).select(F.size("logits")).first()[0] == 7
+
+
+def test_token_counts_and_batches(spark):
+    df = spark.createDataFrame([("a bc d",), (None,)], "t string")
+    assert [r[0] for r in df.select(plugins.token_counts(F.col("t"), len)).collect()] == [6, None]
+    assert [r[0] for r in df.select(plugins.token_counts(F.coalesce("t", F.lit("")))).collect()] == [3, 0]
+
+    class Service:
+        states = ["validating", "in_progress", "completed"]
+
+        def status(self, batch_id):
+            return self.states.pop(0)
+
+    assert plugins.awaited(Service(), "b", interval=0) == "completed"
