@@ -26,8 +26,8 @@ from plumbline.llm.rans import Coder, Frequencies
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 PART_TOKENS = 1 << 23
-_CACHED = 500_000
-_JOINED = 2_000
+_CACHED = 800_000
+_JOINED = 400
 
 
 class ChunkIds(dict):
