@@ -34,11 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that this driver has written and not yet deleted.
+_PATHS: list[str] = []
+
+
+def delete_written(spark: SparkSession) -> int:
+    """Deletes all intermediate tables of this driver, once results that read them have been used. Returns how many."""
+    n = 0
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: this cuts lineage, and a lost executor costs only
-    the tasks that were running on it."""
+    the tasks that were running on it. The table stays until delete_written()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

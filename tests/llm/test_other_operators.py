@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import embedding_dedup, langid, mixing, tokens, toxicity
+from plumbline.llm import common, embedding_dedup, langid, mixing, tokens, toxicity
 from plumbline.llm.components import components
 from plumbline.llm.queries import tokenizer_path
 from plumbline.llm.rans import Coder, Frequencies
@@ -28,6 +28,13 @@ def test_components(spark):
     assert got == {x: u.root(x) for ab in links for x in ab if x is not None and u.root(x) != x}
 
 
+def test_written_tables_can_be_deleted(spark):
+    common.delete_written(spark)
+    df = common.written(spark.range(5).toDF("x"), "t")
+    assert df.count() == 5 and common.delete_written(spark) == 1
+    assert common.delete_written(spark) == 0
+
+
 def vectors():
     rng = np.random.default_rng(5)
     out = []
