@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 
 
-def shingle_rows(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
-    """(key, h): a hash of each different shingle; explode_outer keeps the optimizer from splitting the text anew for each."""
-    toks = df.select(key, T.tokens(F.lower(text)).alias("_t"))
-    return toks.select(key, F.explode_outer(F.transform(T.shingles(F.col("_t"), n), lambda s: F.xxhash64(s))).alias("h"))
+def shingle_sets(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+    """(key, s): the sorted hashes of each text's different shingles, within the row. Tokens are hashed once, runs of their hashes
+    then; the tokens are a column of their own, so that they aren't split anew for each shingle."""
+    toks = df.select(key, F.transform(T.tokens(F.lower(text)), lambda w: F.xxhash64(w)).alias("_t"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - n, F.lit(0)))
+    return toks.select(key, F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_t", i + 1, n))))).alias("s"))
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
@@ -20,9 +22,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n:
     Prefix filter: only the rarest shingles of each text, as many as a pair at the threshold must share one of, are joined;
     the others are counted for the candidates. Texts with equal sets are one class while joining, so copies make no pairs there.
     """
-    sh = shingle_rows(df, key, text, n)
-    sets = sh.groupBy(key).agg(F.array_sort(F.collect_set("h")).alias("s"))
-    sets = sets.withColumn("c", F.xxhash64("s"))
+    sets = shingle_sets(df, key, text, n).withColumn("c", F.xxhash64("s"))
     reps = sets.groupBy("c").agg(F.min(key).alias("rep"), F.first("s").alias("s"))
     freq = reps.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = reps.select("rep", F.size("s").alias("n"), F.explode("s").alias("h")).join(freq, "h")
@@ -49,7 +49,7 @@ def duplicated(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: in
 
 def minhash_duplicated(df: DataFrame, key: str, text: str, n: int = 5, bands: int = 8, rows: int = 8) -> DataFrame:
     """(key, is_dup): whether another text shares a band of MinHash values; not verified. 8 bands of 8 rows fit a threshold of 0.7."""
-    sh = shingle_rows(df, key, text, n)
+    sh = shingle_sets(df, key, text, n).select(key, F.explode_outer("s").alias("h"))
     mins = sh.groupBy(key).agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(bands * rows)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     spread = mins.select(key, F.explode(keys).alias("band"))
