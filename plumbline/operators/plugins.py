@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import token_count
 from plumbline.sources.config import TIERS, Config
+from plumbline.sources.package import ship
 
 
 class Rewriter(Protocol):
@@ -75,6 +76,7 @@ def rewritten(jobs: DataFrame, config: Config, rewriter: Rewriter | None = None,
     leaks is asked for again up to max_retries times, and then the text stays. Partitions are rewritten in parallel."""
     if rewriter is None:
         return jobs.withColumn("final_text", F.col("text")).withColumn("model", F.lit("template-only"))
+    ship(jobs.sparkSession)
     leak = re.compile(r"\b(?:" + "|".join(re.escape(w) for w in sorted(config.banned, key=len, reverse=True)) + r")\w*", re.I)
     rule = "\n\nLeave out all of these words and their forms: " + ", ".join(config.banned) + "."
 
@@ -97,6 +99,7 @@ def rewritten(jobs: DataFrame, config: Config, rewriter: Rewriter | None = None,
 
 def round_trip(rows: DataFrame, config: Config, classifier: Classifier, key: str = "vignette_id") -> DataFrame:
     """n and accuracy of a classifier on a bounded sample: an answer counts if it holds the tier; a failed call counts as wrong."""
+    ship(rows.sparkSession)
     sample = rows.orderBy(F.xxhash64(F.lit(config.seed), F.col(key)), key).limit(config.roundtrip_sample).select("text", "tier")
 
     def guess(text: str) -> str:
@@ -133,5 +136,6 @@ def prompt_scores(units: DataFrame, scorer: Scorer, batch_size: int = 32) -> Dat
                 out += scorer(pdf["user_msg"].iloc[k : k + batch_size].tolist())
             yield pdf.assign(logits=out)
 
+    ship(units.sparkSession)
     fields = ", ".join(f"`{n}` {t}" for n, t in units.dtypes)
     return units.sortWithinPartitions(F.length("user_msg")).mapInPandas(f, f"{fields}, logits array<double>")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.package import ship
+
 
 def ranks(df: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
     """(by..., value, rank, rank_ties): the rank of each different value within ``by``, the mean of the ranks of equal ones, and how
@@ -44,6 +46,7 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, by: str, n_boot: int = 200
 
     The resamples are dealt to blocks. A group is one gate's rows (thousands), which each of its blocks holds.
     """
+    ship(df.sparkSession)
     spread = df.select(F.col(by).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     each = [n_boot // blocks + (k < n_boot % blocks) for k in range(blocks)]
@@ -94,6 +97,8 @@ def wilcoxon_p_value(n: int, w_plus: float, w_minus: float, ties: float) -> floa
 
 
 def wilcoxon(df: DataFrame, delta: str, *by: str) -> DataFrame:
+    ship(df.sparkSession)
+
     @F.pandas_udf("double")
     def p(n: pd.Series, a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([wilcoxon_p_value(*x) for x in zip(n, a, b, t, strict=True)])
