@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.package import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by Spark's reader only (the path can be in any store that Spark reads)."""
@@ -51,6 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: this cuts lineage, and a lost executor costs only
     the tasks that were running on it. The table stays until delete_written()."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _PATHS.append(path)
     df.write.parquet(path)
@@ -66,6 +69,7 @@ def tidy(spark: SparkSession) -> None:
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the text as UTF-8 bytes (null stays null), and the named columns; other columns are left behind,
     whatever their names. Rows without a doc_id have no identity and are left out."""
+    ship(docs.sparkSession)
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
     return docs.select(*cols, *[F.col(c) for c in more]).where(F.col("doc_id").isNotNull())
 
