@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,4 +24,7 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent).as_posix())
         sc.addPyFile(str(path))
+    # rows are whole texts: Spark's default of 10,000 a batch takes hundreds of MB in each worker; another setting is kept
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     _SHIPPED.add(sc.applicationId)
