@@ -28,7 +28,7 @@ PERMUTATIONS = 48
 ROWS = 4
 #: Members of a bucket whose sets are in one task, twice.
 SETS = 1024
-_CACHED = 300_000
+_CACHED = 120_000
 _rng = np.random.default_rng(20_240_602)
 _XOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -17,6 +17,8 @@ bounded sample: up to SAMPLE toxic and CLEAN * SAMPLE clean documents, chosen by
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +43,7 @@ EXPAND = 0.0
 DECAY = 0.6
 BITS = 20
 _STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2))
-_WORDS = 300_000
+_WORDS = 150_000
 #: Fewer different words than the first, or more than the second, count as so many.
 _LENGTHS = (40, 1500)
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -255,6 +257,15 @@ def _machine(words: list[str], bags: list[np.ndarray], y: np.ndarray, use: np.nd
     return table, bias, s
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, since the worker lives on for other tasks."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from rows of labels (doc_id, toxic) that are not held out and not null. If a document has several labels, it is
     toxic if any says so."""
@@ -268,6 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def f(batches):
         got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
         m = train([t.decode("utf-8", "replace") for _, t, _ in got], [y for _, _, y in got])
+        del got
+        _give_back()
         yield record(table=pa.array([None if m.table is None else m.table.astype("<f4").tobytes()], pa.binary()), bias=[float(m.bias)], curve=pa.array([m.curve.tolist()], pa.list_(pa.float64())), prior=[float(m.prior)])
 
     # one task, since the sample is bounded
