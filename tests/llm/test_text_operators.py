@@ -258,3 +258,12 @@ def test_proximity(spark):
     index = decontamination.Index(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
     assert {r["doc_id"] for r in index.proximity(2).collect()} == {1}
     assert index.proximity(0).count() == 0
+
+
+def test_passages_of_lines_that_stand_together(spark):
+    """Two common lines of 30 words, each in many documents after and before other words, are a passage only where they meet."""
+    one, two = prose(31, 30), prose(32, 30)
+    data = [(k, f"{prose(100 + k, 40)} {line} {prose(200 + k, 40)}", None, None, 0) for k, line in enumerate([one, two] * 20)]
+    data += [(k, f"{prose(100 + k, 40)} {one} {two} {prose(200 + k, 40)}", None, None, 0) for k in (50, 60)]
+    got = passages.documents_with_passages(table(spark, data)).collect()
+    assert [(r["doc_id"], r["class_id"], r["passages"]) for r in sorted(got)] == [(50, 50, [(40, 100)]), (60, 50, [(40, 100)])]
