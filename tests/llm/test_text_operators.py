@@ -267,3 +267,17 @@ def test_passages_of_lines_that_stand_together(spark):
     data += [(k, f"{prose(100 + k, 40)} {one} {two} {prose(200 + k, 40)}", None, None, 0) for k in (50, 60)]
     got = passages.documents_with_passages(table(spark, data)).collect()
     assert [(r["doc_id"], r["class_id"], r["passages"]) for r in sorted(got)] == [(50, 50, [(40, 100)]), (60, 50, [(40, 100)])]
+
+
+@pytest.mark.parametrize("n,changed", [(60, 3), (60, 6), (60, 8), (100, 10), (100, 15), (100, 20)])
+def test_fuzzy_passages_are_chained(n, changed):
+    rng, got = np.random.default_rng(n + changed), 0
+    for _ in range(20):
+        w = rng.integers(1, 1 << 62, n + 200).astype(np.uint64)
+        copy = w[50 : 50 + n].copy()
+        copy[1 + rng.choice(n - 2, changed, replace=False)] = rng.integers(1, 1 << 62, changed).astype(np.uint64)
+        x, y = w[: 100 + n], np.concatenate([w[100 + n : 150 + n], copy, w[150 + n :]])
+        d, p, h = passages.seeds([x, y])
+        i, j, _ = passages.links(h, d, p)
+        got += bool(len(i) and passages.found_chains(*passages._segments(d, p, i, j, passages.K)))
+    assert got >= 19
