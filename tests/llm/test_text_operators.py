@@ -281,3 +281,37 @@ def test_fuzzy_passages_are_chained(n, changed):
         i, j, _ = passages.links(h, d, p)
         got += bool(len(i) and passages.found_chains(*passages._segments(d, p, i, j, passages.K)))
     assert got >= 19
+
+
+def plain_passage(x, y, least, identity):
+    """Whether any stretches of ``least`` words or more have the identity, by every one of x and y that starts and ends in step."""
+    return any(passages.common_subsequence(x[i : i + n], y[j : j + n]) >= identity * n for n in (least, least + 5, least + 10) for i in range(len(x) - n + 1) for j in range(max(0, i - 2), min(len(y) - n, i + 2) + 1))
+
+
+@pytest.mark.parametrize("n,changed", [(50, 2), (60, 3), (60, 6), (60, 8), (60, 12), (100, 5), (100, 10), (100, 15), (100, 20)])
+def test_fuzzy_passages_are_found_and_kept(n, changed):
+    """Seeds, chains and alignment on passages with words replaced at random, of identities 0.8 to 0.96."""
+    rng, got = np.random.default_rng(n + changed), 0
+    for _ in range(20):
+        w = rng.integers(1, 1 << 62, n + 200).astype(np.uint64)
+        copy = w[50 : 50 + n].copy()
+        copy[1 + rng.choice(n - 2, changed, replace=False)] = rng.integers(1, 1 << 62, changed).astype(np.uint64)
+        x, y = w[: 100 + n], np.concatenate([w[100 + n : 150 + n], copy, w[150 + n :]])
+        assert plain_passage(x[50 : 50 + n], copy, 50, 0.8)
+        d, p, h = passages.seeds([x, y])
+        i, j, _ = passages.links(h, d, p)
+        found = passages.found_chains(*passages._segments(d, p, i, j, passages.K)) if len(i) else []
+        got += any(passages.align(x, sa, ea, y, sb, eb, low, high, 50, 0.8) for _, _, sa, ea, sb, eb, low, high in found)
+    assert got >= 19
+
+
+def test_passages_beside_other_matches():
+    """A fuzzy passage that chaining joins to a common line some words on is kept when the whole chain fails."""
+    rng = np.random.default_rng(5)
+    w = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    copy = w[:60].copy()
+    copy[[5, 14, 23, 32, 41, 50]] = rng.integers(1, 1 << 62, 6).astype(np.uint64)
+    x = np.concatenate([w[:60], w[100:120], w[60:80]])
+    y = np.concatenate([copy, w[120:140], w[60:80]])
+    got = passages.align(x, 0, 100, y, 0, 100, 0, 0, 50, 0.95) + passages.align(x, 0, 100, y, 0, 100, 0, 0, 50, 0.88)
+    assert got == [(0, 60, 0, 60, 54)]
