@@ -58,7 +58,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.documents_with_passages(table(spark, sf_dir, "documents"))
+    return passages.all_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_mixing": op6_mixing, "op7_token_output": op7_token_output, "op8_decontamination": op8_decontamination, "op9_minhash": op9_minhash, "op10_passages": op10_passages}

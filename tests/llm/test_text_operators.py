@@ -315,3 +315,9 @@ def test_passages_beside_other_matches():
     y = np.concatenate([copy, w[120:140], w[60:80]])
     got = passages.align(x, 0, 100, y, 0, 100, 0, 0, 50, 0.95) + passages.align(x, 0, 100, y, 0, 100, 0, 0, 50, 0.88)
     assert got == [(0, 60, 0, 60, 54)]
+
+
+def test_every_document_has_a_row(spark):
+    got = {r["doc_id"]: r for r in passages.all_documents(table(spark)).collect()}
+    assert set(got) == set(range(1, 19)) and got[8]["class_id"] == 7
+    assert got[1]["class_id"] == 1 and (got[3]["n_passages"], got[3]["n_shared_words"], got[3]["passages"]) == (0, 0, [])
