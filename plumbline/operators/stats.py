@@ -36,15 +36,22 @@ def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 10) -> DataFr
     return g.where((F.col("n") >= least) & (F.col("_sx") > 0) & (F.col("_sy") > 0)).select(*by, F.try_divide("_c", F.col("_sx") * F.col("_sy")).alias("rho"), "n")
 
 
-def _ranks(a: np.ndarray) -> np.ndarray:
-    _, inverse, count = np.unique(a, return_inverse=True, return_counts=True)
-    return (np.cumsum(count) - (count - 1) / 2)[inverse]
+def _resampled_rho(a: np.ndarray, b: np.ndarray, count: np.ndarray) -> float | None:
+    """The rank correlation of rows (numbers of their values in order) taken so many times; None if a side is constant."""
+    def ranks(code: np.ndarray) -> np.ndarray:
+        n = np.bincount(code, count)
+        return (np.cumsum(n) - (n - 1) / 2)[code] - (len(code) + 1) / 2
+
+    x, y = ranks(a), ranks(b)
+    xx, yy = float(count @ (x * x)), float(count @ (y * y))
+    return float(count @ (x * y)) / (xx * yy) ** 0.5 if xx > 0 and yy > 0 else None
 
 
 def bootstrap_spearman(df: DataFrame, x: str, y: str, by: str, n_boot: int = 2000, seed: int = 42, blocks: int = 20) -> DataFrame:
     """(by, ci_low, ci_high): the 2.5 and 97.5 percentiles of the correlation over resamples; constant resamples are skipped.
 
-    The resamples are dealt to blocks. A group is one gate's rows (thousands), which each of its blocks holds.
+    The resamples are dealt to blocks, and each block holds its whole group: a group must fit in a task. Values are put in order once;
+    a resample is counts of rows, in time linear in them.
     """
     ship(df.sparkSession)
     spread = df.select(F.col(by).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
@@ -55,11 +62,12 @@ def bootstrap_spearman(df: DataFrame, x: str, y: str, by: str, n_boot: int = 200
         pdf = pdf.sort_values(["x", "y"])
         a, b, k = pdf["x"].to_numpy(), pdf["y"].to_numpy(), int(pdf["block"].iloc[0])
         rng = np.random.default_rng([seed, k])
+        a, b = (np.unique(v, return_inverse=True)[1] for v in (a, b))
         out = []
         for _ in range(each[k]):
-            i = rng.integers(0, len(a), len(a))
-            if a[i].std() > 0 and b[i].std() > 0:
-                out.append(float(np.corrcoef(_ranks(a[i]), _ranks(b[i]))[0, 1]))
+            rho = _resampled_rho(a, b, np.bincount(rng.integers(0, len(a), len(a)), minlength=len(a)))
+            if rho is not None:
+                out.append(rho)
         return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(out), "rho": out})
 
     rho = spread.groupBy("g", "block").applyInPandas(resampled, f"g {spread.schema['g'].dataType.simpleString()}, rho double")

@@ -202,12 +202,9 @@ def gate_decision(spark, d):
     return one.select("rho", "hedge_rate", ok.alias("rho_pass"), few.alias("hedge_pass"), R.mark(ok & few).alias("verdict"))
 
 
-def _nation_means(spark, d):
-    return scored_orders(spark, d).groupBy("c_mktsegment", "c_nationkey").agg(F.avg("s").alias("x"), F.avg("o_totalprice").alias("y"))
-
-
 def bootstrap_ci(spark, d):
-    return stats.bootstrap_spearman(_nation_means(spark, d), "x", "y", "c_mktsegment")
+    """Intervals of spearman_by_group's correlations, from resamples of the same orders."""
+    return stats.bootstrap_spearman(scored_orders(spark, d), "s", "o_totalprice", "c_mktsegment")
 
 
 def _conditions(spark, d):

@@ -56,3 +56,13 @@ def test_entry_without_corpus_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') and k[2:3].isdigit() for k in e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.stdout.split() == [str(len(QUERIES)), "False"], out.stderr
+
+
+def test_bootstrap_resamples_the_orders_of_the_correlation(spark):
+    """An interval holds the correlation of the same rows, and is as narrow as their number makes it."""
+    rho = {r["c_mktsegment"]: r for r in QUERIES["spearman_by_group"](spark, DIR).collect()}
+    ci = {r["c_mktsegment"]: r for r in QUERIES["bootstrap_ci"](spark, DIR).collect()}
+    assert set(ci) == set(rho)
+    for g, r in rho.items():
+        assert ci[g]["ci_low"] < r["rho"] < ci[g]["ci_high"]
+        assert ci[g]["ci_high"] - ci[g]["ci_low"] < 6 / r["n"] ** 0.5
