@@ -314,6 +314,25 @@ def _flagged(batches):
         yield rows()
 
 
+def _strongest(batches):
+    """Flags sorted by (d, h): of rows that repeat both, each trigger's strongest flag, since only one of them carries SAMPLE."""
+    now, held = None, None
+    for b in batches:
+        out = []
+        for d, h, blob in zip(*(b.column(c).to_pylist() for c in ("d", "h", "flags")), strict=True):
+            flags = np.frombuffer(zlib.decompress(blob), np.uint8)
+            if (d, h) == now:
+                held = np.maximum(held, flags)
+                continue
+            if now is not None:
+                out.append((*now, zlib.compress(held.tobytes(), 1)))
+            now, held = (d, h), flags
+        if out:
+            yield record(d=pa.array([x[0] for x in out], pa.int64()), h=pa.array([x[1] for x in out], pa.int64()), flags=pa.array([x[2] for x in out], pa.binary()))
+    if now is not None:
+        yield record(d=pa.array([now[0]], pa.int64()), h=pa.array([now[1]], pa.int64()), flags=pa.array([zlib.compress(held.tobytes(), 1)], pa.binary()))
+
+
 def _split(batches):
     """Documents with flags keep their text; of the others only the result stays."""
     for batch in batches:
@@ -496,7 +515,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     hot = hot_groups(base, length, total)
     sent = base.mapInArrow(_sent(shards, length, hot), "shard long, run long, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
     judged = sent.mapInArrow(_judged(hot), "run long, blob binary").repartition("run").sortWithinPartitions("run")
-    flags = written(judged.mapInArrow(_flagged, "d long, h long, flags binary").dropDuplicates(["d", "h"]), "flags")
+    flagged = judged.mapInArrow(_flagged, "d long, h long, flags binary").repartition("d", "h").sortWithinPartitions("d", "h")
+    flags = written(flagged.mapInArrow(_strongest, "d long, h long, flags binary"), "flags")
     tidy(spark)
     own = base.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(b""))))
     joined = own.join(flags.withColumnRenamed("h", "fh"), (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("fh")), "left").select("doc_id", "h", "text", "flags")

@@ -321,3 +321,23 @@ def test_every_document_has_a_row(spark):
     got = {r["doc_id"]: r for r in passages.all_documents(table(spark)).collect()}
     assert set(got) == set(range(1, 19)) and got[8]["class_id"] == 7
     assert got[1]["class_id"] == 1 and (got[3]["n_passages"], got[3]["n_shared_words"], got[3]["passages"]) == (0, 0, [])
+
+
+def test_flags_of_repeated_rows_are_merged():
+    import zlib
+
+    import pyarrow as pa
+
+    settled, sample = ([substring_dedup.OPEN, 0, x] for x in (substring_dedup.SETTLED, substring_dedup.SAMPLE))
+    for each in ((settled, sample), (sample, settled)):
+        rows = pa.RecordBatch.from_pydict({"d": [1, 1, 2], "h": [5, 5, 5], "flags": [zlib.compress(bytes(f)) for f in (*each, settled)]})
+        got = [(r["d"], list(zlib.decompress(r["flags"]))) for b in substring_dedup._strongest([rows]) for r in b.to_pylist()]
+        assert got == [(1, sample), (2, settled)]
+
+
+def test_repeated_rows_beside_another_context(spark):
+    shared = prose(61, 60)
+    text = f"{prose(62, 60)} {shared} {prose(63, 60)}"
+    data = [(1, text, None, None, 0)] * 2 + [(2, f"{prose(64, 60)} {shared} {prose(65, 60)}", None, None, 0)]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(table(spark, data), 200).collect()}
+    assert got[1]["n_removed"] == len(text) and got[2]["n_removed"] >= len(shared)
