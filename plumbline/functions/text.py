@@ -16,6 +16,8 @@ TENURE = (
 )
 #: Fixed value: up to this age a long past of investing is not believed.
 YOUNG = 30
+#: How an adviser is asked to answer.
+ANSWER = "Answer with the letter of the one option that you choose, and with nothing else."
 
 
 def stems_pattern(words) -> str:
@@ -74,9 +76,9 @@ def pick(values: Column, *key: Column) -> Column:
 
 def user_message(framing: Column, narrative: Column, options: Column, instruction: Column | None = None) -> Column:
     """The question to an adviser, with lettered options; a null instruction leaves nothing."""
-    lettered = F.transform(options, lambda o, i: F.concat(F.element_at(F.array(*map(F.lit, "ABCDE")), i + 1), F.lit(") "), o))
+    lettered = F.transform(options, lambda o, i: F.concat(F.lit("["), F.element_at(F.array(*map(F.lit, "ABCDE")), i + 1), F.lit("] "), o))
     first = [F.trim(instruction)] if instruction is not None else []
-    return F.concat_ws("\n", *first, F.trim(framing), F.concat(F.lit("\nClient description:\n"), narrative), F.lit("\nPortfolio options:"), F.array_join(lettered, "\n"), F.lit("\nRecommend exactly one option for this client. Respond with only the letter."))
+    return F.concat_ws("\n", *first, F.trim(framing), F.lit("The client writes:"), narrative, F.lit("To choose from:"), F.array_join(lettered, "\n"), F.lit(ANSWER))
 
 
 def rewrite_prompt(mode: Column, text: Column, banned, again: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.functions.text import stems_pattern
+from plumbline.functions.text import ANSWER, stems_pattern
 from plumbline.operators.generate import CITIES, NET_WORTH
 from plumbline.plans.queries import CONFIG, HEDGE_MAX, LEXICON, OPTIONS, PATTERN, PRIORITIES, RHO_MIN
 
@@ -45,10 +45,11 @@ def _slots(sep: str) -> str:
 _PROMPT = " || chr(10) || ".join(
     [
         f"'{CONFIG.framing}'",
-        "chr(10) || 'Client description:' || chr(10) || text",
-        "chr(10) || 'Portfolio options:'",
-        *[f"'{letter}) ' || {_list(OPTIONS)}[cast((perm_idx + {k}) % 4 + 1 as integer)]" for k, letter in enumerate("ABCD")],
-        "chr(10) || 'Recommend exactly one option for this client. Respond with only the letter.'",
+        "'The client writes:'",
+        "text",
+        "'To choose from:'",
+        *[f"'[{letter}] ' || {_list(OPTIONS)}[cast((perm_idx + {k}) % 4 + 1 as integer)]" for k, letter in enumerate("ABCD")],
+        f"'{ANSWER}'",
     ]
 )
 _X = [f"CAST(embedding[{i}] AS DOUBLE) * 8" for i in range(1, 8)]

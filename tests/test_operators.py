@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -52,10 +53,21 @@ def test_tenure(spark):
 
 def test_user_message(spark):
     m = values(spark, [(None,), ("  Do it. ",)], "i string", T.user_message(F.lit(" Frame. "), F.lit("Story"), F.array(F.lit("x"), F.lit("y")), F.col("i")))
-    tail = "Frame.\n\nClient description:\nStory\n\nPortfolio options:\nA) x\nB) y\n\nRecommend exactly one option for this client. Respond with only the letter."
+    tail = "Frame.\nThe client writes:\nStory\nTo choose from:\n[A] x\n[B] y\n" + T.ANSWER
     assert m == [tail, "Do it.\n" + tail]
 
 
+def test_implicit_phrasings_hold_no_stem():
+    from plumbline.operators import narrative as N
+
+    said = [x for _, implicit in N.LEVELS.values() for x in implicit] + [x for bands in N.BANDS.values() for _, _, _, implicit in bands for x in implicit]
+    said += [x for t in N.WORTH.values() for x in t] + [*N.OPENINGS, *N.PASTIMES]
+    stems = re.compile(r"\b(?:" + "|".join(Config().banned) + ")", re.I)
+    assert [x for x in said if stems.search(x)] == []
+    assert all(len(set(x)) == len(x) >= 2 for pair in N.LEVELS.values() for x in pair)
+    assert all(sorted(o) == list(range(9)) for o in N.ORDERINGS) and len(set(N.ORDERINGS)) == 4
+
+
 def test_rotations():
     r = R.rotations(4)
     assert all(sorted(p[s] for p in r) == [0, 1, 2, 3] for s in range(4)) and len(R.rotations(4, 2)) == 2
