@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.stored import written
+
 
 def shuffled_limit(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in the order of a hash of (seed, key): a top-n, not a full sort."""
@@ -14,8 +16,8 @@ def shuffled_limit(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     """Rows numbered from 0 in a total order: ranks within ranges of the order, and each range's count added to those after it.
     One row a range meets in one task, never the rows."""
-    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both uses see the same ranges
-    part = df.repartitionByRange(blocks, *order).withColumn("_p", F.spark_partition_id())
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = written(df.repartitionByRange(blocks, *order).withColumn("_p", F.spark_partition_id()), "ranges")  # once, so both uses see the same ranges
     part = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))

@@ -2,57 +2,142 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.sources.package import ship
+from plumbline.sources.stored import written
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def run_hashes(tokens: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts given as hashes of their tokens, one after another, to the sorted hashes of each text's different runs of n tokens (a shorter
+    text is one run, an empty one an empty run), one after another, and where each text's end."""
+    begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    size = ends - begin
+    many = np.maximum(size - n, 0) + 1
+    row = np.repeat(np.arange(len(size)), many)
+    at = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    h = np.full(len(row), 0x9E3779B97F4A7C15, np.uint64)
+    padded = np.append(tokens, np.zeros(n, np.uint64))
+    for j in range(n):
+        inside = j < size[row]
+        h = np.where(inside, _mixed(h * np.uint64(3) + padded[np.minimum(at + j, len(tokens))]), h)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.cumsum(np.bincount(row[new], minlength=len(size)))
+
+
+def _runs(n: int):
+    def f(batches):
+        for b in batches:
+            t = b.column(1).combine_chunks() if isinstance(b.column(1), pa.ChunkedArray) else b.column(1)
+            ends = t.offsets.to_numpy()[1:].astype(np.int64) - t.offsets[0].as_py()
+            h, upto = run_hashes(t.flatten().to_numpy().view(np.uint64), ends, n)
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], [b.schema.names[0], "s"])
+
+    return f
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
-    """(key, s): the sorted hashes of each text's different shingles, within the row. Tokens are hashed once, runs of their hashes
-    then; the tokens are a column of their own, so that they aren't split anew for each shingle."""
-    toks = df.select(key, F.transform(T.tokens(F.lower(text)), lambda w: F.xxhash64(w)).alias("_t"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_t") - n, F.lit(0)))
-    return toks.select(key, F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_t", i + 1, n))))).alias("s"))
+    """(key, s): the sorted hashes of each text's different shingles, within the row. The JVM splits texts and hashes tokens; runs of
+    their hashes are made in Arrow batches, since nested array functions are interpreted. A null text has no tokens."""
+    ship(df.sparkSession)
+    toks = df.select(key, F.coalesce(F.transform(T.tokens(F.lower(text)), lambda w: F.xxhash64(w)), F.array().cast("array<long>")).alias("_t"))
+    return toks.mapInArrow(_runs(n), f"`{key}` {df.schema[key].dataType.simpleString()}, s array<long>")
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
-    """(a, b, jaccard) for all pairs at or over the threshold, a < b.
+def classes(df: DataFrame, key: str, text: str, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Texts of equal sets as one class, told apart by 128 bits of the set: (key, c1, c2) of each row, and (c1, c2, rep, copies, s) of
+    each class, rep being its smallest key."""
+    sets = written(shingle_sets(df, key, text, n).withColumn("c1", F.xxhash64("s")).withColumn("c2", F.xxhash64(F.lit(1), F.reverse("s"))), "shingles")
+    least = sets.groupBy("c1", "c2").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    own = sets.select(F.col(key).alias("rep"), "c1", "c2", "s").dropDuplicates(["rep", "c1", "c2"])
+    return sets.select(F.col(key).alias("k"), "c1", "c2"), least.join(own, ["c1", "c2", "rep"])
+
 
-    Prefix filter: only the rarest shingles of each text, as many as a pair at the threshold must share one of, are joined;
-    the others are counted for the candidates. Texts with equal sets are one class while joining, so copies make no pairs there.
+def class_links(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) for pairs of classes (rep, s) at or over the threshold, a < b.
+
+    Prefix filter: each set is put in one order, the rarest shingles first, and only as many of them are joined as a pair at the
+    threshold must share one of. A pair is a candidate where its first such shingle meets, and only if the lengths and both places
+    leave room for enough in common (positional filter), so most of the pairs of a common shingle end in the join.
     """
-    sets = shingle_sets(df, key, text, n).withColumn("c", F.xxhash64("s"))
-    reps = sets.groupBy("c").agg(F.min(key).alias("rep"), F.first("s").alias("s"))
-    freq = reps.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    freq = reps.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one text only come first in its order and join nothing: their number moves the places of the others
     ranked = reps.select("rep", F.size("s").alias("n"), F.explode("s").alias("h")).join(freq, "h")
     ordered = ranked.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    prefix = ordered.select("rep", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select("rep", "n", "x.h")
-    a, b = prefix.toDF("a", "na", "h"), prefix.toDF("b", "nb", "h")
-    cand = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
+    alone = F.col("n") - F.size("o")
+    keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1 - alone).cast("int")
+    some = ordered.where(keep > 0).select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("p", "x"))
+    prefix = written(some.select("rep", "n", (F.col("alone") + F.col("p")).alias("p"), F.col("x.h").alias("h")), "prefixes")
+    a, b = prefix.toDF("a", "na", "pa", "h"), prefix.toDF("b", "nb", "pb", "h")
+    enough = (F.col("na") + F.col("nb")) * threshold / (1 + threshold) - 1e-9
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # from the first that both have on
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    cand = a.join(b, "h").where(near).groupBy("a", "b").agg(F.max(room).alias("room"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("room") >= enough).select("a", "b")
     sa, sb = reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
     both = cand.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    links = both.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    members = sets.select(F.col(key).alias("k"), "c").join(reps.select("c", "rep"), "c").select("k", "rep")
+    return both.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
+    """(a, b, jaccard) for all pairs of rows at or over the threshold, a < b: copies make all their pairs, which is what this
+    returns; duplicated() needs none of them."""
+    rows, reps = classes(df, key, text, n)
+    members = rows.join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).select("k", "rep")
+    links = class_links(reps, threshold)
     out = links.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select("x", "y", "jaccard")
     copies = members.toDF("x", "r").join(members.toDF("y", "r"), "r").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
     return out.union(copies).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def duplicated(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
-    """(key, is_dup) for each row: whether another text is at least so similar."""
-    pairs = similar_pairs(df, key, text, threshold, n)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct().withColumn("is_dup", F.lit(True))
-    return df.select(key).join(ids, key, "left").select(key, F.coalesce("is_dup", F.lit(False)).alias("is_dup"))
+    """(key, is_dup) for each row: whether another text is at least so similar. Rows are flagged by their class: one of several
+    copies, or one that is linked; no pair of rows is made."""
+    rows, reps = classes(df, key, text, n)
+    linked = class_links(reps.select("rep", "s"), threshold).select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+    flags = reps.select("c1", "c2", "rep", "copies").join(linked, "rep", "left").where((F.col("copies") > 1) | F.col("linked")).select("c1", "c2", F.lit(True).alias("is_dup"))
+    return rows.join(flags, ["c1", "c2"], "left").select(F.col("k").alias(key), F.coalesce("is_dup", F.lit(False)).alias("is_dup"))
+
+
+def _bands(bands: int, rows: int):
+    rng = np.random.default_rng(20_240_604)
+    xor = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    mul = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def f(batches):
+        for b in batches:
+            out = []
+            for s in b.column(1):
+                h = s.values.to_numpy().view(np.uint64)
+                low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(h), 4096):
+                    low = np.minimum(low, ((h[None, at : at + 4096] ^ xor[:, None]) * mul[:, None]).min(axis=1))
+                band = np.arange(bands, dtype=np.uint64)
+                for part in low.reshape(bands, rows).T:
+                    band = _mixed(band * np.uint64(3) + part)
+                out.append(band.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], [b.schema.names[0], "bands"])
+
+    return f
 
 
 def minhash_duplicated(df: DataFrame, key: str, text: str, n: int = 5, bands: int = 8, rows: int = 8) -> DataFrame:
-    """(key, is_dup): whether another text shares a band of MinHash values; not verified. 8 bands of 8 rows fit a threshold of 0.7."""
-    sh = shingle_sets(df, key, text, n).select(key, F.explode_outer("s").alias("h"))
-    mins = sh.groupBy(key).agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(bands * rows)])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    spread = mins.select(key, F.explode(keys).alias("band"))
+    """(key, is_dup): whether another text shares a band of MinHash values; not verified. 8 bands of 8 rows fit a threshold of 0.7.
+    Signatures are made within the row, so only bands are shuffled."""
+    signed = shingle_sets(df, key, text, n).mapInArrow(_bands(bands, rows), f"`{key}` {df.schema[key].dataType.simpleString()}, bands array<long>")
+    spread = written(signed.select(key, F.explode("bands").alias("band")), "bands")
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     ids = spread.join(shared, "band", "left_semi").select(key).distinct().withColumn("is_dup", F.lit(True))
     return df.select(key).join(ids, key, "left").select(key, F.coalesce("is_dup", F.lit(False)).alias("is_dup"))

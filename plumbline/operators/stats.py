@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.sources.package import ship
+from plumbline.sources.stored import written
 
 
 def ranks(df: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
@@ -17,11 +18,11 @@ def ranks(df: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
     many they are.
 
     Equal values are counted first, then summed up within ranges of the values, and each range's total is added to those after
-    it: no group's rows meet in one task. The ranges come from one exchange, which both of its uses share.
+    it: no group's rows meet in one task. The ranged counts are written once, so both of their uses see the same ranges.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both uses see the same ranges
-    part = counts.repartitionByRange(blocks, *by, value).withColumn("_p", F.spark_partition_id())
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = written(counts.repartitionByRange(blocks, *by, value).withColumn("_p", F.spark_partition_id()), "ranges")
     total = part.groupBy("_p", *by).agg(F.sum("_n").alias("_s"))
     before = total.select("_p", *by, (F.sum("_s").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_s")).alias("_b"))
     upto = F.sum("_n").over(Window.partitionBy("_p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -121,8 +122,25 @@ def paired_deltas(df: DataFrame, key: str, condition: str, value: str, base: str
     return df.where(F.col(condition) == other).select(key, F.col(value).alias("_o")).join(left, key).select(key, (F.col("_o") - F.col("_b")).alias("delta"))
 
 
+def order_statistics(df: DataFrame, value: str, shares: tuple[float, ...], *by: str) -> DataFrame:
+    """(by..., q0, q1, ...): percentiles by linear interpolation, as ``percentile`` gives them, but read off ranks, so that no task
+    holds a group's values."""
+    r = ranks(df.where(F.col(value).isNotNull()), value, *by, name="_r")
+    first, last = F.col("_r") - (F.col("_r_ties") + 1) / 2, F.col("_r") + (F.col("_r_ties") - 1) / 2 - 1  # places of a value, from 0
+    total = r.groupBy(*by).agg(F.sum("_r_ties").alias("_n"))
+    placed = r.select(*by, value, first.alias("_a"), last.alias("_z"))
+    placed = placed.join(total, list(by)) if by else placed.crossJoin(total)  # one row
+    out = []
+    for k, q in enumerate(shares):
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        low, high = (F.max(F.when((F.col("_a") <= e) & (e <= F.col("_z")), F.col(value))) for e in (F.floor(at), F.ceil(at)))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(f"q{k}"))
+    return placed.groupBy(*by).agg(*out)
+
+
 def delta_summary(deltas: DataFrame, least: int = 10) -> DataFrame:
     """n_pairs, mean_delta and the 2.5 and 97.5 percentiles of the deltas themselves; no row below ``least``."""
-    p = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
-    g = deltas.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("delta").alias("mean_delta"), p.alias("p"))
-    return g.where(F.col("n_pairs") >= least).select("n_pairs", "mean_delta", F.get("p", F.lit(0)).alias("ci_low"), F.get("p", F.lit(1)).alias("ci_high"))
+    g = deltas.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("delta").alias("mean_delta")).where(F.col("n_pairs") >= least)
+    q = order_statistics(deltas, "delta", (0.025, 0.975))
+    return g.crossJoin(q).select("n_pairs", "mean_delta", F.col("q0").alias("ci_low"), F.col("q1").alias("ci_high"))  # two rows of one
