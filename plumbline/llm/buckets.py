@@ -28,6 +28,25 @@ def block_pairs(rows: DataFrame, keys: list[str], member: str, block: int = BLOC
     return rows.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", member)
 
 
+def open_blocks(rows: DataFrame, keys: list[str], member: str, more: list[DataFrame], comp: str = "comp", block: int = BLOCK) -> DataFrame:
+    """As block_pairs, for the buckets that hold members of different components. Members of a bucket's largest component needn't meet
+    each other: each is in one block, and only the others are copied to all blocks, theirs and the largest one's. So a stray member costs a row
+    a block, not a copy of the bucket. more: tables to join by ``member`` before the rows are dealt."""
+    one = F.count(F.lit(1))
+    kinds = rows.groupBy(*keys, comp).agg(one.alias("_c"))
+    sizes = kinds.groupBy(*keys).agg(F.max_by(comp, F.struct("_c", comp)).alias("_top"), F.max("_c").alias("_m"), F.sum("_c").alias("_n"), one.alias("_k")).where("_k > 1")
+    rows = rows.join(sizes, keys)
+    for t in more:
+        rows = rows.join(t, member)
+    few, main = (F.ceil(x / F.lit(block)).cast("int") for x in (F.col("_n") - F.col("_m"), F.col("_m")))
+    h = F.xxhash64(F.lit(3), F.col(member))
+    own = F.when(F.col(comp) == F.col("_top"), few + F.pmod(h, main)).otherwise(F.pmod(h, few)).cast("int")
+    last = F.when(F.col(comp) == F.col("_top"), few).otherwise(few + main) - 1
+    rows = rows.withColumn("own", own).withColumn("_j", F.explode(F.sequence(F.lit(0), last))).withColumn("lo", F.least("own", "_j")).withColumn("hi", F.greatest("own", "_j"))
+    rows = rows.drop("_top", "_m", "_n", "_k", "_j")
+    return rows.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", member)
+
+
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with equal keys (numbers, not null), each whole."""
     held: list[pa.RecordBatch] = []

@@ -6,9 +6,6 @@ a batch (and by one row, if that is larger), never by a partition or a group.
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,53 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.package import ship
+from plumbline.sources.stored import delete_written, new_path, scratch, shared_dir, tidy, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, by Spark's reader only (the path can be in any store that Spark reads)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a temporary one only where that
-    is unset (single-machine tests)."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-#: Tables that this driver has written and not yet deleted.
-_PATHS: list[str] = []
-
-
-def delete_written(spark: SparkSession) -> int:
-    """Deletes all intermediate tables of this driver, once results that read them have been used. Returns how many."""
-    n = 0
-    while _PATHS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return n
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and rereads it: this cuts lineage, and a lost executor costs only
-    the tasks that were running on it. The table stays until delete_written()."""
-    spark = df.sparkSession
+    """One of the input tables, by Spark's reader only (the path can be in any store that Spark reads). Executors get the package
+    first, so any query can be the first of its session."""
     ship(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _PATHS.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.buckets import block_pairs, groups
+from plumbline.llm.buckets import groups, open_blocks
 from plumbline.llm.common import documents_of, record, slices, tidy, written
 from plumbline.llm.components import Forest, components
 
@@ -189,10 +189,11 @@ def _joined(percent: int):
 
     def f(batches):
         for g in groups(batches, ["band", "key", "lo", "hi"]):
-            ids, comp, n = (g.column(c).to_numpy() for c in ("doc_id", "comp", "n"))
+            ids, comp = (g.column(c).to_numpy() for c in ("doc_id", "comp"))
             if (comp == comp[0]).all():
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in g.column("s").to_pylist()]
+            n = np.array([len(x) for x in sets])
             names, size = np.unique(comp, return_counts=True)
             few, every = np.flatnonzero(comp != names[size.argmax()]), np.arange(len(ids))
             forest, u, v = Forest(), [], []
@@ -225,8 +226,8 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is its own).
 
     Documents link if 100 * intersection >= percent * union of their sets. A text that is null or has no words has an empty
-    set, links with nothing and is kept. Rows that repeat a doc_id belong to one component. Rows without a doc_id are left
-    out; an empty table gives an empty result.
+    set, links with nothing and is kept. Rows that repeat a doc_id belong to one component, and it links by any of their
+    sets. Rows without a doc_id are left out; an empty table gives an empty result.
     """
     rows = written(documents_of(docs).mapInArrow(_signed(shingle), "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>"), "signatures")
     some = rows.where("n > 0")
@@ -249,17 +250,17 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     best = both.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     ids = buckets.select("doc_id").distinct()  # one shuffle of texts for all comparisons
-    sets = written(documents_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary"), "sets")
+    sets = documents_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary")
+    repeated = not shared.isEmpty() or not some.groupBy("doc_id", "k1", "k2").count().where("count > 1").isEmpty()
+    sets = written(sets.dropDuplicates() if repeated else sets, "sets")  # of a doc_id that repeats, all its sets count
     tidy(docs.sparkSession)
     both = best.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sb")), "v")
     links = written(both.mapInArrow(_confirmed(percent), "u long, v long, ok boolean").where("ok").select("u", "v"), "links").union(shared)
     roots = written(components(links), "roots")
     named = buckets.select("band", "key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select(F.col("band").cast("long").alias("band"), "key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
-    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band", "key")
-    open_rows = named.join(mixed, ["band", "key"], "left_semi").join(reps, "doc_id")
-    wanted = written(block_pairs(open_rows, ["band", "key"], "doc_id").mapInArrow(_across(least, percent), "band long, key long, doc_id long").distinct(), "wanted")
-    compared = wanted.join(named, ["band", "key", "doc_id"]).join(reps.select("doc_id", "n"), "doc_id").join(sets, "doc_id")
-    more = written(block_pairs(compared, ["band", "key"], "doc_id", SETS).mapInArrow(_joined(percent), "u long, v long"), "links")
+    wanted = written(open_blocks(named, ["band", "key"], "doc_id", [reps.select("doc_id", "n", "sig", "bands")]).mapInArrow(_across(least, percent), "band long, key long, doc_id long").distinct(), "wanted")
+    compared = open_blocks(wanted.join(named, ["band", "key", "doc_id"]), ["band", "key"], "doc_id", [sets], block=SETS)
+    more = written(compared.mapInArrow(_joined(percent), "u long, v long"), "links")
     roots = written(components(links.union(more)), "roots")
     ids = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("comp"))
     own = F.coalesce("comp", "doc_id")

@@ -67,7 +67,48 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: Pairs (a, b) with a < b to the smallest id that each id of ``ids`` reaches.
+_REACH = """
+edges as (select a, b from links union all select b, a from links),
+reach(id, root) as (select id, id from ids union select edges.b, reach.root from reach join edges on edges.a = reach.id),
+classes as (select id, min(root) as root from reach group by id)"""
+
 SQL = {
+    "op2_embedding_dedup": f"""
+with recursive ids as (select vec_id as id from embeddings where vec_id is not null),
+ok as (select vec_id as id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select p.id as a, q.id as b from ok as p join ok as q on p.label = q.label and len(p.e) = len(q.e) and p.id < q.id where list_cosine_similarity(p.e, q.e) >= 0.93),
+{_REACH.strip()}
+select id as vec_id, (select count(*) from edges where edges.a = id) as n_links, root as component_id, id = root as kept from classes""",
+    "op3_substring_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents where doc_id is not null),
+pieces as (select doc_id, p * 1000 as base, substr(h, 2000 * p + 1, 2398) as h from (select doc_id, h, unnest(range(len(h) // 2000 + 1)) as p from d)),
+places as (select doc_id, base, h, unnest(range(least(1000, greatest(len(h) // 2 - 199, 0)))) as i from pieces),
+w as (select doc_id, base + i as i, md5(substr(h, 2 * i + 1, 400)) as k from places),
+hits as (select doc_id, i from w where k in (select k from w group by k having count(*) > 1)),
+marked as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as new from hits),
+runs as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from marked),
+spans as (select doc_id, run, min(i) as s, max(i) + 200 as e from runs group by doc_id, run),
+cuts as (select doc_id, run, s, e, coalesce(lag(e) over (partition by doc_id order by run), 0) as before from spans),
+ends as (select doc_id, sum(e - s) as n, count(*) as k, max(e) as e from spans group by doc_id),
+left_over as (select doc_id, run, substr(h, 2 * before + 1, 2 * (s - before)) as part from cuts join d using (doc_id)
+  union all select doc_id, 1000000000, substr(h, 2 * e + 1) from ends join d using (doc_id)),
+kept as (select doc_id, string_agg(part, '' order by run) as h from left_over group by doc_id)
+select doc_id, cast(len(d.h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(k, 0) as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join ends using (doc_id) left join kept using (doc_id)""",
+    "op9_minhash": f"""
+with recursive docs as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents where doc_id is not null),
+ids as (select id from docs),
+places as (select id, w, unnest(range(greatest(len(w) - 3, 0) + 1)) as i from docs where len(w) > 0),
+sets as (select distinct id, array_to_string(w[i + 1 : i + 3], ' ') as s from places),
+sizes as (select id, count(*) as n from sets group by id),
+pairs as (select p.id as a, q.id as b, count(*) as m from sets as p join sets as q on p.s = q.s and p.id < q.id group by p.id, q.id),
+links as (select a, b from pairs join sizes as x on x.id = a join sizes as y on y.id = b where 100 * m >= 85 * (x.n + y.n - m)),
+{_REACH.strip()}
+select id as doc_id, coalesce(n, 0) as n_shingles, root as component_id, id = root as kept from classes left join sizes using (id)""",
     "op1_line_dedup": f"""
 with docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents where doc_id is not null),
 lines as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from docs),

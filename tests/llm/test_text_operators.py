@@ -204,6 +204,36 @@ def test_near_documents(spark, k, percent):
     assert minhash.near_documents(empty(spark)).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """Two texts at a similarity below the threshold stay apart, whatever else one of the ids holds; any text of an id links it."""
+    base = prose(41, 100).split()
+    other = [*base[:60], *prose(42, 40).split()]
+    close = [*base[:97], "x", *base[98:]]
+    far = prose(43, 80)
+    data = [(7, " ".join(base)), (9, " ".join(other)), (7, "some words"), (7, far), (11, " ".join(close)), (12, far + " end"), (13, "some words"), (13, "some words")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_documents(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {(7, 98, 7), (7, 1, 7), (7, 78, 7), (9, 98, 9), (11, 98, 7), (12, 79, 7), (13, 1, 7)}
+
+
+def test_blocks_of_a_bucket_with_a_stray_member(spark, monkeypatch):
+    """Members of the largest component are dealt once; every pair of different components still meets in one task."""
+    from plumbline.llm import buckets
+
+    rows = spark.createDataFrame([(0, 5, i, 1 if i < 40 else i) for i in range(47)], "band long, key long, doc_id long, comp long")
+    got = buckets.open_blocks(rows, ["band", "key"], "doc_id", [], block=4).collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault((r["lo"], r["hi"]), []).append(r)
+    met = {}
+    for (lo, hi), members in tasks.items():
+        for i, a in enumerate(members):
+            for b in members[i + 1 :]:
+                if a["comp"] != b["comp"] and (a["own"] != b["own"] or lo == hi):
+                    met[frozenset((a["doc_id"], b["doc_id"]))] = met.get(frozenset((a["doc_id"], b["doc_id"])), 0) + 1
+    assert set(met.values()) == {1} and len(met) == 40 * 7 + 21
+    assert sum(r["doc_id"] < 40 for r in got) == 40 * 2
+
+
 def test_one_of_each(spark):
     data = rows() + [(4, rows()[3][1], "en", "a", 9), (None, "no id", None, None, 0)]
     got = minhash.one_of_each(table(spark, data, extra=True))
