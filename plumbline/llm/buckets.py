@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def block_pairs(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
+def block_pairs(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK, more: DataFrame | None = None) -> DataFrame:
     """rows of buckets with two members or more, with the columns lo, hi (the pair of blocks) and own (the row's block),
-    dealt by (keys, lo, hi) and sorted by them."""
+    dealt by (keys, lo, hi) and sorted by them. more: a table to join by ``member`` before they are dealt."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     n = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     rows = rows.join(sizes, keys).withColumn("_b", n).drop("_n")
+    if more is not None:
+        rows = rows.join(more, member)
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(3), F.col(member)), F.col("_b")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
     rows = rows.withColumn("_j", each).withColumn("lo", F.least("own", "_j")).withColumn("hi", F.greatest("own", "_j")).drop("_b", "_j")

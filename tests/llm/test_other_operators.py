@@ -47,22 +47,72 @@ def vectors():
     return out + [(k, None, 1), (k + 1, [], 1), (k + 2, [0.0] * 24, 1), (k + 3, [1.0, None], 1), (k + 4, [float("nan")] * 24, 1), (k + 5, out[0][1], None), (k + 6, [1.0, 2.0], 1), (k + 7, [1.0, 2.0], 1)]
 
 
+def links_by_hand(data, cosine=0.93):
+    u, n = Union(), [0] * len(data)
+    ok = [(p, np.array(v, np.float32).astype(float), k) for p, (_, v, k) in enumerate(data) if k is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    for x, (p, a, k) in enumerate(ok):
+        for q, b, m in ok[x + 1 :]:
+            if k == m and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= cosine:
+                u.join(p, q)
+                n[p] += 1
+                n[q] += 1
+    least = {}
+    for p, (i, *_) in enumerate(data):
+        least[u.root(p)] = min(i, least.get(u.root(p), i))
+    return sorted((i, n[p], least[u.root(p)], least[u.root(p)] == i) for p, (i, *_) in enumerate(data))
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
 def test_vectors(spark):
-    data = vectors()
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").withColumn("n", embedding_dedup.F.lit("x")).repartition(3)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df).collect()}
-    u, n = Union(), dict.fromkeys((x[0] for x in data), 0)
-    ok = [(i, np.array(v, np.float32).astype(float), k) for i, v, k in data if k is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    for x, (i, a, k) in enumerate(ok):
-        for j, b, m in ok[x + 1 :]:
-            if k == m and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
-                u.join(i, j)
-                n[i] += 1
-                n[j] += 1
-    assert got == {i: (n[i], u.root(i), u.root(i) == i) for i, *_ in data}
+    data = vectors() + [(0, vectors()[9][1], 0), (3, vectors()[3][1], 0), (500, vectors()[80][1], 1)]  # ids that repeat
+    df = spark.createDataFrame(data, VECTORS)
+    for c in ("n", "grp", "node", "k1", "key", "tab", "v", "u", "root", "component_id"):
+        df = df.withColumn(c, embedding_dedup.F.lit("x"))
+    assert sorted(map(tuple, embedding_dedup.near_vectors(df.repartition(3)).collect())) == links_by_hand(data)
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def planted(dim, groups, seed):
+    """Pairs and triples of vectors about the threshold, among random ones."""
+    rng, out = np.random.default_rng(seed), []
+    for g in range(groups):
+        c = rng.normal(size=dim)
+        c /= np.linalg.norm(c)
+        for cos in (1.0, 0.97, 0.94, 0.931, 0.929, 0.9)[: 2 + g % 5]:
+            o = rng.normal(size=dim)
+            o -= (o @ c) * c
+            out.append(c * cos + o / np.linalg.norm(o) * np.sqrt(1 - cos * cos))
+    return [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(out)]
+
+
+@pytest.mark.parametrize(("dim", "bucket", "block", "halves"), [(64, 0.05, 4096, 2), (64, 512, 16, 1), (200, 1e-4, 8, 3)])
+def test_vectors_of_longer_codes_and_several_blocks(spark, monkeypatch, dim, bucket, block, halves):
+    data = planted(dim, 60, dim)
+    assert embedding_dedup.code_length(len(data), dim, bucket) == halves
+    monkeypatch.setattr(embedding_dedup.block_pairs, "__defaults__", (block, None))
+    got = sorted(map(tuple, embedding_dedup.near_vectors(spark.createDataFrame(data, VECTORS), bucket=bucket).collect()))
+    assert got == links_by_hand(data)
+
+
+@pytest.mark.parametrize("halves", [1, 2, 3, 4])
+@pytest.mark.parametrize("dim", [8, 64, 768])
+def test_pairs_at_the_threshold_meet(halves, dim):
+    rng = np.random.default_rng(halves * 1000 + dim)
+    a, o = rng.normal(size=(300, dim)), rng.normal(size=(300, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    x, y = (embedding_dedup.axes(v, 4 + 2 * halves, halves) for v in (a, b))
+    there, back = embedding_dedup.meets(x, y)
+    assert (there | back).any(axis=1).mean() >= 0.99
+    c, d = embedding_dedup.codes(x), embedding_dedup.codes(y)
+    assert ((d == c[:, :, :1]).any(axis=2) == there).all()
+    s, t = embedding_dedup.sketches(a), embedding_dedup.sketches(b)
+    assert (np.bitwise_count(s ^ t).sum(axis=1) <= embedding_dedup.most_apart(0.93)).all()
+
+
 def test_hadamard_is_orthonormal():
     m = embedding_dedup.hadamard(np.eye(16))
     assert np.allclose(m @ m.T, np.eye(16))
