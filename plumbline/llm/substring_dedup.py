@@ -12,19 +12,21 @@ corpus order of strings is the order of (phrase suffix, parse suffix). No suffix
    sorted backwards, with common lengths) and parse suffix array (parse suffixes sorted, with common lengths) give for each
    split of the string a class on either side, and strings are equal if both classes are.
 
-A group may hold a third of all triggers, with as many contexts (a common line in different company). Such hot groups are found
-on a sample first; which ones are found decides the way, not the result. Their fingerprints are dealt by context, and in place of
-contexts their strings are compared, each a row that is counted before and after a shuffle.
-
 Fingerprints travel packed, a row for each run of documents and shard, and a fingerprint that repeats within a run goes once; so
-one passage in a third of all documents is no large group. Strings without a trigger in their first REACH bytes are
-fingerprinted whole, each by itself.
+one passage in a third of all documents is no large group. A group may still hold a third of all triggers with as many contexts (a
+common line in different company). So where a run has more than a few contexts of one group, it deals them by context, and sends the group's
+shard a mark only; a shard gets ENTRIES entries of a group, or 4 a run if that is more. In marked groups and those of more than HOT
+contexts strings are compared in place of contexts, each a row that is counted before and after a shuffle. Both ways give the same result.
+
+Strings without a trigger in their first REACH bytes are fingerprinted whole, each by itself. Long texts are parsed in pieces that overlap,
+so memory is a few times the longest text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +44,18 @@ EVERY = 24
 SHARD_BYTES = 16 << 20
 RUN_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
+PIECE = 1 << 20
 COMPARED = 20_000
-#: A group with more contexts than this, or than this share of all triggers, is hot; found on one of SAMPLED documents.
-HOT, HOT_SHARE, SAMPLED = 20_000, 2e-6, 64
+#: Contexts of a group that are compared in one task; a group with more is hot. Entries of a group in its shard.
+HOT, ENTRIES = 20_000, 1 << 20
 _rng = np.random.default_rng(20_240_603)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(0, 1 << 62)) * 2 + 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _KEY = np.dtype([("g", "<u8"), ("a", "<u8")])
-#: What a trigger is: nothing, settled, settled and to be compared, to be compared.
-SETTLED, SAMPLE, OPEN = 1, 2, 3
+#: What a trigger is: nothing, settled, settled and to be compared, to be compared; by strings if of a hot group.
+SETTLED, SAMPLE, OPEN, BY_STRINGS = 1, 2, 3, 4
+_WAY = np.uint8(3)
 
 
 class Parse:
@@ -121,29 +125,48 @@ class Parse:
         return out
 
 
-def _groups(length: int):
-    """Documents to their groups and how many different contexts a batch has of each."""
-
-    def f(batches):
-        for batch in batches:
-            for b in slices(batch, "text", SLICE_BYTES):
-                k = Parse([t or b"" for t in b.column("text").to_pylist()], length).keys()
-                first, _, _ = _distinct(k)
-                g, n = np.unique(k["g"][first], return_counts=True)
-                yield record(g=g.view(np.int64), n=n.astype(np.int64))
-
-    return f
-
-
-def hot_groups(base: DataFrame, length: int, total: int) -> np.ndarray:
-    """The hot groups: 1 / HOT_SHARE of them at most, about."""
-    limit = max(HOT, HOT_SHARE * total / EVERY) / SAMPLED
-    some = base.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SAMPLED)) == 0)
-    rows = some.mapInArrow(_groups(length), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
-    return np.sort(np.array([r["g"] for r in rows.select("g").collect()], np.int64).view(np.uint64))
-
-
-def _sent(shards: int, length: int, hot: np.ndarray):
+@dataclass
+class Triggers:
+    """The triggers of some texts in order: text, place in it, most and least bytes that a string can begin before it, whether it is a
+    string of its own, and the two fingerprints."""
+
+    doc: np.ndarray
+    at: np.ndarray
+    most: np.ndarray
+    least: np.ndarray
+    alone: np.ndarray
+    keys: np.ndarray
+
+
+def triggers(texts: list[bytes], length: int, piece: int = PIECE) -> Triggers:
+    """Of whole texts; those of over ``piece`` bytes are parsed piece by piece, with as much on either side as decides on a trigger."""
+    reach = min(REACH, length - TRIGGER)
+    parts: list[tuple[int, int, int, int, int]] = []  # text, bytes to parse, and bytes whose triggers count
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def parse() -> None:
+        p = Parse([texts[d][lo:hi] for d, lo, hi, _, _ in parts], length)
+        d, lo, s, e = (np.array([x[k] for x in parts], np.int64) for k in (0, 1, 3, 4))
+        at = p.at - p.begin[p.doc] + lo[p.doc]
+        use = (s[p.doc] <= at) & (at < e[p.doc])
+        out.append((d[p.doc][use], at[use], p.most[use], p.least[use], p.alone[use], p.keys()[use]))
+        parts.clear()
+
+    held = 0
+    for d, t in enumerate(texts):
+        for s in range(0, max(1, len(t)), piece):
+            e = min(len(t), s + piece)
+            parts.append((d, max(0, s - reach - 1), min(len(t), e + reach + length + TRIGGER), s, e))
+            held += e - s
+            if held >= piece:
+                parse()
+                held = 0
+    if parts or not out:
+        parse()
+    return Triggers(*(np.concatenate(c) for c in zip(*out, strict=True)))
+
+
+def _sent(shards: int, length: int, many: int):
     """Documents to packed fingerprints by shard, and for each run the documents in it."""
 
     def f(batches):
@@ -163,28 +186,32 @@ def _sent(shards: int, length: int, hot: np.ndarray):
             place = np.empty_like(turn)
             place[turn] = np.arange(len(turn))
             first, inverse, count = first[turn], place[inverse], count[turn]
-            by = k["g"][first]
-            by = np.where(np.isin(by, hot), mix64(by ^ k["a"][first]), by)
-            shard = (by % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            ids, blobs = [0], [b"D" + zlib.compress(np.array([len(docs)], "<i8").tobytes() + np.array(docs, "<i8").tobytes() + np.array(hashes, "<i8").tobytes() + n.astype("<i4").tobytes() + np.array([len(first)], "<i8").tobytes() + first.astype("<i4").tobytes() + inverse.astype("<i4").tobytes(), 1)]
-            for s in range(shards):
-                j = order[cuts[s] : cuts[s + 1]]
-                if len(j):
+            group = k["g"][first]
+            marked, of, contexts = np.unique(group, return_inverse=True, return_counts=True)
+            apart = (contexts > many)[of]
+            marked = marked[contexts > many]
+            shard = (np.where(apart, mix64(group ^ k["a"][first]), group) % np.uint64(shards)).astype(np.int64)
+            home = int(mix64(np.array([name], np.uint64))[0] % np.uint64(shards))
+            held_docs = np.array([len(docs)], "<i8").tobytes() + np.array(docs, "<i8").tobytes() + np.array(hashes, "<i8").tobytes() + n.astype("<i4").tobytes()
+            ids, blobs = [home], [b"D" + zlib.compress(held_docs + np.array([len(first)], "<i8").tobytes() + first.astype("<i4").tobytes() + inverse.astype("<i4").tobytes(), 1)]
+            for kind, some in ((b"K", np.flatnonzero(~apart)), (b"C", np.flatnonzero(apart))):
+                for s, j in _by(shard[some], some):
                     ids.append(s)
-                    blobs.append(_packed(k[first[j]], j, count[j] > 1))
+                    blobs.append(kind + _packed(k[first[j]], j, count[j] > 1))
+            for s, j in _by((marked % np.uint64(shards)).astype(np.int64), np.arange(len(marked))):
+                ids.append(s)
+                blobs.append(b"M" + np.ascontiguousarray(marked[j]).view("u1").reshape(-1, 8)[:, 2:].tobytes())
             return record(shard=np.array(ids, np.int64), run=np.full(len(ids), name, np.int64), blob=pa.array(blobs, pa.binary()))
 
         for batch in batches:
             for b in slices(batch, "text", SLICE_BYTES):
                 texts = [t or b"" for t in b.column("text").to_pylist()]
-                p = Parse(texts, length)
+                t = triggers(texts, length)
                 docs += b.column("doc_id").to_pylist()
-                hashes += [_text_hash(t) for t in texts]
-                sizes.append(np.bincount(p.doc, minlength=len(texts)))
-                keys.append(p.keys())
-                held += len(p.x)
+                hashes += [_text_hash(x) for x in texts]
+                sizes.append(np.bincount(t.doc, minlength=len(texts)))
+                keys.append(t.keys)
+                held += sum(map(len, texts))
                 if held >= RUN_BYTES:
                     yield rows()
                     run, docs, hashes, sizes, keys, held = run + 1, [], [], [], [], 0
@@ -194,12 +221,19 @@ def _sent(shards: int, length: int, hot: np.ndarray):
     return f
 
 
+def _by(shard: np.ndarray, values: np.ndarray):
+    """The values of each shard that is there."""
+    order = np.argsort(shard, kind="stable")
+    names, begin = np.unique(shard[order], return_index=True)
+    return zip(names.tolist(), np.split(values[order], begin[1:]), strict=True) if len(names) else ()
+
+
 def _packed(keys: np.ndarray, places: np.ndarray, many: np.ndarray) -> bytes:
     """Keys with 48 bits of either fingerprint (the shard tells some more), their ascending places as steps, and a bit each."""
     step = np.diff(places, prepend=0)
     width = "<u2" if step.max() < 1 << 16 else "<u4"
     bits = [np.ascontiguousarray(keys[c]).view("u1").reshape(-1, 8)[:, 2:].tobytes() for c in ("g", "a")]
-    return b"K" + width[-1:].encode() + len(keys).to_bytes(4, "little") + b"".join(bits) + step.astype(width).tobytes() + np.packbits(many).tobytes()
+    return width[-1:].encode() + len(keys).to_bytes(4, "little") + b"".join(bits) + step.astype(width).tobytes() + np.packbits(many).tobytes()
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,50 +267,57 @@ def _distinct(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[new], inverse, np.bincount(cls, minlength=0)
 
 
-def _judged(hot: np.ndarray):
+def _judged(most: int):
     """All runs' fingerprints of a shard to what each is. Documents of runs pass through."""
-    return lambda batches: _judge(batches, hot & ~np.uint64(0xFFFF))
-
 
-def _judge(batches, hot: np.ndarray):
-    shard, runs, keys, places, many = None, [], [], [], []
+    def f(batches):
+        shard, runs, keys, places, many, apart, marks = None, [], [], [], [], [], []
 
-    def rows():
-        k, at, twice, of = np.concatenate(keys), np.concatenate(places), np.concatenate(many), np.repeat(runs, [len(x) for x in keys])
-        first, inverse, count = _distinct(k)
-        repeated = (count > 1) | (np.bincount(inverse, twice) > 0)
-        group = k["g"][first]  # sorted
-        new = np.ones(len(group), bool)
-        new[1:] = group[1:] != group[:-1]
-        mixed = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-        flag = np.where(repeated, SETTLED, 0)[inverse]
-        one = np.zeros(len(k), bool)
-        one[first] = True  # any of the context's triggers stands for it
-        mixed |= np.isin(group, hot)  # their other contexts are in other shards
-        compare = mixed[inverse] & one
-        flag = np.where(compare, np.where(flag == SETTLED, SAMPLE, OPEN), flag)
-        got = np.flatnonzero(flag)
-        order = got[np.argsort(of[got], kind="stable")]
-        names, begin = np.unique(of[order], return_index=True)
-        for name, j in zip(names.tolist(), np.split(order, begin[1:]), strict=True):
-            yield record(run=[name], blob=pa.array([b"F" + at[j].astype("<i4").tobytes() + flag[j].astype("u1").tobytes()], pa.binary()))
+        def rows():
+            size = [len(x) for x in keys]
+            k, at, twice, of = np.concatenate(keys), np.concatenate(places), np.concatenate(many), np.repeat(runs, size)
+            first, inverse, count = _distinct(k)
+            repeated = (count > 1) | (np.bincount(inverse, twice) > 0)
+            group = k["g"][first]  # sorted
+            new = np.ones(len(group), bool)
+            new[1:] = group[1:] != group[:-1]
+            contexts = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+            # the other contexts of these groups are in other shards
+            wide = (np.bincount(inverse, np.repeat(apart, size)) > 0) | np.isin(group, np.concatenate([np.zeros(0, np.uint64), *marks]))
+            flag = np.where(repeated, SETTLED, 0)[inverse]
+            one = np.zeros(len(k), bool)
+            one[first] = True  # any of the context's triggers stands for it
+            compare = ((contexts > 1) | wide)[inverse] & one
+            flag = np.where(compare, np.where(flag == SETTLED, SAMPLE, OPEN) + BY_STRINGS * (wide | (contexts > most))[inverse], flag)
+            got = np.flatnonzero(flag)
+            for name, j in _by(of[got], got):
+                yield record(run=[name], blob=pa.array([b"F" + at[j].astype("<i4").tobytes() + flag[j].astype("u1").tobytes()], pa.binary()))
+
+        for b in batches:
+            for s, name, blob in zip(b.column("shard").to_pylist(), b.column("run").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if blob[:1] == b"D":
+                    yield record(run=[name], blob=pa.array([blob], pa.binary()))
+                    continue
+                if s != shard and (keys or marks):
+                    if keys:
+                        yield from rows()
+                    runs, keys, places, many, apart, marks = [], [], [], [], [], []
+                shard = s
+                if blob[:1] == b"M":
+                    g = np.zeros((len(blob) // 6, 8), np.uint8)
+                    g[:, 2:] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, 6)
+                    marks.append(g.view("<u8").ravel())
+                    continue
+                k, at, twice = _unpacked(blob)
+                runs.append(name)
+                keys.append(k)
+                places.append(at)
+                many.append(twice)
+                apart.append(blob[:1] == b"C")
+        if keys:
+            yield from rows()
 
-    for b in batches:
-        for s, name, blob in zip(b.column("shard").to_pylist(), b.column("run").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            if blob[:1] == b"D":
-                yield record(run=[name], blob=pa.array([blob], pa.binary()))
-                continue
-            if s != shard and keys:
-                yield from rows()
-                runs, keys, places, many = [], [], [], []
-            shard = s
-            k, at, twice = _unpacked(blob)
-            runs.append(name)
-            keys.append(k)
-            places.append(at)
-            many.append(twice)
-    if keys:
-        yield from rows()
+    return f
 
 
 def _flagged(batches):
@@ -297,7 +338,7 @@ def _flagged(batches):
         flags = by[inverse]
         one = np.zeros(len(inverse), bool)
         one[first] = True
-        flags[~one & (flags == SAMPLE)] = SETTLED
+        flags[~one & (flags & _WAY == SAMPLE)] = SETTLED
         ends = np.cumsum(sizes)
         out = [(int(d), int(h), flags[e - s : e]) for d, h, s, e in zip(docs, hashes, sizes, ends, strict=True)]
         out = [(d, h, zlib.compress(f.tobytes(), 1)) for d, h, f in out if f.any()]
@@ -346,51 +387,54 @@ def _split(batches):
             )
 
 
-def _windows(length: int, hot: np.ndarray):
+def _flags(b: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in b.column("flags").to_pylist()])
+
+
+def _windows(length: int):
     """Documents with flags to the strings that begin before their triggers of hot groups."""
 
     def f(batches):
         for batch in batches:
             for b in slices(batch, "text", SLICE_BYTES):
-                p = Parse(b.column("text").to_pylist(), length)
-                flags = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in b.column("flags").to_pylist()])
-                use = np.flatnonzero((flags >= SAMPLE) & ~p.alone)
-                use = use[np.isin(p.keys()["g"][use], hot)]
-                many = p.most[use] - p.least[use] + 1
+                flags = _flags(b)
+                if not (flags & BY_STRINGS).any():
+                    continue
+                texts = b.column("text").to_pylist()
+                t = triggers(texts, length)
+                use = np.flatnonzero((flags & BY_STRINGS > 0) & ~t.alone)
+                many = t.most[use] - t.least[use] + 1
                 i = np.repeat(use, many)
-                start = np.repeat(p.at[use] - p.most[use] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                raw = p.x.tobytes()
+                start = np.repeat(t.at[use] - t.most[use] - np.cumsum(many) + many, many) + np.arange(many.sum())
                 for k in range(0, len(i), 50_000):
                     j, q = i[k : k + 50_000], start[k : k + 50_000]
-                    w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a : a + length]) for a in q.tolist()), np.int64).reshape(-1, 2)
-                    doc = p.doc[j]
-                    yield record(w1=w[:, 0].copy(), w2=w[:, 1].copy(), d=b.column("doc_id").take(pa.array(doc)), dh=b.column("h").take(pa.array(doc)), start=q - p.begin[doc], open=pa.array(flags[j] == OPEN))
+                    doc = t.doc[j]
+                    w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(texts[d][a : a + length]) for d, a in zip(doc.tolist(), q.tolist(), strict=True)), np.int64).reshape(-1, 2)
+                    yield record(w1=w[:, 0].copy(), w2=w[:, 1].copy(), d=b.column("doc_id").take(pa.array(doc)), dh=b.column("h").take(pa.array(doc)), start=q, open=pa.array(flags[j] & _WAY == OPEN))
 
     return f
 
 
-def _contexts(length: int, hot: np.ndarray):
+def _contexts(length: int):
     """Documents with flags to the contexts of their triggers that are to be compared, but for hot groups."""
 
     def f(batches):
         for batch in batches:
             for b in slices(batch, "text", SLICE_BYTES):
-                texts = b.column("text").to_pylist()
-                p = Parse(texts, length)
-                flags = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in b.column("flags").to_pylist()])
-                use = np.flatnonzero((flags >= SAMPLE) & ~p.alone)
-                if not len(use):
+                flags = _flags(b)
+                if not ((flags == SAMPLE) | (flags == OPEN)).any():
                     continue
-                g = p.keys()["g"]
-                use = use[~np.isin(g[use], hot)]
-                g = g[use].view(np.int64)
-                raw = p.x.tobytes()
-                at, most, least, doc = p.at[use], p.most[use], p.least[use], p.doc[use]
-                yield record(
-                    g=g, doc_id=b.column("doc_id").take(pa.array(doc)), h=b.column("h").take(pa.array(doc)), at=at - p.begin[doc], most=most, least=least, open=pa.array(flags[use] == OPEN),
-                    left=pa.array([raw[a - m : a] for a, m in zip(at.tolist(), most.tolist(), strict=True)], pa.binary()),
-                    right=pa.array([raw[a : a + length - k] for a, k in zip(at.tolist(), least.tolist(), strict=True)], pa.binary()),
-                )
+                texts = b.column("text").to_pylist()
+                t = triggers(texts, length)
+                use = np.flatnonzero(((flags == SAMPLE) | (flags == OPEN)) & ~t.alone)
+                for k in range(0, len(use), 20_000):
+                    u = use[k : k + 20_000]
+                    at, most, least, doc = t.at[u], t.most[u], t.least[u], t.doc[u]
+                    yield record(
+                        g=t.keys["g"][u].view(np.int64), doc_id=b.column("doc_id").take(pa.array(doc)), h=b.column("h").take(pa.array(doc)), at=at, most=most, least=least, open=pa.array(flags[u] == OPEN),
+                        left=pa.array([texts[d][a - m : a] for d, a, m in zip(doc.tolist(), at.tolist(), most.tolist(), strict=True)], pa.binary()),
+                        right=pa.array([texts[d][a : a + length - m] for d, a, m in zip(doc.tolist(), at.tolist(), least.tolist(), strict=True)], pa.binary()),
+                    )
 
     return f
 
@@ -473,20 +517,22 @@ def _cut(length: int):
         for batch in batches:
             for b in slices(batch, "text", SLICE_BYTES):
                 texts = b.column("text").to_pylist()
-                p = Parse(texts, length)
-                flags = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in b.column("flags").to_pylist()])
-                mark = np.zeros(len(p.x) + length + 1, np.int32)
-                done = (flags == SETTLED) | (flags == SAMPLE)
-                np.add.at(mark, p.at[done] - p.most[done], 1)
-                np.add.at(mark, p.at[done] - p.least[done] + length, -1)
+                t, flags = triggers(texts, length), _flags(b)
+                ends = np.cumsum([len(x) for x in texts])
+                begins = np.concatenate([[0], ends[:-1]])
+                mark = np.zeros(int(ends[-1]) + length + 1, np.int32)
+                done = (flags & _WAY == SETTLED) | (flags & _WAY == SAMPLE)
+                place = t.at[done] + begins[t.doc[done]]
+                np.add.at(mark, place - t.most[done], 1)
+                np.add.at(mark, place - t.least[done] + length, -1)
                 for d, starts in enumerate(b.column("starts").to_pylist()):
                     if starts:
-                        s = np.unique(starts) + p.begin[d]
-                        np.add.at(mark, s, 1)
-                        np.add.at(mark, s + length, -1)
-                gone = np.cumsum(mark[: len(p.x)]) > 0
+                        q = np.unique(starts) + begins[d]
+                        np.add.at(mark, q, 1)
+                        np.add.at(mark, q + length, -1)
+                gone = np.cumsum(mark[: ends[-1]], out=mark[: ends[-1]]) > 0
                 removed, spans, digest, kept = [], [], [], []
-                for t, lo, hi in zip(texts, p.begin.tolist(), p.end.tolist(), strict=True):
+                for t, lo, hi in zip(texts, begins.tolist(), ends.tolist(), strict=True):
                     w = gone[lo:hi]
                     removed.append(int(w.sum()))
                     spans.append(int(w[:1].sum() + (w[1:] & ~w[:-1]).sum()))
@@ -512,9 +558,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     base = documents_of(docs)
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    hot = hot_groups(base, length, total)
-    sent = base.mapInArrow(_sent(shards, length, hot), "shard long, run long, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    judged = sent.mapInArrow(_judged(hot), "run long, blob binary").repartition("run").sortWithinPartitions("run")
+    many = max(4, ENTRIES // (1 + total // RUN_BYTES))
+    sent = base.mapInArrow(_sent(shards, length, many), "shard long, run long, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    judged = sent.mapInArrow(_judged(HOT), "run long, blob binary").repartition("run").sortWithinPartitions("run")
     flagged = judged.mapInArrow(_flagged, "d long, h long, flags binary").repartition("d", "h").sortWithinPartitions("d", "h")
     flags = written(flagged.mapInArrow(_strongest, "d long, h long, flags binary"), "flags")
     tidy(spark)
@@ -523,13 +569,14 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     split = written(joined.mapInArrow(_split, "doc_id long, h long, n_bytes long, flags binary, sha string, text binary"), "parsed")
     tidy(spark)
     some = split.where("flags is not null")
-    once = some.select("doc_id", "h", "text", "flags").dropDuplicates(["doc_id", "h"])
-    contexts = once.mapInArrow(_contexts(length, hot), "g long, doc_id long, h long, at long, most long, least long, open boolean, left binary, right binary")
+    once = some.select("doc_id", "h", "text", "flags")
+    if once.count() != flags.count():  # rows that repeat both id and text
+        once = once.dropDuplicates(["doc_id", "h"])
+    contexts = once.mapInArrow(_contexts(length), "g long, doc_id long, h long, at long, most long, least long, open boolean, left binary, right binary")
     starts = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(length), "d long, dh long, start long")
-    if len(hot):
-        strings = once.mapInArrow(_windows(length, hot), "w1 long, w2 long, d long, dh long, start long, open boolean")
-        twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        starts = starts.union(strings.where("open").join(twice, ["w1", "w2"], "left_semi").select("d", "dh", "start"))
+    strings = once.mapInArrow(_windows(length), "w1 long, w2 long, d long, dh long, start long, open boolean")
+    twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    starts = starts.union(strings.where("open").join(twice, ["w1", "w2"], "left_semi").select("d", "dh", "start"))
     starts = written(starts.groupBy("d", "dh").agg(F.collect_list("start").alias("starts")), "starts")
     tidy(spark)
     both = some.join(starts, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("dh")), "left").select("doc_id", "n_bytes", "text", "flags", "starts")

@@ -92,18 +92,26 @@ def test_substrings(spark):
     assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
 
 
-def test_substrings_of_hot_groups(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", 2)
-    monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
+@pytest.mark.parametrize(("hot", "entries"), [(2, 1 << 20), (20_000, 0), (2, 0)])
+def test_substrings_of_hot_groups(spark, monkeypatch, hot, entries):
+    """Groups that are hot by their contexts, or marked by runs that hold more than four of them, or neither."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "ENTRIES", entries)
     common = prose(70, 25)  # in different company each time
     data = rows() + [(20 + i, f"{prose(80 + i % 9, 12)} {common} {prose(90 + i % 4, 30)}", None, None, 0) for i in range(30)]
-    base = table(spark, data)
-    assert len(substring_dedup.hot_groups(substring_dedup.documents_of(base), 200, 0)) > 3
-    got = substring_dedup.dedup_substrings(base).collect()
+    got = substring_dedup.dedup_substrings(table(spark, data)).collect()
     want = [(d, *x) for (d, *_), x in zip(data, summed([(r[1] or "").encode() for r in data], 200), strict=True)]
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_pieces_parse_like_the_whole():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 101, n).astype("u1")) for n in (0, 5, 900, 20_000)] + [b"a" * 3000]
+    whole, pieces = (substring_dedup.triggers(texts, 200, n) for n in (1 << 20, 700))
+    for c in ("doc", "at", "most", "least", "alone", "keys"):
+        assert (getattr(whole, c) == getattr(pieces, c)).all()
+
+
 def test_substrings_of_repeated_rows(spark):
     data = [(1, prose(1, 100), None, None, 0), (1, prose(1, 100), None, None, 0), (1, prose(9, 100), None, None, 0)]
     got = sorted(r["n_removed"] for r in substring_dedup.dedup_substrings(table(spark, data)).collect())
