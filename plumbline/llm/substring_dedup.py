@@ -559,7 +559,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     many = max(4, ENTRIES // (1 + total // RUN_BYTES))
-    sent = base.mapInArrow(_sent(shards, length, many), "shard long, run long, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    sent = base.mapInArrow(_sent(shards, length, many), "shard long, run long, blob binary").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     judged = sent.mapInArrow(_judged(HOT), "run long, blob binary").repartition("run").sortWithinPartitions("run")
     flagged = judged.mapInArrow(_flagged, "d long, h long, flags binary").repartition("d", "h").sortWithinPartitions("d", "h")
     flags = written(flagged.mapInArrow(_strongest, "d long, h long, flags binary"), "flags")
