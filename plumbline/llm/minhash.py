@@ -14,6 +14,8 @@ connected already.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,33 +23,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.buckets import groups, open_blocks
-from plumbline.llm.common import documents_of, record, slices, tidy, written
+from plumbline.llm.common import documents_of, mix64, record, slices, tidy, written
 from plumbline.llm.components import Forest, components
 
 PERMUTATIONS = 48
 ROWS = 4
 #: Members of a bucket whose sets are in one task, twice.
 SETS = 1024
-_CACHED = 120_000
 _rng = np.random.default_rng(20_240_602)
 _XOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORD: list[dict[bytes, int]] = [{}, {}]
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
+_BASE = int(_rng.integers(0, 1 << 62)) * 2 + 1
+#: Texts are hashed in pieces of about so many bytes.
+PIECE = 1 << 18
+#: Powers of the base and of its inverse, made once a worker.
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased; frequent words are hashed once a worker."""
-    words = text.lower().split()
-    now, before = _WORD
-    new = set(words).difference(now)
-    if new:
-        if len(now) + len(new) > _CACHED:
-            _WORD[:] = [{}, now]
-            now, before = _WORD
-            new = set(words)
-        for w in new:
-            now[w] = before[w] if w in before else xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(now.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, in order."""
+    out, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > PIECE:
+            cut = _BLANK.search(text, at + PIECE)
+            end = cut.start() if cut else end
+        part = text[at:end]
+        if len(part) <= 2 * PIECE:
+            out.append(_hashed(part))
+        else:  # it ends in a word of over PIECE bytes
+            words = part.split()
+            out += [_hashed(b" ".join(words[:-1])), np.array([xxhash.xxh3_64_intdigest(words[-1].lower())], np.uint64)] if words and len(words[-1]) > PIECE else [_hashed(part)]
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _hashed(part: bytes) -> np.ndarray:
+    """By sums of bytes times powers of an odd base, which prefix sums give for all words at once."""
+    x = np.frombuffer(part.lower(), np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[x], [True]]).view(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    power, back = _powers(max(len(x), 2 * PIECE))
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_BYTE[x] * power[: len(x)], out=total[1:])
+    return mix64((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:

@@ -183,6 +183,18 @@ def test_common_subsequence(x, y):
     assert passages.common_subsequence(np.array(x, int), np.array(y, int)) == t[-1, -1]
 
 
+def test_word_hashes(monkeypatch):
+    texts = [b"", b"  ", b"A b\x0ba  B\xc3\x89 \xc3\xa9", b"x" * 50 + b" y " + b"x" * 50 + b"  " + b"X" * 50, "é\u00a0ß\u2003z".encode()]
+    words = [t.lower().split() for t in texts]
+    for piece in (1 << 18, 16, 3):
+        monkeypatch.setattr(minhash, "PIECE", piece)
+        got = [minhash.word_hashes(t).tolist() for t in texts]
+        assert [len(g) for g in got] == [len(w) for w in words]
+        name = {}
+        assert all(name.setdefault(w, h) == h for ws, hs in zip(words, got, strict=True) for w, h in zip(ws, hs, strict=True))
+        assert len(set(name.values())) == len(name)
+
+
 def near_by_hand(data, k, percent):
     sets = {}
     for d, t, *_ in data:
