@@ -355,6 +355,19 @@ def test_fuzzy_passages_are_found_and_kept(n, changed):
     assert got >= 19
 
 
+def test_anchored_alignment_is_as_long_as_the_whole():
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        x = rng.integers(0, 400, rng.integers(30, 200)).astype("<u4")
+        y = x.copy()
+        y[rng.choice(len(y), rng.integers(0, len(y) // 6), replace=False)] = 1000 + k
+        lead = rng.integers(0, 9)
+        y = np.concatenate([rng.integers(0, 400, lead).astype("<u4"), y, rng.integers(0, 400, 12).astype("<u4")])
+        i, j = passages.anchored(x, y, -int(lead), 0)
+        assert (x[i] == y[j]).all() and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
+        assert len(i) >= len(passages.matched(x, y, -int(lead) - passages.SLACK, -int(lead) + passages.SLACK)[0]) - 1
+
+
 def test_passages_beside_other_matches():
     """A fuzzy passage that chaining joins to a common line some words on is kept when the whole chain fails."""
     rng = np.random.default_rng(5)
