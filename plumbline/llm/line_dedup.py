@@ -26,11 +26,20 @@ from plumbline.llm.common import documents_of, mix64, record, slices, written
 LEAST_CHARS = 20
 LEAST_DOCS = 3
 SHARD_KEYS = 1 << 17
-SALTS = 16
+#: Postings that one task probes, about.
+PLACE = 1 << 19
 _SPACE = b" \t\n\x0b\x0c\r"
 _SLOTS = 4
 
 
+def _turns(sorted_keys: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each run of equal keys."""
+    at = np.arange(len(sorted_keys))
+    new = np.ones(len(at), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+
+
 class CuckooFilter:
     """16-bit fingerprints, buckets of four, partial-key cuckoo hashing. A key that was inserted is always found; one that
     wasn't is found about once in 8,000 times. Each insertion takes one slot, so each can be deleted again."""
@@ -53,61 +62,59 @@ class CuckooFilter:
     def other(self, bucket, fp):
         return bucket ^ (mix64(np.atleast_1d(fp).astype(np.uint64)) & np.uint64(self.buckets - 1)).astype(np.int64)
 
+    def _placed(self, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Puts fingerprints into free slots, in whole rounds. Returns the numbers of those that found none."""
+        left = np.arange(len(fp))
+        for bucket in (a, b, a, b):
+            order = left[np.argsort(bucket[left], kind="stable")]
+            at = bucket[order]
+            free = np.argsort(self.slots[at] != 0, axis=1, kind="stable")  # free slots first
+            nth = _turns(at)
+            fits = nth < (self.slots[at] == 0).sum(axis=1)
+            self.slots[at[fits], free[fits, nth[fits]]] = fp[order[fits]]
+            left = order[~fits]
+        return left
+
     def insert(self, keys: np.ndarray) -> None:
-        """Keys in turn; grows if a key finds no place."""
-        if not len(keys):
-            return
+        """All keys: whole rounds first, evictions for the few that are left. OverflowError if one finds no place."""
         fps, a, b = self.places(keys)
         rng = np.random.default_rng(len(keys))
-        for i in range(len(keys)):
-            fp, at = fps[i], a[i]
-            for bucket in (at, b[i]):
-                free = np.flatnonzero(self.slots[bucket] == 0)
+        for i in self._placed(fps, a, b).tolist():
+            fp, at = fps[i], int(a[i])
+            for _ in range(500):
+                free = np.flatnonzero(self.slots[at] == 0)
                 if len(free):
-                    self.slots[bucket, free[0]] = fp
+                    self.slots[at, free[0]] = fp
                     break
+                j = rng.integers(_SLOTS)
+                fp, self.slots[at, j] = self.slots[at, j], fp
+                at = int(self.other(at, fp)[0])
             else:
-                for _ in range(500):
-                    j = rng.integers(_SLOTS)
-                    fp, self.slots[at, j] = self.slots[at, j], fp
-                    at = int(self.other(at, fp)[0])
-                    free = np.flatnonzero(self.slots[at] == 0)
-                    if len(free):
-                        self.slots[at, free[0]] = fp
-                        break
-                else:
-                    raise OverflowError("the filter is full")
+                raise OverflowError("the filter is full")
 
     @classmethod
     def build(cls, keys: np.ndarray) -> CuckooFilter:
-        """A filter of all keys: whole rounds of placements first, evictions for the few that are left."""
         buckets = cls.sized(len(keys)).buckets
         while True:
             f = cls(buckets)
-            fp, a, b = f.places(keys)
-            left = np.arange(len(keys))
-            for bucket in (a, b, a, b):
-                order = left[np.argsort(bucket[left], kind="stable")]
-                at = bucket[order]
-                first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1]) if len(at) else np.zeros(0, np.int64)
-                nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-                slot = (f.slots[at] != 0).sum(axis=1) + nth
-                fits = slot < _SLOTS
-                f.slots[at[fits], slot[fits]] = fp[order[fits]]
-                left = order[~fits]
             try:
-                f.insert(keys[left])
+                f.insert(keys)
                 return f
             except OverflowError:
                 buckets *= 2
 
     def delete(self, keys: np.ndarray) -> None:
-        for fp, a, b in zip(*self.places(keys), strict=True):
-            for bucket in (a, b):
-                hit = np.flatnonzero(self.slots[bucket] == fp)
-                if len(hit):
-                    self.slots[bucket, hit[0]] = 0
-                    break
+        """One fingerprint of each key, in whole rounds. Keys that were never inserted must not be given."""
+        fp, a, b = self.places(keys)
+        left = np.arange(len(keys))
+        for bucket in (a, b):
+            order = left[np.lexsort((fp[left], bucket[left]))]
+            at, own = bucket[order], fp[order]
+            same = self.slots[at] == own[:, None]
+            hit = same & (np.cumsum(same, axis=1) == _turns(at.astype(np.int64) * 65536 + own)[:, None] + 1)
+            found = hit.any(axis=1)
+            self.slots[at[found], hit[found].argmax(axis=1)] = 0
+            left = order[~found]
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         fp, a, b = self.places(keys)
@@ -244,11 +251,12 @@ class LineIndex:
         return written(dealt.mapInArrow(_filters, "shard long, blob binary"), "filters")
 
     def passing(self, postings: DataFrame) -> DataFrame:
-        """The postings that the filters of their shards hold. A shard's postings are dealt to SALTS places, each with a copy of
-        the filter (a few hundred KB), so a line of a third of all rows doesn't meet in one task."""
-        probes = postings.select(self._shard(self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("blob"), "k1", "k2", "doc_id")
+        """The postings that the filters of their shards hold. A shard's postings are dealt to as many places as their number asks for (PLACE
+        each), each with a copy of the filter (a few hundred KB), so a line of a third of all rows doesn't meet in one task."""
+        salts = max(1, -(-postings.count() // (PLACE * self.shards)))
+        probes = postings.select(self._shard(self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("blob"), "k1", "k2", "doc_id")
         none = F.lit(None).cast("long")
-        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "blob", none.alias("k1"), none.alias("k2"), none.alias("doc_id"))
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "blob", none.alias("k1"), none.alias("k2"), none.alias("doc_id"))
         dealt = filters.union(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").asc_nulls_last())
         return dealt.mapInArrow(_probed, "k1 long, k2 long, doc_id long")
 
@@ -275,12 +283,18 @@ class LineIndex:
         counts = written(self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(fresh), "counts")
         old = self.counts.where(F.col("n_docs") >= self.least_docs).join(touched, ["k1", "k2"], "left_semi").select("k1", "k2")
         new = counts.where(F.col("n_docs") >= self.least_docs).join(touched, ["k1", "k2"], "left_semi").select("k1", "k2")
+        frequent = counts.where(F.col("n_docs") >= self.least_docs)
+        shards = max(1, -(-frequent.count() // SHARD_KEYS))
+        if shards > self.shards:  # more keys than the shards are made for
+            return LineIndex(postings, counts, self._built(frequent, shards), shards, self.least_chars, self.least_docs)
         moves = new.exceptAll(old).withColumn("by", F.lit(1)).union(old.exceptAll(new).withColumn("by", F.lit(-1)))
-        moves = moves.groupBy(self._shard(self.shards).alias("shard")).agg(F.collect_list(F.when(F.col("by") > 0, F.col("k1"))).alias("new"), F.collect_list(F.when(F.col("by") < 0, F.col("k1"))).alias("gone"))
-        filters = written(self.filters.join(moves, "shard", "full").select("shard", "blob", "new", "gone").mapInArrow(_moved, "shard long, blob binary"), "filters")
+        moves = moves.select(self._shard(self.shards).alias("shard"), F.lit(None).cast("binary").alias("blob"), "k1", "by")
+        held = self.filters.select("shard", "blob", F.lit(None).cast("long").alias("k1"), F.lit(-2).alias("by"))
+        dealt = held.union(moves).repartition("shard").sortWithinPartitions("shard", "by")
+        filters = written(dealt.mapInArrow(_moved, "shard long, blob binary"), "filters")
         full = filters.where("blob is null").select("shard")
         if not full.isEmpty():
-            again = counts.where(F.col("n_docs") >= self.least_docs).withColumn("shard", self._shard(self.shards)).join(full, "shard", "left_semi")
+            again = frequent.withColumn("shard", self._shard(self.shards)).join(full, "shard", "left_semi")
             filters = written(filters.where("blob is not null").union(self._built(again, self.shards)), "filters")
         return LineIndex(postings, counts, filters, self.shards, self.least_chars, self.least_docs)
 
@@ -296,18 +310,40 @@ class LineIndex:
 
 
 def _moved(batches):
+    """Rows (shard, blob, k1, by) sorted by shard: its filter, then the keys that go, then those that come. A batch of keys is held at a time."""
+    shard, f, full = None, None, False
+
+    def done():
+        return record(shard=[shard], blob=pa.array([None if full else f.to_bytes()], pa.binary()))
+
     for batch in batches:
-        blobs = []
-        for blob, new, gone in zip(*(batch.column(c).to_pylist() for c in ("blob", "new", "gone")), strict=True):
-            f = CuckooFilter.from_bytes(blob) if blob is not None else CuckooFilter.sized(len(new or []))
-            f.delete(np.array(gone or [], np.int64))
-            try:
-                f.insert(np.array(new or [], np.int64))
-                blobs.append(f.to_bytes())
-            except OverflowError:  # built anew from the counts
-                blobs.append(None)
-        yield record(shard=batch.column("shard"), blob=pa.array(blobs, pa.binary()))
+        shards, by = batch.column("shard").to_numpy(), batch.column("by").to_numpy()
+        cuts = [0, *(np.flatnonzero((shards[1:] != shards[:-1]) | (by[1:] != by[:-1])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi == lo:
+                continue
+            if shards[lo] != shard:
+                if f is not None:
+                    yield done()
+                shard, full, f = int(shards[lo]), False, None
+            part = batch.slice(lo, hi - lo)
+            if by[lo] == -2:
+                f = CuckooFilter.from_bytes(part.column("blob")[0].as_py())
+                continue
+            f = CuckooFilter.sized(SHARD_KEYS) if f is None else f
+            keys = part.column("k1").to_numpy(zero_copy_only=False).astype(np.int64)
+            if by[lo] < 0:
+                f.delete(keys)
+            elif not full:
+                try:
+                    f.insert(keys)
+                except OverflowError:  # built anew from the counts
+                    full = True
+    if f is not None:
+        yield done()
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """LineIndex.apply() of docs to themselves: nulls, empty texts, repeated rows and rows without a doc_id as there; an empty table gives an
+    empty result."""
     return LineIndex.build(docs, least_chars, least_docs).apply(docs)

@@ -53,6 +53,20 @@ def test_lines_insert_and_delete(spark):
     assert sorted(map(tuple, index.apply(table(spark, left)).drop("kept").collect())) == lines_by_hand(left)
 
 
+def test_lines_inserted_beyond_the_first_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "PLACE", 50)
+    lines = [prose(300 + i, 8) for i in range(60)]
+    data = [(k, "\n".join(lines[k % 7 :: 2]), None, None, 0) for k in range(20)]
+    index = LineIndex.build(table(spark, data[:3]))
+    assert index.shards <= 2
+    index = index.insert(table(spark, data[3:]))
+    assert index.shards == 3
+    assert sorted(map(tuple, index.apply(table(spark, data)).drop("kept").collect())) == lines_by_hand(data)
+    index = index.delete(spark.createDataFrame([(k,) for k in range(3, 20)], "doc_id long"))
+    assert sorted(map(tuple, index.apply(table(spark, data[:3])).drop("kept").collect())) == lines_by_hand(data[:3])
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 20_000)
     f = CuckooFilter.build(keys[:10_000])
@@ -62,6 +76,12 @@ def test_cuckoo_filter():
     f = CuckooFilter.from_bytes(f.to_bytes())
     f.insert(keys[:100])
     assert f.holds(keys[:100]).all()
+    twice = CuckooFilter.sized(64)
+    twice.insert(np.array([5, 5, 5, 9]))
+    twice.delete(np.array([5, 5]))
+    assert twice.holds(np.array([5, 9])).all() and (twice.slots != 0).sum() == 2
+    twice.delete(np.array([5]))
+    assert twice.holds(np.array([5, 9])).tolist() == [False, True]
 
 
 def substrings_by_hand(texts, n):
