@@ -45,19 +45,42 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Gram counts, a row of DIM for each text, and whether each has a letter. All letters count, whatever their plane."""
+def counts(texts: list[str], piece: int = _SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """Gram counts, a row of DIM for each text, and whether each has a letter. All letters count, whatever their plane. Long texts are
+    counted in pieces of ``piece`` characters, each gram in the piece that it begins in."""
     if not _TABLE:
         _TABLE.append(_letters())
-    lowered = [f" {t.lower()} " for t in texts]
-    x = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
+    out, has = np.zeros((len(texts), DIM), np.int64), np.zeros(len(texts), bool)
+    held: list[tuple[int, str, int]] = []
+    room = 0
+    for i, t in enumerate(texts):
+        low = f" {t.lower()} "
+        for s in range(0, max(1, len(low) - 2), piece):
+            e = s + piece if s + piece < len(low) - 2 else len(low)
+            held.append((i, low[s : e + 2], e - s))
+            room += e - s
+            if room >= piece:
+                _count(held, out, has)
+                held, room = [], 0
+    if held:
+        _count(held, out, has)
+    return out, has
+
+
+def _count(parts: list[tuple[int, str, int]], out: np.ndarray, has: np.ndarray) -> None:
+    """Adds the grams of parts (row, characters, how many of them grams begin at) to the rows of out."""
+    x = np.frombuffer("".join(p for _, p, _ in parts).encode("utf-32-le", "replace"), np.uint32)
     low = np.minimum(x, 0xFFFF)
     c = _TABLE[0][low]
     high = np.flatnonzero(x > 0xFFFF)
     c[high] = [v if chr(v).isalpha() else 32 for v in x[high].tolist()]
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in lowered])
+    size = np.array([len(p) for _, p, _ in parts])
+    row = np.repeat(np.arange(len(parts), dtype=np.int64), size)
+    at = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    begins = at < np.array([n for *_, n in parts])[row]
     letter = c != 32
-    has = np.bincount(row[letter], minlength=len(texts)) > 0
+    target = np.array([i for i, *_ in parts])
+    has[target[row[letter]]] = True
     c = c.astype(np.uint64)
     keys = []
     for n in (1, 2, 3):
@@ -70,12 +93,15 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ c[k : m + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             some |= letter[k : m + k]
-        some &= row[:m] == row[n - 1 :]
+        some &= (row[:m] == row[n - 1 :]) & begins[:m]
         if n == 3:
             some &= letter[1 : m + 1]
         keys.append(row[:m][some] * DIM + (h[some] >> np.uint64(20)).astype(np.int64) % DIM)
-    flat = np.bincount(np.concatenate(keys) if keys else np.zeros(0, np.int64), minlength=len(texts) * DIM)
-    return flat.reshape(len(texts), DIM), has
+    flat = np.bincount(np.concatenate(keys) if keys else np.zeros(0, np.int64), minlength=len(parts) * DIM).reshape(len(parts), DIM)
+    if len(np.unique(target)) == len(target):
+        out[target] += flat
+    else:
+        np.add.at(out, target, flat)
 
 
 def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -195,6 +221,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learns from the documents that are not held out and predicts all: doc_id, held_out, lang_pred, score, rejected."""
+    """Learns from the documents that are not held out and predicts all: doc_id, held_out, lang_pred, score, rejected. Rows as in predict();
+    rows that repeat are learnt from each, and predicted each. Of equally near centroids the first counts, in order of the languages' names.
+    Without a learnable row all are ``und``."""
     model = fit(docs.where(~held_out()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
