@@ -9,9 +9,9 @@ Blocks in order of (part, block) hold the documents in ascending doc_id order.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import unicodedata
-import uuid
 import zlib
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents_of, record, shared_dir, slices, written
+from plumbline.llm.common import documents_of, new_path, record, slices, written
 from plumbline.llm.rans import Coder, Frequencies
 
 END_ID = 2
@@ -28,6 +28,20 @@ BLOCK_TOKENS = 1 << 18
 PART_TOKENS = 1 << 23
 _CACHED = 800_000
 _JOINED = 400
+#: The normaliser and the pattern of the tokenizer that cut() is made for. Files that differ encode whole texts.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def can_be_cut(tokenizer) -> bool:
+    """Whether a text's ids are those of its chunks, by what the tokenizer's file says."""
+    d = json.loads(tokenizer.to_str())
+    split = ((d["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    return (
+        (d["normalizer"] or {}).get("normalizers") == NORMALIZER and split.get("pattern") == {"Regex": PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and d["model"].get("end_of_word_suffix") == "</w>" and not d["model"].get("dropout") and not d["truncation"] and not d["padding"]
+        and all(t["content"].startswith("<|") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"]) for t in d["added_tokens"])
+    )
 
 
 class ChunkIds(dict):
@@ -43,6 +57,7 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.whole = not can_be_cut(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -79,6 +94,8 @@ class ChunkIds(dict):
         return self.flat[np.repeat(self.start[numbers] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if self.whole:
+            return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         if len(self) > _CACHED:
             self._forget()
         chunks = [cut(t) for t in texts]
@@ -267,7 +284,8 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Writes docs to a new folder beside the checkpoints and returns what the files hold."""
-    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Writes docs to a new folder beside the checkpoints and returns what the files hold: nulls, empty texts, repeated rows and empty
+    tables as write() says. The files go with the driver; write() keeps them where they are put."""
+    folder = new_path(docs.sparkSession, "tokens")
     write(docs, folder, path, end_id)
     return read(docs.sparkSession, folder)

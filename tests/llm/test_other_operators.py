@@ -293,3 +293,45 @@ def test_pipeline_and_entry(spark):
     assert {i for i, _ in mix_} <= {i for i, _ in apart} and max(Counter(i for i, _ in mix_).values()) <= 3
     want = sorted(r["doc_id"] for r in stage.collect())
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()) == want
+
+
+def test_long_texts_are_counted_like_short_ones():
+    texts = ["", "a", "Été où ça, 漢字𠀀 " * 40, "x" * 200, "12 ,"]
+    whole, has = langid.counts(texts)
+    for piece in (1, 7, 64):
+        got, some = langid.counts(texts, piece)
+        assert (got == whole).all() and (some == has).all()
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert tokens.can_be_cut(Tokenizer.from_file(tokenizer_path()))
+    with open(tokenizer_path()) as f:
+        other = json.load(f)
+    other["normalizer"] = None  # letters keep their case, and white space is not one space
+    (tmp_path / "t.json").write_text(json.dumps(other))
+    t = Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not tokens.can_be_cut(t)
+    texts = ["Hello World, don't", "", "a  b"]
+    assert tokens.encode_texts([x.encode() for x in texts], str(tmp_path / "t.json")) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_nearest_centroid_by_hand():
+    """Predictions are the language of the centroid with the largest cosine, the first of equal ones."""
+    rng = np.random.default_rng(4)
+    c = rng.random((5, langid.DIM)).astype(np.float32)
+    c[3] = c[1]
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    m = langid.Model(["aa", "bb", "cc"], c, np.array([0, 0, 1, 1, 2]), np.ones(langid.DIM, np.float32), np.zeros(5))
+    texts = [prose(k, 30) for k in range(20)] + ["", "7 !"]
+    lang, score, rejected = m.predict(texts)
+    tf, has = langid.counts(texts)
+    for t, name, s in zip(tf, lang, score, strict=True):
+        v = np.log1p(t)
+        cos = [float(v @ x / np.linalg.norm(v)) if v.any() else 0.0 for x in c]
+        best = max(range(5), key=lambda k: (round(cos[k], 5), -k))
+        assert name == (["aa", "aa", "bb", "bb", "cc"][best] if v.any() else "und") and abs(s - cos[best]) < 1e-4
+    assert rejected.tolist()[-2:] == [True, True] and has.tolist()[-2:] == [False, False]
