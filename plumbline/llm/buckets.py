@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+def _partitions(df: DataFrame) -> int:
+    """As many as the session says: a pair of blocks is few bytes but much work, so adaptive execution must not join partitions by bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def block_pairs(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK, more: DataFrame | None = None) -> DataFrame:
     """rows of buckets with two members or more, with the columns lo, hi (the pair of blocks) and own (the row's block),
     dealt by (keys, lo, hi) and sorted by them. more: a table to join by ``member`` before they are dealt."""
@@ -27,7 +32,7 @@ def block_pairs(rows: DataFrame, keys: list[str], member: str, block: int = BLOC
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(3), F.col(member)), F.col("_b")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
     rows = rows.withColumn("_j", each).withColumn("lo", F.least("own", "_j")).withColumn("hi", F.greatest("own", "_j")).drop("_b", "_j")
-    return rows.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", member)
+    return rows.repartition(_partitions(rows), *keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", member)
 
 
 def open_blocks(rows: DataFrame, keys: list[str], member: str, more: list[DataFrame], comp: str = "comp", block: int = BLOCK) -> DataFrame:
@@ -46,7 +51,7 @@ def open_blocks(rows: DataFrame, keys: list[str], member: str, more: list[DataFr
     last = F.when(F.col(comp) == F.col("_top"), few).otherwise(few + main) - 1
     rows = rows.withColumn("own", own).withColumn("_j", F.explode(F.sequence(F.lit(0), last))).withColumn("lo", F.least("own", "_j")).withColumn("hi", F.greatest("own", "_j"))
     rows = rows.drop("_top", "_m", "_n", "_k", "_j")
-    return rows.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", member)
+    return rows.repartition(_partitions(rows), *keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", member)
 
 
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
