@@ -335,3 +335,42 @@ def test_nearest_centroid_by_hand():
         best = max(range(5), key=lambda k: (round(cos[k], 5), -k))
         assert name == (["aa", "aa", "bb", "bb", "cc"][best] if v.any() else "und") and abs(s - cos[best]) < 1e-4
     assert rejected.tolist()[-2:] == [True, True] and has.tolist()[-2:] == [False, False]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No documents, no labels and no benchmark; and nulls, repeated rows and clashing names."""
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    empty(spark).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+    odd = rows() + [rows()[3], (4, "another text", "en", "a", 9), (None, "no id", None, None, 0)]
+    stage = table(spark, odd, extra=True)
+    for _, f in corpus_pipeline.STAGES[:3]:
+        stage = f(spark, stage, d)
+    got = [r["doc_id"] for r in stage.collect()]
+    assert got.count(None) == 1 and got.count(4) == 1 and {1, 2, 3} <= set(got) and 5 not in got
+    mixed = corpus_pipeline.mix_sources(spark, stage, d)
+    assert mixed.columns == stage.columns and None not in {r["doc_id"] for r in mixed.collect()}
+    assert corpus_pipeline.write_tokens(spark, mixed, d).count() == mixed.count()
+
+
+def test_a_query_can_be_the_first_of_its_session(tmp_path):
+    """From another folder, workers have the package only if it was sent to them."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__
+print("rows", __spark_entry__.queries()["op2_embedding_dedup"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 500" in out.stdout, out.stderr[-2000:]
