@@ -9,6 +9,7 @@ from plumbline.functions.rubric import score, tier
 from plumbline.functions.text import pick
 from plumbline.operators.sampling import numbered
 from plumbline.sources.config import TIERS, Rubric
+from plumbline.sources.stored import written
 
 #: Filler that must not sway a score.
 NET_WORTH = ("under_100k", "100k_to_500k", "500k_to_2m", "over_2m")
@@ -128,11 +129,19 @@ def edge_profiles(spark: SparkSession, rubric: Rubric, seed: int) -> DataFrame:
 
 
 def tier_draws(rubric: Rubric, keys: DataFrame, tier_col: str, seed: int, tries: int = 2000) -> DataFrame:
-    """For each row of keys (key, and a wanted tier) the first of ``tries`` draws of that tier; an error if there is none."""
-    d = keys.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    d = d.select("*", *rubric_draw(rubric, seed, F.col("key"), F.col("_t"))).withColumn("_s", score(rubric))
-    names = [f.name for f in rubric.fields]
-    hit = F.when(tier(F.col("_s"), rubric) == F.col(tier_col), F.struct("_t", "_s", *names))
-    best = d.groupBy(*keys.columns).agg(F.min(hit).alias("_b"))
-    ok = F.when(F.col("_b").isNull(), F.raise_error(F.concat(F.lit("no draw of tier "), F.col(tier_col))).cast("double")).otherwise(F.col("_b._s"))
-    return best.select(*keys.columns, *[F.col(f"_b.{n}").alias(n) for n in names], ok.alias("_s"))
+    """For each row of keys (key, and a wanted tier) the first of ``tries`` draws of that tier; an error if there is none. Draws are made in
+    rounds, each for the keys that found none before and twice as many as the last, so a common tier costs a few draws."""
+    names, out, left, at, size = [f.name for f in rubric.fields], None, keys, 0, 8
+    while at < tries:
+        size = min(size, tries - at)
+        d = left.withColumn("_t", F.explode(F.sequence(F.lit(at), F.lit(at + size - 1))))
+        d = d.select("*", *rubric_draw(rubric, seed, F.col("key"), F.col("_t"))).withColumn("_s", score(rubric))
+        hit = F.when(tier(F.col("_s"), rubric) == F.col(tier_col), F.struct("_t", "_s", *names))
+        best = written(d.groupBy(*keys.columns).agg(F.min(hit).alias("_b")), "draws")
+        found = best.where("_b is not null").select(*keys.columns, *[F.col(f"_b.{n}").alias(n) for n in names], F.col("_b._s").alias("_s"))
+        out = found if out is None else out.unionByName(found)
+        left, at, size = best.where("_b is null").select(*keys.columns), at + size, 2 * size
+        if left.isEmpty():
+            return out
+    missing = left.first()
+    raise ValueError(f"no draw of tier {missing[tier_col]} for {missing['key']}")

@@ -9,8 +9,8 @@ from plumbline.sources.stored import written
 
 
 def shuffled_limit(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in the order of a hash of (seed, key): a top-n, not a full sort."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """n rows in the order of the md5 of ``seed|key``: a top-n, not a full sort."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def numbered(df: DataFrame, *order, name: str = "pos") -> DataFrame:

@@ -1,13 +1,18 @@
 """``python -m plumbline.plans.cli STEP``: the pipeline's steps over JSON Lines folders.
 
-Steps: profiles, edges, render, submit, collect, qc, advise, gate. ``qc`` exits 1 on a hard failure; ``collect`` exits 1 without
-responses; ``gate`` prints PASS or FAIL and exits 0.
+Steps: profiles, edges, render, submit, wait, collect, qc, advise, gate. ``qc`` exits 1 on a hard failure; ``collect`` exits 1 without
+responses; ``wait`` exits 1 if the batch ends in another state than completed; ``gate`` prints PASS or FAIL and exits 0.
+
+Models are named as ``module:function`` (or a class, which is called without arguments once): --rewriter for render, --classifier for qc, --scorer
+for advise, --service for wait. Without them texts stay as they are, there is no round trip, and a stand-in scores.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +21,35 @@ from plumbline.operators import generate, narrative, plugins, qc, requests, samp
 from plumbline.plans import gate
 from plumbline.sources import jsonl
 from plumbline.sources.config import TIERS, Config
+from plumbline.sources.stored import written
 
 CACHE = "cache_id string, text string, model string"
 SIDECAR = "custom_id string, mode string, source string"
 SYSTEM = "Rewrite the client's words naturally; keep every fact and add none."
 
 
+def loaded(name: str):
+    """What ``module:name`` names; a class is made into an object."""
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ValueError(f"{name}: write module:function")
+    found = getattr(importlib.import_module(module), attribute)
+    return found() if isinstance(found, type) else found
+
+
+def rendered(spark: SparkSession, jobs: DataFrame, config: Config, a) -> DataFrame:
+    """Jobs with their texts: from the cache, else rewritten and added to the cache if there is a rewriter, else as they are."""
+    cache = jsonl.read(spark, a.cache, CACHE, missing_ok=True).groupBy("cache_id").agg(F.min_by("text", F.struct("text", "model")).alias("text"), F.min_by("model", F.struct("text", "model")).alias("model"))
+    got = requests.hits(requests.with_ids(jobs.withColumnRenamed("template_text", "text").withColumnRenamed("vignette_type", "mode"), config), cache)
+    if a.rewriter:
+        fresh = written(plugins.rewritten(got.where("cached_text is null").drop("cached_text", "cached_model"), config, loaded(a.rewriter)), "rewritten")
+        new = fresh.where(F.col("model") != "template-only").select("cache_id", F.col("final_text").alias("text"), "model").dropDuplicates(["cache_id"])
+        got = written(got.where("cached_text is not null"), "cached").unionByName(fresh.withColumnRenamed("final_text", "cached_text").withColumnRenamed("model", "cached_model"))
+        new.write.mode("append").json(a.cache)
+    got = got.withColumnRenamed("text", "template_text").withColumnRenamed("mode", "vignette_type")
+    return narrative.finalized(got, config, F.coalesce("cached_text", "template_text"), F.coalesce("cached_model", F.lit("template-only")))
+
+
 def jobs_of(spark: SparkSession, config: Config, a) -> DataFrame:
     profiles = jsonl.read(spark, a.profiles, jsonl.PROFILE)
     if a.limit is not None:
@@ -33,7 +61,7 @@ def jobs_of(spark: SparkSession, config: Config, a) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("step", choices=("profiles", "edges", "render", "submit", "collect", "qc", "advise", "gate"))
+    p.add_argument("step", choices=("profiles", "edges", "render", "submit", "wait", "collect", "qc", "advise", "gate"))
     p.add_argument("--config", default=None)
     p.add_argument("--profiles", default="data/profiles.jsonl")
     p.add_argument("--vignettes-dir", default="data/vignettes")
@@ -45,8 +73,22 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--limit", type=int, default=None)
     p.add_argument("--no-paraphrase", action="store_true", help="leave the cache aside")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--backend", default=None)
+    p.add_argument("--model", default=None)
+    for name in ("--rewriter", "--classifier", "--scorer", "--service"):
+        p.add_argument(name, default=None, metavar="MODULE:NAME")
+    p.add_argument("--batch", default=None, help="the batch to wait for; without it the input is submitted")
+    p.add_argument("--interval", type=float, default=60.0, help="seconds between questions")
     a = p.parse_args(argv)
     config = Config.load(a.config) if a.config else Config()
+    config = replace(config, **{k: v for k, v in (("backend", a.backend), ("model", a.model)) if v is not None})
+    if a.step == "wait":
+        if not a.service:
+            p.error("wait needs --service")
+        service = loaded(a.service)
+        state = plugins.awaited(service, a.batch or service.submit(f"{a.out or 'results'}/batch_input.jsonl"), a.interval)
+        print(state)
+        return int(state != "completed")
     spark = SparkSession.builder.appName(f"plumbline-{a.step}").getOrCreate()
     if a.step == "profiles":
         kept, drawn = generate.balanced_profiles(spark, config.rubric, config.n_profiles // len(TIERS), config.seed)
@@ -56,13 +98,7 @@ def main(argv: list[str] | None = None) -> int:
         jsonl.write(generate.edge_profiles(spark, config.rubric, config.seed), a.out or "data/profiles_edge.jsonl")
     elif a.step == "render":
         jobs = jobs_of(spark, config, a)
-        if not a.no_paraphrase:
-            cache = jsonl.read(spark, a.cache, CACHE, missing_ok=True).dropDuplicates(["cache_id"])
-            keyed = requests.with_ids(jobs.withColumnRenamed("template_text", "text").withColumnRenamed("vignette_type", "mode"), config)
-            jobs = requests.hits(keyed, cache).withColumnRenamed("text", "template_text").withColumnRenamed("mode", "vignette_type")
-            done = narrative.finalized(jobs, config, F.coalesce("cached_text", "template_text"), F.coalesce("cached_model", F.lit("template-only")))
-        else:
-            done = narrative.finalized(jobs, config)
+        done = narrative.finalized(jobs, config) if a.no_paraphrase else rendered(spark, jobs, config, a)
         jsonl.write_buckets(done, a.out or a.vignettes_dir)
     elif a.step == "submit":
         jobs = jobs_of(spark, config, a).select(F.col("template_text").alias("text"), F.col("vignette_type").alias("mode"))
@@ -78,7 +114,10 @@ def main(argv: list[str] | None = None) -> int:
         print(requests.summary(rows).first().asDict())
     elif a.step == "qc":
         profiles = jsonl.read(spark, a.profiles, jsonl.PROFILE) if jsonl.exists(spark, a.profiles) else None
-        report = qc.report(jsonl.read_union(spark, a.vignettes_dir), profiles, config)
+        vignettes = jsonl.read_union(spark, a.vignettes_dir)
+        report = qc.report(vignettes, profiles, config)
+        if a.classifier:
+            report["round_trip"] = plugins.round_trip(vignettes.where("vignette_type = 'implicit'"), config, loaded(a.classifier)).first().asDict()
         jsonl.write_report(report, f"{a.out or config.paths['results_dir']}/{jsonl.report_name(a.vignettes_dir)}")
         print(report)
         return int(report["hard_fail"])
@@ -86,7 +125,7 @@ def main(argv: list[str] | None = None) -> int:
         rows = jsonl.read_union(spark, a.vignettes_dir)
         if a.dry_run:
             rows = sampling.stratified_sample(rows, "tier", "vignette_id", config.dry_run_n, config.seed, flag="contradictory")
-        scored = plugins.prompt_scores(gate.scoring_units(rows, config), plugins.stub_scorer, config.batch_size)
+        scored = plugins.prompt_scores(gate.scoring_units(rows, config), loaded(a.scorer) if a.scorer else plugins.stub_scorer, config.batch_size)
         got = gate.results(scored, config).join(rows.select("vignette_id", "profile_id", "pair_id", "vignette_type", "tier", "risk_score", "contradictory"), "vignette_id")
         jsonl.write(got, a.out or a.results)
     else:

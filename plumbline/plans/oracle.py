@@ -132,6 +132,7 @@ select sha1('openai|gpt-4o-mini|' || mode || '|' || text) as custom_id, md5(case
 g as (select c is null as err, coalesce(c <> '' and not (mode = 'implicit' and len({_HITS}) > 0), false) as good from j)
 select count(*) as cached, count(*) filter (not good) as fallbacks, count(*) filter (err) as errors from g""",
     "stratified_sample": "select doc_id, lang from documents qualify row_number() over (partition by lang order by doc_id) <= greatest(1, 200 // (select count(distinct lang) from documents))",
+    "seeded_limit": "select doc_id from documents order by md5('42|' || cast(doc_id as varchar)), doc_id limit 100",
     "fixed_batches": "select doc_id, (row_number() over (order by doc_id) - 1) // 32 as batch from documents",
     "distinct_coverage": "select count(distinct p_brand) as n_p_brand, count(distinct p_type) as n_p_type, count(distinct p_size) as n_p_size from part",
 }

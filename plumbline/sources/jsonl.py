@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.stored import written
+
 #: Column names and types of the data sets.
 PROFILE = (
     "profile_id string, past_drawdown_reaction string, horizon_years int, investing_experience string, income_stability string, stated_goal string, "
@@ -57,8 +59,8 @@ def bucket():
 
 
 def write_buckets(df: DataFrame, folder: str) -> None:
-    """One folder ``<bucket>.jsonl`` for each bucket, from one scan a bucket; absent buckets are written empty."""
-    df = df.withColumn("_bucket", bucket())
+    """One folder ``<bucket>.jsonl`` for each bucket; absent buckets are written empty. df is computed once."""
+    df = written(df.withColumn("_bucket", bucket()), "buckets")
     for name in ("explicit", "implicit", "pairs"):
         write(df.where(F.col("_bucket") == name).drop("_bucket"), f"{folder}/{name}.jsonl")
 

@@ -5,6 +5,18 @@ import json
 from plumbline.plans.cli import main
 
 
+def shouted(prompt):
+    return "A NEW TEXT"
+
+
+class Service:
+    def submit(self, input_path):
+        return input_path
+
+    def status(self, batch_id):
+        return "expired" if batch_id == "lost" else "completed"
+
+
 def test_steps(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("data: {n_profiles: 12}\n")
     d = str(tmp_path)
@@ -21,6 +33,13 @@ def test_steps(spark, tmp_path):
     assert main(["render", *c, "--n-pairs", "2"]) == 0
     rows = [json.loads(x) for f in (tmp_path / "vignettes" / "pairs.jsonl").glob("part-*") for x in f.read_text().splitlines()]
     assert len(rows) == 4 and all(r["text"].startswith("Told anew") and r["paraphrase_model"] == "gpt-4o-mini" for r in rows)
+    assert main(["render", *c, "--n-pairs", "3", "--rewriter", "tests.test_cli:shouted"]) == 0
+    rows = [json.loads(x) for f in (tmp_path / "vignettes" / "pairs.jsonl").glob("part-*") for x in f.read_text().splitlines()]
+    assert len(rows) == 6 and sum(r["text"] == "A NEW TEXT" for r in rows) == 2 and sum(r["text"].startswith("Told anew") for r in rows) == 4
+    assert main(["render", *c, "--n-pairs", "2"]) == 0
+    assert main(["wait", "--service", "tests.test_cli:Service", "--interval", "0"]) == 0 and main(["wait", "--service", "tests.test_cli:Service", "--interval", "0", "--batch", "lost"]) == 1
+    assert main(["qc", *c, *out, "--classifier", "plumbline.operators.plugins:stub_classifier"]) == 0
+    assert json.loads((tmp_path / "results" / "qc_report.json").read_text())["round_trip"]["n"] > 0
     assert main(["qc", *c, *out]) == 0 and (tmp_path / "results" / "qc_report.json").exists()
-    assert main(["advise", *c]) == 0 and main(["gate", *c, *out]) == 0
+    assert main(["advise", *c, "--scorer", "plumbline.operators.plugins:stub_scorer"]) == 0 and main(["gate", *c, *out]) == 0
     assert json.loads((tmp_path / "results" / "s3_gate.json").read_text())["n_baseline"] == 28
