@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontamination, minhash, mixing, tokens, toxicity
-from plumbline.llm.common import scratch, table
+from plumbline.llm.common import scratch, table, tidy
 from plumbline.llm.queries import tokenizer_path
 
 
@@ -60,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         with scratch(spark) as keep:
             docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        tidy(spark)
     return docs

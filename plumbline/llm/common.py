@@ -1,11 +1,12 @@
 """What the corpus operators share: the shared folder, written tables, reading and Arrow helpers.
 
-Every Python stage runs through ``DataFrame.mapInArrow``: it streams record batches, so a task's memory is bounded by
+Every Python stage on rows runs through ``mapped``, which is ``DataFrame.mapInArrow``: it streams record batches, so a task's memory is bounded by
 a batch (and by one row, if that is larger), never by a partition or a group.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -47,8 +48,25 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
     yield batch.slice(at)
 
 
-def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def give_back() -> None:
+    """Returns freed memory to the system, since the Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(f, schema) whose workers return the memory of a task when it ends."""
+
+    def g(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(g, schema)
 
 
 def record(**columns) -> pa.RecordBatch:

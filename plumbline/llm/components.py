@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import record, written
+from plumbline.llm.common import mapped, record, written
 
 CHUNK = 1 << 19
 
@@ -66,7 +66,7 @@ def components(links: DataFrame) -> DataFrame:
     aggregated before the shuffle, and the joins are plain equi-joins whose hot nodes Spark can split.
     """
     links = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    edges = written(links.mapInArrow(_thinned, "u long, v long").where("u <> v").distinct(), "links")
+    edges = written(links.transform(mapped, _thinned, "u long, v long").where("u <> v").distinct(), "links")
     mark = None
     while True:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.buckets import block_pairs, groups
-from plumbline.llm.common import mix64, record, ship, written
+from plumbline.llm.common import mapped, mix64, record, ship, written
 from plumbline.llm.components import Forest, components
 
 COSINE = 0.93
@@ -220,7 +220,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id"
     ship(rows.sparkSession)
     kind = "<f4" if rows.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("v")).where("vec_id is not null")
-    base = base.mapInArrow(_classed(kind), "vec_id long, label string, k1 long, k2 long, dim long, v binary")
+    base = base.transform(mapped, _classed(kind), "vec_id long, label string, k1 long, k2 long, dim long, v binary")
     base = written(base.withColumn("node", F.monotonically_increasing_id()).withColumn("grp", F.when(F.expr("label is not null and v is not null"), F.xxhash64("label", "dim"))), "vectors")
     classes = base.where("grp is not null").groupBy("grp", "k1", "k2").agg(F.min("node").alias("rep"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "classes")
@@ -229,11 +229,11 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id"
     top = reps.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.min("dim").alias("d")).agg(F.max("c").alias("c"), F.min("d").alias("d")).first()
     halves = code_length(top["c"] or 1, top["d"] or 2, bucket)
     tables = 4 + 2 * halves
-    thin = reps.mapInArrow(_dealt(tables, halves, kind), "key long, tab long, stored boolean, node long, s1 long, s2 long")
-    wanted = block_pairs(thin, ["key", "tab"], "node").mapInArrow(_plausible(most_apart(cosine)), "key long, tab long, node long, stored boolean")
+    thin = reps.transform(mapped, _dealt(tables, halves, kind), "key long, tab long, stored boolean, node long, s1 long, s2 long")
+    wanted = block_pairs(thin, ["key", "tab"], "node").transform(mapped, _plausible(most_apart(cosine)), "key long, tab long, node long, stored boolean")
     wanted = written(wanted.distinct(), "wanted")
     fetched = block_pairs(wanted, ["key", "tab"], "node", more=reps.select("node", "grp", "n", "v"))
-    found = written(fetched.mapInArrow(_linked(tables, halves, cosine, kind), "u long, n long, v long"), "links")
+    found = written(fetched.transform(mapped, _linked(tables, halves, cosine, kind), "u long, n long, v long"), "links")
     links = found.groupBy("u").agg(F.sum("n").alias("more"))
     named = classes.join(components(found.select("u", "v")), F.col("rep") == F.col("node"), "left").select("grp", "k1", "k2", "rep", "n", "least", F.coalesce("root", "rep").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").join(links, F.col("rep") == links["u"], "left")

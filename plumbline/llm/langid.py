@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents_of, record, slices
+from plumbline.llm.common import documents_of, mapped, record, slices
 
 DIM = 1 << 13
 CLUSTERS = 4
@@ -170,7 +170,7 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
     """Learns from all rows of docs (doc_id, text, lang) whose lang is not null."""
     rows = documents_of(docs, "lang").where(F.col("lang").isNotNull())
-    found = rows.select("text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # DIM rows at most
+    found = rows.select("text").transform(mapped, _frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # DIM rows at most
     n = max(1, sum(r["n"] for r in found if r["place"] < 0))
     df = np.zeros(DIM)
     for r in found:
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, rejected = sent.value.predict(texts)
                 yield record(doc_id=part.column("doc_id"), lang_pred=pa.array(lang, pa.string()), score=score, rejected=rejected)
 
-    return rows.mapInArrow(f, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.transform(mapped, f, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents_of, mix64, record, slices, written
+from plumbline.llm.common import documents_of, mapped, mix64, record, slices, written
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -155,7 +155,7 @@ def _keys(least_chars: int):
 
 def line_keys(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(k1, k2, doc_id) for each different line key of each row of docs."""
-    return documents_of(docs).mapInArrow(_keys(least_chars), "k1 long, k2 long, doc_id long")
+    return documents_of(docs).transform(mapped, _keys(least_chars), "k1 long, k2 long, doc_id long")
 
 
 def _filters(batches):
@@ -248,7 +248,7 @@ class LineIndex:
     @classmethod
     def _built(cls, frequent: DataFrame, shards: int) -> DataFrame:
         dealt = frequent.select(cls._shard(shards).alias("shard"), "k1").repartition("shard").sortWithinPartitions("shard")
-        return written(dealt.mapInArrow(_filters, "shard long, blob binary"), "filters")
+        return written(dealt.transform(mapped, _filters, "shard long, blob binary"), "filters")
 
     def passing(self, postings: DataFrame) -> DataFrame:
         """The postings that the filters of their shards hold. A shard's postings are dealt to as many places as their number asks for (PLACE
@@ -258,7 +258,7 @@ class LineIndex:
         none = F.lit(None).cast("long")
         filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "blob", none.alias("k1"), none.alias("k2"), none.alias("doc_id"))
         dealt = filters.union(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").asc_nulls_last())
-        return dealt.mapInArrow(_probed, "k1 long, k2 long, doc_id long")
+        return dealt.transform(mapped, _probed, "k1 long, k2 long, doc_id long")
 
     def drops(self, postings: DataFrame | None = None) -> DataFrame:
         """(doc_id, d1, d2): the keys that each document loses, confirmed by the exact counts."""
@@ -274,7 +274,7 @@ class LineIndex:
         that repeat a doc_id are one document when counting. Rows without a doc_id are left out.
         """
         rows = documents_of(docs).join(self.drops(), "doc_id", "left")
-        return rows.mapInArrow(_rewritten(self.least_chars), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept binary")
+        return rows.transform(mapped, _rewritten(self.least_chars), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept binary")
 
     def _changed(self, postings: DataFrame, touched: DataFrame) -> LineIndex:
         """The state with these postings; touched: the keys whose counts may differ."""
@@ -291,7 +291,7 @@ class LineIndex:
         moves = moves.select(self._shard(self.shards).alias("shard"), F.lit(None).cast("binary").alias("blob"), "k1", "by")
         held = self.filters.select("shard", "blob", F.lit(None).cast("long").alias("k1"), F.lit(-2).alias("by"))
         dealt = held.union(moves).repartition("shard").sortWithinPartitions("shard", "by")
-        filters = written(dealt.mapInArrow(_moved, "shard long, blob binary"), "filters")
+        filters = written(dealt.transform(mapped, _moved, "shard long, blob binary"), "filters")
         full = filters.where("blob is null").select("shard")
         if not full.isEmpty():
             again = frequent.withColumn("shard", self._shard(self.shards)).join(full, "shard", "left_semi")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.buckets import groups, open_blocks
-from plumbline.llm.common import documents_of, mix64, record, slices, tidy, written
+from plumbline.llm.common import documents_of, mapped, mix64, record, slices, tidy, written
 from plumbline.llm.components import Forest, components
 
 PERMUTATIONS = 48
@@ -259,7 +259,7 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     set, links with nothing and is kept. Rows that repeat a doc_id belong to one component, and it links by any of their
     sets. Rows without a doc_id are left out; an empty table gives an empty result.
     """
-    rows = written(documents_of(docs).mapInArrow(_signed(shingle), "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>"), "signatures")
+    rows = written(documents_of(docs).transform(mapped, _signed(shingle), "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>"), "signatures")
     some = rows.where("n > 0")
     classes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     members = some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
@@ -275,22 +275,22 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     sig = reps.select("doc_id", "n", "sig")
     sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     likely = tried.join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("sa"), F.col("n").alias("na")), "u").join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "v").where(sized)
-    likely = written(likely.select("u", "v", "sa", "sb").mapInArrow(_alike, "u long, v long, same long").where(F.col("same") >= least), "pairs")
+    likely = written(likely.select("u", "v", "sa", "sb").transform(mapped, _alike, "u long, v long, same long").where(F.col("same") >= least), "pairs")
     both = likely.union(likely.select(F.col("v").alias("u"), F.col("u").alias("v"), "same"))
     best = both.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     ids = buckets.select("doc_id").distinct()  # one shuffle of texts for all comparisons
-    sets = documents_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary")
+    sets = documents_of(docs).join(ids, "doc_id", "left_semi").transform(mapped, _sets(shingle), "doc_id long, s binary")
     repeated = not shared.isEmpty() or not some.groupBy("doc_id", "k1", "k2").count().where("count > 1").isEmpty()
     sets = written(sets.dropDuplicates() if repeated else sets, "sets")  # of a doc_id that repeats, all its sets count
     tidy(docs.sparkSession)
     both = best.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sb")), "v")
-    links = written(both.mapInArrow(_confirmed(percent), "u long, v long, ok boolean").where("ok").select("u", "v"), "links").union(shared)
+    links = written(both.transform(mapped, _confirmed(percent), "u long, v long, ok boolean").where("ok").select("u", "v"), "links").union(shared)
     roots = written(components(links), "roots")
     named = buckets.select("band", "key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select(F.col("band").cast("long").alias("band"), "key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
-    wanted = written(open_blocks(named, ["band", "key"], "doc_id", [reps.select("doc_id", "n", "sig", "bands")]).mapInArrow(_across(least, percent), "band long, key long, doc_id long").distinct(), "wanted")
+    wanted = written(open_blocks(named, ["band", "key"], "doc_id", [reps.select("doc_id", "n", "sig", "bands")]).transform(mapped, _across(least, percent), "band long, key long, doc_id long").distinct(), "wanted")
     compared = open_blocks(wanted.join(named, ["band", "key", "doc_id"]), ["band", "key"], "doc_id", [sets], block=SETS)
-    more = written(compared.mapInArrow(_joined(percent), "u long, v long"), "links")
+    more = written(compared.transform(mapped, _joined(percent), "u long, v long"), "links")
     roots = written(components(links.union(more)), "roots")
     ids = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("comp"))
     own = F.coalesce("comp", "doc_id")

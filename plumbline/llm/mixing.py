@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents_of, record, slices, written
+from plumbline.llm.common import documents_of, mapped, record, slices, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -36,7 +36,7 @@ def _sizes(batches):
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: the number of runs of other than ASCII white space (bytes.split splits at exactly
     ``[\\x20\\x09-\\x0D]``). A null or empty text has size 0."""
-    return documents_of(docs, "source").withColumn("source", F.col("source").cast("string")).mapInArrow(_sizes, "doc_id long, source string, size long")
+    return documents_of(docs, "source").withColumn("source", F.col("source").cast("string")).transform(mapped, _sizes, "doc_id long, source string, size long")
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents_of, mix64, record, slices, tidy, written
+from plumbline.llm.common import documents_of, mapped, mix64, record, slices, tidy, written
 
 LENGTH = 200
 REACH = 128
@@ -559,28 +559,28 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     many = max(4, ENTRIES // (1 + total // RUN_BYTES))
-    sent = base.mapInArrow(_sent(shards, length, many), "shard long, run long, blob binary").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
-    judged = sent.mapInArrow(_judged(HOT), "run long, blob binary").repartition("run").sortWithinPartitions("run")
-    flagged = judged.mapInArrow(_flagged, "d long, h long, flags binary").repartition("d", "h").sortWithinPartitions("d", "h")
-    flags = written(flagged.mapInArrow(_strongest, "d long, h long, flags binary"), "flags")
+    sent = base.transform(mapped, _sent(shards, length, many), "shard long, run long, blob binary").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
+    judged = sent.transform(mapped, _judged(HOT), "run long, blob binary").repartition("run").sortWithinPartitions("run")
+    flagged = judged.transform(mapped, _flagged, "d long, h long, flags binary").repartition("d", "h").sortWithinPartitions("d", "h")
+    flags = written(flagged.transform(mapped, _strongest, "d long, h long, flags binary"), "flags")
     tidy(spark)
     own = base.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(b""))))
     joined = own.join(flags.withColumnRenamed("h", "fh"), (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("fh")), "left").select("doc_id", "h", "text", "flags")
-    split = written(joined.mapInArrow(_split, "doc_id long, h long, n_bytes long, flags binary, sha string, text binary"), "parsed")
+    split = written(joined.transform(mapped, _split, "doc_id long, h long, n_bytes long, flags binary, sha string, text binary"), "parsed")
     tidy(spark)
     some = split.where("flags is not null")
     once = some.select("doc_id", "h", "text", "flags")
     if once.count() != flags.count():  # rows that repeat both id and text
         once = once.dropDuplicates(["doc_id", "h"])
-    contexts = once.mapInArrow(_contexts(length), "g long, doc_id long, h long, at long, most long, least long, open boolean, left binary, right binary")
-    starts = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(length), "d long, dh long, start long")
-    strings = once.mapInArrow(_windows(length), "w1 long, w2 long, d long, dh long, start long, open boolean")
+    contexts = once.transform(mapped, _contexts(length), "g long, doc_id long, h long, at long, most long, least long, open boolean, left binary, right binary")
+    starts = contexts.repartition("g").sortWithinPartitions("g").transform(mapped, _compared(length), "d long, dh long, start long")
+    strings = once.transform(mapped, _windows(length), "w1 long, w2 long, d long, dh long, start long, open boolean")
     twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     starts = starts.union(strings.where("open").join(twice, ["w1", "w2"], "left_semi").select("d", "dh", "start"))
     starts = written(starts.groupBy("d", "dh").agg(F.collect_list("start").alias("starts")), "starts")
     tidy(spark)
     both = some.join(starts, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("dh")), "left").select("doc_id", "n_bytes", "text", "flags", "starts")
-    changed = both.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    changed = both.transform(mapped, _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     same = split.where("flags is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     out = changed.unionByName(same)
     return out if with_text else out.drop("kept")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents_of, new_path, record, slices, written
+from plumbline.llm.common import documents_of, mapped, new_path, record, slices, written
 from plumbline.llm.rans import Coder, Frequencies
 
 END_ID = 2
@@ -191,7 +191,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame
                 ids = [x + end for x in encode_texts([x or b"" for x in b.column("text").to_pylist()], path, width)]
                 yield record(doc_id=b.column("doc_id"), ids=pa.array(ids, pa.binary()))
 
-    return documents_of(docs).mapInArrow(f, "doc_id long, ids binary"), width
+    return documents_of(docs).transform(mapped, f, "doc_id long, ids binary"), width
 
 
 def _counts(width: str, vocabulary: int):
@@ -240,13 +240,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, block_t
     ids = written(ids, "ids")
     vocabulary = vocabulary_size(path, end_id)
     counts = np.zeros(vocabulary, np.int64)
-    for r in ids.select("ids").mapInArrow(_counts(width, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("ids").transform(mapped, _counts(width, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]  # a row per id of the vocabulary at most
     frequencies = Frequencies.of_counts(counts)
     spark.createDataFrame([(frequencies.bits, frequencies.freq.tolist())], "bits int, freq array<int>").coalesce(1).write.parquet(f"{folder}/frequencies")
     parts = max(1, -(-int(counts.sum()) // PART_TOKENS))
     dealt = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    dealt.mapInArrow(_blocks(width, frequencies, block_tokens), "part long, block long, first_doc long, n_docs long, start long, n_tokens long, payload binary").write.parquet(f"{folder}/blocks")
+    dealt.transform(mapped, _blocks(width, frequencies, block_tokens), "part long, block long, first_doc long, n_docs long, start long, n_tokens long, payload binary").write.parquet(f"{folder}/blocks")
 
 
 def load_frequencies(spark: SparkSession, folder: str) -> Frequencies:
@@ -279,7 +279,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     blocks = spark.read.parquet(f"{folder}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per file of PART_TOKENS tokens or so
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    rows = blocks.select("part", "start", "payload").mapInArrow(_documents(load_frequencies(spark, folder), with_ids), "part long, at long, doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = blocks.select("part", "start", "payload").transform(mapped, _documents(load_frequencies(spark, folder), with_ids), "part long, at long, doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return rows.join(before, "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -17,7 +17,6 @@ bounded sample: up to SAMPLE toxic and CLEAN * SAMPLE clean documents, chosen by
 
 from __future__ import annotations
 
-import ctypes
 import gc
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents_of, record, slices
+from plumbline.llm.common import documents_of, mapped, record, slices
 from plumbline.llm.langid import held_out
 
 SAMPLE = 1200
@@ -257,15 +256,6 @@ def _machine(words: list[str], bags: list[np.ndarray], y: np.ndarray, use: np.nd
     return table, bias, s
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system, since the worker lives on for other tasks."""
-    gc.collect()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from rows of labels (doc_id, toxic) that are not held out and not null. If a document has several labels, it is
     toxic if any says so."""
@@ -280,11 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
         m = train([t.decode("utf-8", "replace") for _, t, _ in got], [y for _, _, y in got])
         del got
-        _give_back()
+        gc.collect()
         yield record(table=pa.array([None if m.table is None else m.table.astype("<f4").tobytes()], pa.binary()), bias=[float(m.bias)], curve=pa.array([m.curve.tolist()], pa.list_(pa.float64())), prior=[float(m.prior)])
 
     # one task, since the sample is bounded
-    r = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(f, "table binary, bias double, curve array<double>, prior double").first()
+    r = rows.select("doc_id", "text", "toxic").repartition(1).transform(mapped, f, "table binary, bias double, curve array<double>, prior double").first()
     if r is None:
         return Model(None, 0.0, np.zeros(5), 0.0)
     return Model(None if r["table"] is None else np.frombuffer(r["table"], "<f4").astype(np.float64), r["bias"], np.array(r["curve"]), r["prior"])
@@ -302,7 +292,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 s = sent.value.score([(x or b"").decode("utf-8", "replace") for x in b.column("text").to_pylist()], cache)
                 yield record(doc_id=b.column("doc_id"), score=pa.array(s, pa.float64()), predicted=pa.array((s >= 0.5).astype(np.int32)))
 
-    return documents_of(docs).mapInArrow(f, "doc_id long, score double, predicted int")
+    return documents_of(docs).transform(mapped, f, "doc_id long, score double, predicted int")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -321,4 +311,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s = sent.value.score([x or "" for x in b.column("text").to_pylist()], cache)
                 yield b.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(f, docs.schema)
+    return docs.transform(mapped, f, docs.schema)
