@@ -26,7 +26,7 @@ from plumbline.llm.rans import Coder, Frequencies
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 PART_TOKENS = 1 << 23
-_CACHED = 800_000
+_CACHED = 500_000
 _JOINED = 400
 #: The normaliser and the pattern of the tokenizer that cut() is made for. Files that differ encode whole texts.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -196,6 +196,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame
 
 def _counts(width: str, vocabulary: int):
     def f(batches):
+        _IDS.clear()  # the texts are encoded by now, and this worker lives on
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for b in slices(batch, "ids"):
