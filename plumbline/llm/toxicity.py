@@ -18,6 +18,7 @@ bounded sample: up to SAMPLE toxic and CLEAN * SAMPLE clean documents, chosen by
 from __future__ import annotations
 
 import gc
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,15 +189,43 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.2) -> np.ndarray:
         use[1 + int(w[1:4].argmin())] = False
 
 
+class Bags:
+    """The words of labelled texts as numbers, so that training holds no texts."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rows: list[tuple[tuple, int, np.ndarray]] = []
+
+    def add(self, order: tuple, text: str, label: int) -> None:
+        bag = np.array([self.number.setdefault(w, len(self.number)) for w in sorted(words_of(text))], np.int32)
+        self.rows.append((order, label, bag))
+
+    def ordered(self) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+        """Words, bags and labels by the texts' order, whatever order they came in: words are numbered as they first occur."""
+        self.rows.sort(key=lambda r: r[0])
+        bags, y = [b for _, _, b in self.rows], np.array([label for _, label, _ in self.rows], int)
+        seen, first = np.unique(np.concatenate([np.zeros(0, np.int32), *bags]), return_index=True)
+        order = seen[np.argsort(first)]
+        place = np.zeros(len(self.number), np.int32)
+        place[order] = np.arange(len(order))
+        names = list(self.number)
+        return [names[i] for i in order.tolist()], [place[b] for b in bags], y
+
+
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, seed: int = 5) -> Model:
     """Texts and their labels (1 or 0)."""
-    y = np.array(toxic, int)
+    bags = Bags()
+    for i, (t, label) in enumerate(zip(texts, toxic, strict=True)):
+        bags.add((i,), t, label)
+    return train_bags(bags, landmarks, seed)
+
+
+def train_bags(given: Bags, landmarks: int = LANDMARKS, seed: int = 5) -> Model:
+    """All texts score the share of toxic ones unless both labels have words."""
+    words, bags, y = given.ordered()
     prior = float(y.mean()) if len(y) else 0.0
-    if not len(y) or y.min() == y.max() or not any(t.strip() for t, l in zip(texts, y, strict=True) if l) or not any(t.strip() for t, l in zip(texts, y, strict=True) if not l):
+    if not all(any(len(b) for b, t in zip(bags, y, strict=True) if t == label) for label in (0, 1)):
         return Model(None, 0.0, np.zeros(5), prior)
-    number: dict[str, int] = {}
-    bags = [np.array([number.setdefault(w, len(number)) for w in sorted(words_of(t))], np.int32) for t in texts]
-    words = list(number)
     unseen = np.arange(len(y)) % 3 == 0 if y.sum() >= 60 else np.zeros(len(y), bool)
     first = _machine(words, bags, y, ~unseen, landmarks, seed)[2]
     if not unseen.any():
@@ -233,13 +262,16 @@ def _machine(words: list[str], bags: list[np.ndarray], y: np.ndarray, use: np.nd
         keep = values > 1e-4 * values.max()
         root = vecs[:, keep] / np.sqrt(values[keep])
         every = np.concatenate([pos, neg])
-        x = np.concatenate([(kernel([words[i] for i in every[k : k + 2048]], marks) @ root).astype(np.float32) for k in range(0, len(every), 2048)])
+        x = np.empty((len(every), root.shape[1]), np.float32)  # filled in place: the largest array of training, held once
+        for k in range(0, len(every), 2048):
+            x[k : k + 2048] = kernel([words[i] for i in every[k : k + 2048]], marks) @ root
         sign = np.repeat([1.0, -1.0], [len(pos), len(neg)])
         weight = np.concatenate([bad[pos].astype(float), (1.0 + good[neg]) ** POWER])
         if len(neg):
             weight[sign > 0] *= max(1.0, 0.5 * weight[sign < 0].sum() / weight[sign > 0].sum())
         w, bias = svm(x, sign, weight, COST)
         alpha = root @ w
+        del x  # before all words are scored
         table = np.zeros(1 << BITS)
         for a, mark in zip(alpha, marks, strict=True):
             _, k, v, norm = subsequences([mark])
@@ -267,9 +299,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = documents_of(docs).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES)  # about (1 + CLEAN) * SAMPLE rows of two numbers
 
     def f(batches):
-        got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
-        m = train([t.decode("utf-8", "replace") for _, t, _ in got], [y for _, _, y in got])
-        del got
+        bags = Bags()
+        for batch in batches:
+            for d, t, y in zip(*(batch.column(c) for c in ("doc_id", "text", "toxic")), strict=True):
+                t = t.as_py()
+                bags.add((d.as_py(), hashlib.sha256(t).digest()), t.decode("utf-8", "replace"), y.as_py())
+        m = train_bags(bags)
+        del bags
         gc.collect()
         yield record(table=pa.array([None if m.table is None else m.table.astype("<f4").tobytes()], pa.binary()), bias=[float(m.bias)], curve=pa.array([m.curve.tolist()], pa.list_(pa.float64())), prior=[float(m.prior)])
 
