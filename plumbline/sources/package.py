@@ -9,7 +9,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's own value of a setting, and the one that takes its place. Rows are whole texts: 10,000 rows, or 64 MB, a batch take hundreds of MB
+#: in each worker and as much outside the executor's heap.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,7 +26,7 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent).as_posix())
         sc.addPyFile(str(path))
-    # rows are whole texts: Spark's default of 10,000 a batch takes hundreds of MB in each worker; another setting is kept
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "2000")
+    for name, (default, ours) in _BATCH.items():  # another setting is kept
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
     _SHIPPED.add(sc.applicationId)

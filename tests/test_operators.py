@@ -7,6 +7,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from plumbline.functions import readout as R
 from plumbline.functions import text as T
 from plumbline.operators import plugins, qc, requests, sampling, similarity, stats
 from plumbline.plans import gate
-from plumbline.sources import jsonl
+from plumbline.sources import jsonl, package
 from plumbline.sources.config import Config
 
 
@@ -259,3 +260,18 @@ def test_token_counts_and_batches(spark):
             return self.states.pop(0)
 
     assert plugins.awaited(Service(), "b", interval=0) == "completed"
+
+
+def test_batches_of_whole_texts_are_bounded_by_bytes(spark):
+    package.ship(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8388608b"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    text = F.when(F.col("id") == 150, F.repeat(F.lit("x"), 20_000_000)).otherwise(F.repeat(F.lit("x"), 100_000))
+    got = spark.range(0, 300, 1, 1).select(text.alias("text")).mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 300
+    assert all(r["bytes"] <= (8 << 20) + 200_000 for r in got if r["bytes"] < 20_000_000)  # only the long text's batch is larger
+    assert sum(r["bytes"] >= 20_000_000 for r in got) == 1 and max(r["bytes"] for r in got) < 29_000_000
