@@ -374,3 +374,16 @@ print("rows", __spark_entry__.queries()["op2_embedding_dedup"](spark, "/root/tes
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 500" in out.stdout, out.stderr[-2000:]
+
+
+def test_training_does_not_depend_on_the_order_of_texts():
+    data = sorted(labelled(150, 4))
+    a = toxicity.train([t for _, t, _ in data], [y for *_, y in data])
+    bags = toxicity.Bags()
+    for i, t, y in reversed(data):
+        bags.add((i,), t, y)
+    b = toxicity.train_bags(bags)
+    assert np.array_equal(a.table, b.table) and a.bias == b.bias and np.array_equal(a.curve, b.curve)
+    marks = toxicity.train(["...", "?!", "a word"], [0, 0, 1])  # no word in clean texts
+    assert marks.table is None and marks.prior == pytest.approx(1 / 3)
+    assert toxicity.train([], []).prior == 0
