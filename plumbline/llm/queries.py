@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, embedding_dedup, langid, line_dedup, minhash, mixing, passages, substring_dedup, tokens, toxicity
+from plumbline.llm import collocations, conversation_trie, decontamination, embedding_dedup, langid, line_dedup, minhash, mixing, passages, substring_dedup, tokens, toxicity, url_filter
 from plumbline.llm.common import table
 
 
@@ -61,7 +61,24 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.all_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_mixing": op6_mixing, "op7_token_output": op7_token_output, "op8_decontamination": op8_decontamination, "op9_minhash": op9_minhash, "op10_passages": op10_passages}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(collocations.phrases(table(spark, sf_dir, "documents"), least=100), 2000)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+#: Host, path and verdict of the rules that the contract names.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.UrlFilter(rules).judged(table(spark, sf_dir, "pages"), "page_id")
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_mixing": op6_mixing, "op7_token_output": op7_token_output, "op8_decontamination": op8_decontamination, "op9_minhash": op9_minhash, "op10_passages": op10_passages, "op11_collocations": op11_collocations, "op12_conversation_trie": op12_conversation_trie, "op13_url_filter": op13_url_filter}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
@@ -134,4 +151,46 @@ named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by i
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join spots using (doc_id) left join named using (doc_id)""",
+    "op13_url_filter": f"""
+with rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
+parts as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
+rules(h, p, v) as (values {', '.join(str(r) for r in URL_RULES)}),
+fits as (select host, path, h || p as rule, v, row_number() over (partition by host, path order by length(h || p) desc, length(h) desc) as i
+  from (select distinct host, path from parts) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page_id, parts.host, parts.path, rule, coalesce(v, 'allow') as verdict from parts left join fits on fits.host = parts.host and fits.path = parts.path and i = 1""",
+    "op12_conversation_trie": """
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) - 1 as pos, role, text from c),
+digits as (select conv_id, unnest(range(1, 1 + length(cast(conv_id as varchar)))) as i from (select distinct conv_id from c)),
+steps as (select conv_id, flatten(list([cast(ascii(substr(cast(conv_id as varchar), i, 1)) as bigint), -1, -1, -1, -1, -1, -1, -1, -1] order by i)) as s from digits group by conv_id),
+ids as (select conv_id, xor(list_reduce(list_prepend(4294967295::bigint, s), lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end), 4294967295::bigint) % 9 as h from steps),
+copied as (select ids.conv_id, t.pos, role, text from ids join t on t.conv_id = ids.conv_id - ids.conv_id % 5 and t.pos < h),
+kept as (select t.conv_id, t.pos - h + (select count(*) from copied where copied.conv_id = t.conv_id) as pos, role, text from t join ids using (conv_id) where t.pos >= h),
+r as (select * from copied union all select * from kept),
+p as (select conv_id, pos + 1 as depth, md5(cast(list(struct_pack(role, text)) over (partition by conv_id order by pos) as varchar)) as k, strlen(text) as b from r
+  union all select conv_id, 0, '', 0 from ids),
+q as (select conv_id, depth, b, min(conv_id) over (partition by depth, k) as node, depth = max(depth) over (partition by conv_id) as ends from p),
+n as (select node, depth, count(*) as n_convs, any_value(b) as b, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends) as ends from q group by node, depth),
+e as (select n.node, n.depth, n_convs, n.b, n.ends, q.node as up from n left join q on q.conv_id = n.node and q.depth = n.depth - 1),
+kids as (select up as node, depth - 1 as depth, count(*) as n_children from e where up is not null group by all),
+f as (select e.*, coalesce(n_children, 0) as n_children from e left join kids using (node, depth)),
+below as (select q.node, q.depth, count(*) filter (f.n_children = 0) as n_leaves, cast(sum((f.n_convs - 1) * f.b) as bigint) as saved_tokens
+  from f join q on q.conv_id = f.node and q.depth <= f.depth group by q.node, q.depth)
+select node as conv_id, depth, up as parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from f join below using (node, depth)""",
+    "op11_collocations": f"""
+with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as x from documents),
+pieces as (select lang, regexp_extract_all(unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from t),
+places as (select lang, w, unnest(range(1, len(w) + 1)) as i from pieces where len(w) > 0),
+totals as (select lang, count(*) as n from places group by lang),
+grams as (select lang, k, w[i : i + k - 1] as p from places, (select unnest(range(1, 6)) as k) where i + k - 1 <= len(w)),
+f as (select lang, k, p, count(*) as f from grams group by all having count(*) >= 100),
+links as (select lang, p[2:] as p, f from f where k > 2 union all select lang, p[: k - 1], f from f where k > 2),
+kept as (select f.lang, f.k, f.p, f.f as a from f left join (select lang, p, max(f) as g from links group by all) as g on g.lang = f.lang and g.p = f.p where f.k > 1 and (g is null or 100 * g < 100 * f.f)),
+cuts as (select lang, k, p, a, unnest(range(1, k)) as j from kept),
+scored as (select c.lang, c.p, c.a, j, x.f as l, y.f as r, n, cast(1000::hugeint * c.a * n // (x.f::hugeint * y.f) as bigint) as score
+  from cuts as c join f as x on x.lang = c.lang and x.p = c.p[: c.j] join f as y on y.lang = c.lang and y.p = c.p[c.j + 1 :] join totals on totals.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, p order by score, j) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank, array_to_string(p, ' ') as phrase, a, l, r, n, score
+from best qualify rank <= 2000""",
 }
