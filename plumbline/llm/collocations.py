@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mapped, mix64, ship, written
+from plumbline.llm.common import mapped, mix64, ship, tidy, written
 from plumbline.llm.naming import dense
 
 SHARD = 1 << 20
@@ -64,42 +64,45 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _shards(docs: DataFrame, depth: int, shard: int) -> DataFrame:
-    """(shard, lang, words, counts, codes)."""
+    """(shard, lang, words, counts, codes). A task has two shards' words open at most, of all its languages together."""
 
     def f(batches):
         held: dict[str, _Open] = {}
         task, seq = TaskContext.get().partitionId(), 0
 
-        def closed():
+        def closed(lang: str) -> pa.RecordBatch:
             nonlocal seq
-            for lang, x in held.items():
-                codes = np.frombuffer(x.codes, np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array([task << 32 | seq], pa.int64()), "lang": pa.array([lang]), "words": pa.array([list(x)], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                    "counts": pa.array([np.bincount(codes[codes > 0], minlength=len(x) + 1)[1:]], pa.list_(pa.int64())), "codes": pa.array([_packed(codes)], pa.binary()),
-                })
-                seq += 1
-            held.clear()
-
+            x = held.pop(lang)
+            codes = np.frombuffer(x.codes, np.int32)
+            seq += 1
+            return pa.RecordBatch.from_pydict({
+                "shard": pa.array([task << 32 | seq], pa.int64()), "lang": pa.array([lang]), "words": pa.array([list(x)], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                "counts": pa.array([np.bincount(codes[codes > 0], minlength=len(x) + 1)[1:]], pa.list_(pa.int64())), "codes": pa.array([_packed(codes)], pa.binary()),
+            })
+
+        def full():
+            """Closes languages that fill a shard, and the largest ones while all together fill two."""
+            size = {lang: x.words for lang, x in held.items()}
+            for lang in sorted(size, key=size.get, reverse=True):
+                if size[lang] < shard and sum(x.words for x in held.values()) < 2 * shard:
+                    break
+                yield closed(lang)
+
+        since = 0
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                x = held.get(lang)
-                if x is None:
-                    x = held[lang] = _Open()
                 for line in text.as_py().translate(_TABLE).split(b"\n"):
                     piece = line.split()
-                    if len(piece) <= shard:
-                        if piece:
-                            x.add(piece, [])
-                    else:
-                        for at in range(0, len(piece), shard):
-                            x.add(piece[at : at + shard], piece[max(0, at - depth + 1) : at])
-                            if x.words >= shard:
-                                yield from closed()
-                                x = held[lang] = _Open()
-                if sum(s.words for s in held.values()) >= shard:
-                    yield from closed()
-        yield from closed()
+                    for at in range(0, len(piece), shard):
+                        if lang not in held:
+                            held[lang] = _Open()
+                        held[lang].add(piece[at : at + shard], piece[max(0, at - depth + 1) : at])
+                        since += min(shard, len(piece) - at)
+                        if since > shard // 8:
+                            yield from full()
+                            since = 0
+        for lang in list(held):
+            yield closed(lang)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
@@ -116,11 +119,12 @@ class Automaton:
 
     def __init__(self, context: np.ndarray) -> None:
         n, depth = context.shape
-        packed = [context[:, k] << 32 | (context[:, k + 1] if k + 1 < depth else 0) for k in range(0, depth, 2)]
+        packed = [context[:, k].astype(np.int64) << 32 | (context[:, k + 1] if k + 1 < depth else 0) for k in range(0, depth, 2)]
         self.context = context = context[np.lexsort(packed[::-1])]
+        del packed
         new = np.zeros(n, bool)
         new[:1] = True
-        state, size = np.full(n, -1), np.full(n, -1)  # of each position's string of one word less
+        state, size = np.full(n, -1, np.int32), np.full(n, -1, np.int32)  # of each position's string of one word less
         count, shortest, link, at = [], [], [], []
         longest = np.zeros(0, np.int64)
         for k in range(depth):
@@ -141,7 +145,7 @@ class Automaton:
             shortest.append(np.full(len(fresh), k + 1))
             longest = np.append(longest, shortest[-1])
             where = np.repeat(starts - np.cumsum(now) + now, now) + np.arange(int(now.sum()))
-            state, size = np.full(n, -1), np.full(n, -1)
+            state, size = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
             state[where], size[where] = np.repeat(ids, now), np.repeat(now, now)
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         self.count, self.shortest, self.link, self.at, self.longest = cat(count), cat(shortest), cat(link), cat(at), longest
@@ -160,7 +164,7 @@ def _contexts(codes: np.ndarray, depth: int, passes=None) -> np.ndarray:
     if passes is not None:
         at = np.flatnonzero(pair)
         pair[at] = passes(word[at - 1], word[at])
-    out = np.zeros((len(word), depth), np.int64)
+    out = np.zeros((len(word), depth), np.int32)
     out[:, 0] = word
     alive = np.flatnonzero(codes > 0)
     for k in range(1, depth):
@@ -203,6 +207,7 @@ def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int =
     shards = _shards(docs, depth, shard)
     counted = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
     counted = written(counted, "words")
+    tidy(spark)
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     known = dense(counted.where(F.col("f") >= least).select("lang", "word", "f"), "id").withColumn("id", (F.col("id") + 1).cast("int"))
     each = shards.select("shard", "lang", F.posexplode("words").alias("pos", "word"))
@@ -222,7 +227,9 @@ def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = shards.select("shard", F.size("words").alias("size"), "codes").repartition(n, "shard").join(maps, "shard", "left").drop("shard")
     coded = written(mapped(both, encode, "codes binary"), "codes")
+    tidy(spark)
     pairs = _frequent(coded, 2, 2, least)
+    tidy(spark)
     found = pairs
     if depth > 2:
         table, bits = _table(pairs)
