@@ -31,14 +31,31 @@ def added(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def letter_readout(logits: Column, n_letters: int) -> Column:
-    """struct(letter_probs, p_letters, argmax_is_letter); the letters are the first entries of the vocabulary."""
-    mass = F.slice(softmax(logits), 1, n_letters)
+def letter_ids(prompt: Column, continued: Column) -> Column:
+    """The token id by which each answer's letter is told: where the ids of the prompt with the letter (an array for each letter) part from those of the
+    prompt alone, since a tokenizer may join the letter with what stands before it. A letter without a place of its own, or two letters with
+    one id, is an error."""
+    parts = F.transform(continued, lambda ids: F.zip_with(prompt, ids, lambda a, b: ~a.eqNullSafe(b)))
+    found = F.zip_with(continued, parts, lambda ids, other: F.get(ids, F.array_position(other, F.lit(True)).cast("int") - 1))
+    return (
+        F.when(F.exists(found, lambda i: i.isNull()), F.raise_error(F.lit("a letter has no token of its own")).cast("array<int>"))
+        .when(F.size(F.array_distinct(found)) < F.size(found), F.raise_error(F.lit("two letters have one token")).cast("array<int>"))
+        .otherwise(found)
+    )
+
+
+def letter_readout(logits: Column, letters: Column | int) -> Column:
+    """struct(letter_probs, p_letters, argmax_is_letter) of logits over a whole vocabulary. letters: the letters' token ids, which may differ by row, or how
+    many of the first entries are letters. Only the letters' entries are kept; the others are added up. An id outside the vocabulary is an error."""
+    ids = F.sequence(F.lit(0), F.lit(letters - 1)) if isinstance(letters, int) else letters
+    top = F.array_max(logits)
+    all_ = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    mass = F.transform(ids, lambda i: F.exp(F.element_at(logits, i.cast("int") + 1) - top) / all_)
     total = added(mass)
     return F.struct(
         F.transform(mass, lambda x: x / F.greatest(total, F.lit(1e-9))).alias("letter_probs"),
         total.alias("p_letters"),
-        (F.array_position(logits, F.array_max(logits)) <= n_letters).alias("argmax_is_letter"),
+        F.array_contains(ids, (F.array_position(logits, top) - 1).cast("int")).alias("argmax_is_letter"),
     )
 
 

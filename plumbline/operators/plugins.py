@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -29,7 +28,7 @@ class Scorer(Protocol):
 
 
 class BatchService(Protocol):
-    """An asynchronous batch of requests at a model's provider."""
+    """An asynchronous batch of requests at a model's provider. ``output(batch_id)``, if there is one, gives the path of the answers that are finished, or None."""
 
     def submit(self, input_path: str) -> str: ...
 
@@ -59,44 +58,6 @@ def token_counts(text: Column, tokenizer: Callable[[str], int] | None = None) ->
     return counted(text)
 
 
-def called(f: Callable[[str], str], prompt: str, attempts: int = 4, wait: float = 1.0) -> str:
-    """Up to ``attempts`` calls, waiting twice as long after each failure."""
-    for k in range(attempts):
-        try:
-            return f(prompt)
-        except Exception:
-            if k == attempts - 1:
-                raise
-            time.sleep(wait * 2**k)
-    raise ValueError("no attempts")
-
-
-def rewritten(jobs: DataFrame, config: Config, rewriter: Rewriter | None = None, wait: float = 1.0) -> DataFrame:
-    """jobs (with mode and text) with final_text and model. Without a rewriter texts stay as they are; an implicit rewrite that
-    leaks is asked for again up to max_retries times, and then the text stays. Partitions are rewritten in parallel."""
-    if rewriter is None:
-        return jobs.withColumn("final_text", F.col("text")).withColumn("model", F.lit("template-only"))
-    ship(jobs.sparkSession)
-    leak = re.compile(r"\b(?:" + "|".join(re.escape(w) for w in sorted(config.banned, key=len, reverse=True)) + r")\w*", re.I)
-    rule = "\n\nLeave out all of these words and their forms: " + ", ".join(config.banned) + "."
-
-    def one(text: str, mode: str) -> tuple[str, str]:
-        for k in range(config.max_retries):
-            prompt = text if mode != "implicit" else text + rule + " Your last answer held one of them; try once more." * (k > 0)
-            out = called(rewriter, prompt, wait=wait)
-            if mode != "implicit" or not leak.search(out):
-                return out, config.model
-        return text, "template-only"
-
-    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            got = [one(t, m) for t, m in zip(pdf["text"], pdf["mode"], strict=True)]
-            yield pdf.assign(final_text=[g[0] for g in got], model=[g[1] for g in got])
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in jobs.dtypes)
-    return jobs.mapInPandas(f, f"{fields}, final_text string, model string")
-
-
 def round_trip(rows: DataFrame, config: Config, classifier: Classifier, key: str = "vignette_id") -> DataFrame:
     """n and accuracy of a classifier on a bounded sample: an answer counts if it holds the tier; a failed call counts as wrong."""
     ship(rows.sparkSession)

@@ -23,10 +23,14 @@ def scoring_units(vignettes: DataFrame, config: Config) -> DataFrame:
 
 
 def results(scored: DataFrame, config: Config, keys: tuple[str, ...] = ("vignette_id", "condition")) -> DataFrame:
-    """scored: units with logits. One row for each vignette and condition: p_alloc (mean over the rotations), aggressiveness,
+    """scored: units with logits (and the letters' token ids in ``letters``, if they aren't the first entries), or with what was read off them. One row for each vignette and condition: p_alloc (mean over the rotations), aggressiveness,
     p_letters, hedged."""
     n = len(config.options)
-    read = scored.select(*keys, "perm", R.letter_readout(F.col("logits"), n).alias("r")).withColumn("p", R.by_allocation(F.col("r.letter_probs"), F.col("perm")))
+    if "logits" in scored.columns:
+        r = R.letter_readout(F.col("logits"), F.col("letters") if "letters" in scored.columns else n)
+    else:
+        r = F.struct("letter_probs", "p_letters", "argmax_is_letter")
+    read = scored.select(*keys, "perm", r.alias("r")).withColumn("p", R.by_allocation(F.col("r.letter_probs"), F.col("perm")))
     mean = [F.avg(F.get("p", F.lit(i))).alias(f"_p{i}") for i in range(n)]
     g = read.groupBy(*keys).agg(*mean, F.avg("r.p_letters").alias("p_letters"), F.avg(F.col("r.argmax_is_letter").cast("double")).alias("_f"))
     alloc = F.array(*[f"_p{i}" for i in range(n)])

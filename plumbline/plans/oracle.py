@@ -52,13 +52,11 @@ _PROMPT = " || chr(10) || ".join(
         f"'{ANSWER}'",
     ]
 )
-_X = [f"CAST(embedding[{i}] AS DOUBLE) * 8" for i in range(1, 8)]
-_READ = f"""
-with l as (select vec_id, {', '.join(f'{x} as x{i}' for i, x in enumerate(_X))}, greatest({', '.join(_X)}) as top from embeddings),
-e as (select vec_id, {', '.join(f'exp(x{i} - top) as e{i}' for i in range(7))}, greatest(x0, x1, x2, x3) = top as is_letter from l),
-s as (select *, e0 + e1 + e2 + e3 + e4 + e5 + e6 as total from e),
-m as (select vec_id, is_letter, {', '.join(f'e{i} / total as m{i}' for i in range(4))} from s),
-r as (select vec_id, is_letter, m0 + m1 + m2 + m3 as p_letters, {', '.join(f'm{i} / greatest(m0 + m1 + m2 + m3, CAST(1e-9 AS DOUBLE)) as p{i}' for i in range(4))} from m)"""
+_READ = """
+with l as (select vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 8) as x, list_transform([0, 5, 10, 15], lambda j: 20 + (vec_id * 3 + j) % 40) as ids from embeddings),
+e as (select vec_id, ids, x, list_max(x) as top, list_sum(list_transform(x, lambda y: exp(y - list_max(x)))) as total from l),
+s as (select vec_id, list_contains(ids, list_position(x, top) - 1) as is_letter, list_transform(ids, lambda i: exp(x[i + 1] - top) / total) as m from e),
+r as (select vec_id, is_letter, list_sum(m) as p_letters, """ + ", ".join(f"m[{i + 1}] / greatest(list_sum(m), CAST(1e-9 AS DOUBLE)) as p{i}" for i in range(4)) + " from s)"
 _RESULTS = (
     _READ
     + """,
@@ -135,4 +133,9 @@ select count(*) as cached, count(*) filter (not good) as fallbacks, count(*) fil
     "seeded_limit": "select doc_id from documents order by md5('42|' || cast(doc_id as varchar)), doc_id limit 100",
     "fixed_batches": "select doc_id, (row_number() over (order by doc_id) - 1) // 32 as batch from documents",
     "distinct_coverage": "select count(distinct p_brand) as n_p_brand, count(distinct p_type) as n_p_type, count(distinct p_size) as n_p_size from part",
+    "resumed_rewrites": f"""with j as (select doc_id, text, {_MODE} as mode from documents),
+k as (select *, sha1('openai|gpt-4o-mini|' || mode || '|' || text) as id, reverse(left(case when mode = 'implicit' then text || chr(10) || chr(10) || 'Leave out all of these words and their forms: {', '.join(LEXICON)}.' else text end, 40)) as said from j),
+l as (select *, mode = 'implicit' and len({_HITS.replace('text', 'said', 1)}) > 0 as leaks from k)
+select doc_id, md5(case when substr(id, 1, 1) < 'a' then 'had' when leaks then text else said end) as final_md5, case when substr(id, 1, 1) < 'a' then 'earlier' when leaks then 'template-only' else 'gpt-4o-mini' end as model from l""",
+    "rewrites_in_order": "select item_id, md5(reverse(left(text, 40))) as final_md5, 'gpt-4o-mini' as model, true as in_order from benchmark",
 }

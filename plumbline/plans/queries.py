@@ -1,12 +1,12 @@
 """The library's operators as queries over the driver's tables, each over whole tables, with equivalent SQL.
 
-Roles: orders with their customers are profiles; documents are texts; embeddings' first seven entries are a vocabulary's logits, the
-first four of them letters, and four vectors the four rotations of one question; labels are a cache or the answers of a batch.
+Roles: orders with their customers are profiles; documents are texts; embeddings are logits over a vocabulary, four letters of which stand at other
+ids in each row, and four vectors the four rotations of one question; labels are a cache or the answers of a batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import readout as R
@@ -14,10 +14,12 @@ from plumbline.functions import text as T
 from plumbline.functions.rubric import contradictory, score, subscore, tier
 from plumbline.operators import generate as G
 from plumbline.operators import narrative as N
-from plumbline.operators import plugins, qc, requests, sampling, similarity, stats
+from plumbline.operators import plugins, qc, requests, rewriting, sampling, similarity, stats
 from plumbline.plans import gate
+from plumbline.sources.cache import Cache
 from plumbline.sources.config import SUITABILITY, Config, FieldSpec, Rubric
 from plumbline.sources.jsonl import bucket
+from plumbline.sources.stored import new_path, scratch
 
 PRIORITIES = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT")
 ORDERS = Rubric(
@@ -165,13 +167,18 @@ def prompt_text(spark, d):
 
 
 def _logits(spark, d):
-    rows = t(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double") * 8.0).alias("logits"))
+    """Whole vectors as logits. A prompt ends with three tokens; its first and third letter follow it as tokens of their own, the second and fourth
+    take the place of its last one."""
+    v, at = F.col("vec_id"), lambda j: (20 + F.pmod(F.col("vec_id") * 3 + j * 5, F.lit(40))).cast("int")
+    prompt = F.array((v % 11).cast("int"), F.lit(7), (v % 13).cast("int"))
+    continued = F.array(*[F.concat(F.slice("prompt", 1, 3 - j % 2), F.array(at(j))) for j in range(4)])
+    rows = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8.0).alias("logits"), prompt.alias("prompt"))
     perm = F.element_at(R.rotations_column(4), (F.pmod("vec_id", F.lit(4)) + 1).cast("int"))
-    return rows.withColumn("vignette", F.floor(F.col("vec_id") / 4)).withColumn("perm", perm)
+    return rows.withColumn("vignette", F.floor(F.col("vec_id") / 4)).withColumn("perm", perm).withColumn("letters", R.letter_ids(F.col("prompt"), continued))
 
 
 def letter_readout(spark, d):
-    rows = _logits(spark, d).select("vec_id", R.letter_readout(F.col("logits"), 4).alias("r"))
+    rows = _logits(spark, d).select("vec_id", R.letter_readout(F.col("logits"), F.col("letters")).alias("r"))
     return rows.select("vec_id", *[F.round(F.get("r.letter_probs", F.lit(i)), 6).alias(f"letter_{i}") for i in range(4)], F.round("r.p_letters", 6).alias("p_letters"), "r.argmax_is_letter")
 
 
@@ -295,7 +302,33 @@ def roundtrip_accuracy(spark, d):
 
 def rewriter_fallbacks(spark, d):
     rows = t(spark, d, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 2 == 0, "implicit").otherwise("explicit").alias("mode"))
-    return plugins.rewritten(rows, CONFIG, str.upper).select("item_id", "final_text", "model")
+    return rewriting.rewritten(rows, CONFIG, str.upper).select("item_id", "final_text", "model")
+
+
+def _told(prompt: str) -> str:
+    """A rewriter without a network: a text's first 40 characters turned round."""
+    return prompt[:40][::-1]
+
+
+def resumed_rewrites(spark, d):
+    """All documents rewritten through a cache that already holds those of two of three jobs, as if a run had been broken off. English documents are
+    implicit; of repeated texts one is asked for; rewrites that hold a word of the lexicon, however often they are asked for, leave the text as it is."""
+    jobs = t(spark, d, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", "implicit").otherwise("explicit").alias("mode"))
+    with scratch(spark) as keep:
+        cache = Cache(spark, new_path(spark, "rewrites"))
+        had = requests.with_ids(jobs, CONFIG).where(F.substring("cache_id", 1, 1) < "a").dropDuplicates(["cache_id"])
+        cache.append(had.select("cache_id", F.lit("had").alias("text"), F.lit("earlier").alias("model")))
+        done = rewriting.rewrite_through(jobs, cache, CONFIG, _told)
+        return keep(done.select("doc_id", F.md5("final_text").alias("final_md5"), "model"), "rewritten")
+
+
+def rewrites_in_order(spark, d):
+    """Whole items rewritten by several calls at a time; the rows of a partition stay in order."""
+    rows = t(spark, d, "benchmark").select("item_id", "text", F.lit("explicit").alias("mode")).repartitionByRange(4, "item_id").sortWithinPartitions("item_id")
+    part = F.spark_partition_id()
+    rows = rewriting.rewritten(rows, CONFIG, _told).select("item_id", F.md5("final_text").alias("final_md5"), "model", part.alias("p"), F.monotonically_increasing_id().alias("i"))
+    ahead = F.lead("item_id").over(Window.partitionBy("p").orderBy("i"))
+    return rows.select("item_id", "final_md5", "model", F.coalesce(ahead >= F.col("item_id"), F.lit(True)).alias("in_order"))
 
 
 def subscores(spark, d):
@@ -308,5 +341,5 @@ QUERIES = {f.__name__: f for f in (
     template_assignment, content_ids, twin_expansion, bucket_routing, union_scan, option_rotations, scoring_units, prompt_text, letter_readout,
     allocation_probs, advice_scores, hedge_rate, spearman_by_group, gate_decision, bootstrap_ci, wilcoxon_statistic, wilcoxon_p, paired_delta,
     uncached_jobs, cache_lookup, request_dedup, collect_fallbacks, stratified_sample, seeded_limit, fixed_batches, distinct_coverage,
-    generated_profiles, generated_edges, twin_vignettes, pair_vignettes, roundtrip_accuracy, rewriter_fallbacks,
+    generated_profiles, generated_edges, twin_vignettes, pair_vignettes, roundtrip_accuracy, rewriter_fallbacks, resumed_rewrites, rewrites_in_order,
 )}

@@ -74,11 +74,14 @@ class Config:
     model: str = "gpt-4o-mini"
     temperature: float = 0.7
     max_retries: int = 4
+    max_workers: int = 8
+    #: The portfolios, and their shares of stocks.
     options: tuple[str, ...] = ("80% bonds, 20% stocks", "60% bonds, 40% stocks", "30% bonds, 70% stocks", "10% bonds, 90% stocks")
     equity: tuple[float, ...] = (0.20, 0.40, 0.70, 0.90)
     n_permutations: int = 4
     batch_size: int = 32
     dry_run_n: int = 100
+    #: Thresholds of the gate.
     hedge_min_mass: float = 0.5
     rho_min: float = 0.5
     hedge_rate_max: float = 0.2
@@ -110,7 +113,7 @@ class Config:
         take("banned", "vignette", "banned_lexicon", kind=tuple)
         for k in ("tier_balance_tol", "token_len_tol", "dup_fraction_max", "roundtrip_sample"):
             take(k, "vignette", "qc", k)
-        for k in ("backend", "model", "temperature", "max_retries"):
+        for k in ("backend", "model", "temperature", "max_retries", "max_workers"):
             take(k, "vignette", "paraphrase", k)
         take("options", "advice_options", "portfolio_choice", kind=tuple)
         take("equity", "advice_options", "equity_fractions", kind=tuple)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.stored import written
-
 #: Column names and types of the data sets.
 PROFILE = (
     "profile_id string, past_drawdown_reaction string, horizon_years int, investing_experience string, income_stability string, stated_goal string, "
@@ -58,11 +58,26 @@ def bucket():
     return F.when(F.col("pair_id").isNotNull(), F.lit("pairs")).otherwise(F.col("vignette_type"))
 
 
-def write_buckets(df: DataFrame, folder: str) -> None:
-    """One folder ``<bucket>.jsonl`` for each bucket; absent buckets are written empty. df is computed once."""
-    df = written(df.withColumn("_bucket", bucket()), "buckets")
-    for name in ("explicit", "implicit", "pairs"):
-        write(df.where(F.col("_bucket") == name).drop("_bucket"), f"{folder}/{name}.jsonl")
+def write_buckets(df: DataFrame, folder: str, names: tuple[str, ...] = ("explicit", "implicit", "pairs")) -> None:
+    """One folder ``<bucket>.jsonl`` for each bucket; buckets without rows are made empty, rows of none of them are left out. df is computed once: a single
+    partitioned write, whose folders take the place of the old ones by renaming when the job is over, so a job that fails leaves the old ones."""
+    spark = df.sparkSession
+    at = f"{folder.rstrip('/')}/_buckets-{uuid.uuid4().hex}"  # hidden from readers of the folder
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        rows = df.withColumn("_bucket", bucket()).where(F.col("_bucket").isin(*names))
+        rows.write.option("ignoreNullFields", "false").partitionBy("_bucket").json(at)
+        for name in names:
+            new, old = jvm.Path(f"{at}/_bucket={name}"), jvm.Path(f"{folder.rstrip('/')}/{name}.jsonl")
+            if not fs.exists(new):
+                fs.mkdirs(new)
+            fs.create(jvm.Path(f"{at}/_bucket={name}/_SUCCESS"), True).close()
+            fs.delete(old, True)
+            if not fs.rename(new, old):
+                raise OSError(f"{old} couldn't be replaced")
+    finally:
+        fs.delete(jvm.Path(at), True)
 
 
 def report_name(folder: str) -> str:
@@ -73,9 +88,19 @@ def report_name(folder: str) -> str:
     return f"qc_report_{tag}.json" if tag else "qc_report.json"
 
 
-def write_report(report: dict, path: str) -> None:
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file to whatever file system its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
     import json
-    from pathlib import Path
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, default=str))
+    put_text(spark, path, json.dumps(report, indent=2, default=str))

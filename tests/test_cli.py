@@ -1,6 +1,7 @@
 """The steps one after another, over a folder."""
 
 import json
+from pathlib import Path
 
 from plumbline.plans.cli import main
 
@@ -17,6 +18,23 @@ class Service:
         return "expired" if batch_id == "lost" else "completed"
 
 
+class Half:
+    """A batch that expires with one answer of its first request."""
+
+    def submit(self, input_path):
+        Half.lines = [x for f in sorted(Path(input_path).glob("part-*")) for x in f.read_text().splitlines()]
+        Half.folder = Path(input_path).parent
+        return "half"
+
+    def status(self, batch_id):
+        return "expired"
+
+    def output(self, batch_id):
+        answer = {"custom_id": json.loads(Half.lines[0])["custom_id"], "response": {"status_code": 200, "body": {"choices": [{"message": {"content": "Half."}}]}}}
+        (Half.folder / "half.jsonl").write_text(json.dumps(answer))
+        return str(Half.folder / "half.jsonl")
+
+
 def test_steps(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("data: {n_profiles: 12}\n")
     d = str(tmp_path)
@@ -37,9 +55,15 @@ def test_steps(spark, tmp_path):
     rows = [json.loads(x) for f in (tmp_path / "vignettes" / "pairs.jsonl").glob("part-*") for x in f.read_text().splitlines()]
     assert len(rows) == 6 and sum(r["text"] == "A NEW TEXT" for r in rows) == 2 and sum(r["text"].startswith("Told anew") for r in rows) == 4
     assert main(["render", *c, "--n-pairs", "2"]) == 0
+    assert main(["collect", *c, *out, "--n-pairs", "2", "--then-render"]) == 0
+    assert main(["submit", *c, *out, "--n-pairs", "5", "--service", "tests.test_cli:Half"]) == 0
+    assert (tmp_path / "results" / "batch_id.txt").read_text() == "half"
+    late = ["--responses", f"{d}/late.jsonl"]
+    assert main(["wait", *c, *out, *late, "--service", "tests.test_cli:Half", "--interval", "0"]) == 0 and main(["collect", *c, *out, *late]) == 0
     assert main(["wait", "--service", "tests.test_cli:Service", "--interval", "0"]) == 0 and main(["wait", "--service", "tests.test_cli:Service", "--interval", "0", "--batch", "lost"]) == 1
     assert main(["qc", *c, *out, "--classifier", "plumbline.operators.plugins:stub_classifier"]) == 0
     assert json.loads((tmp_path / "results" / "qc_report.json").read_text())["round_trip"]["n"] > 0
     assert main(["qc", *c, *out]) == 0 and (tmp_path / "results" / "qc_report.json").exists()
-    assert main(["advise", *c, "--scorer", "plumbline.operators.plugins:stub_scorer"]) == 0 and main(["gate", *c, *out]) == 0
+    assert main(["advise", *c, "--scorer", "plumbline.operators.plugins:stub_scorer"]) == 0
+    assert main(["advise", *c, "--scorer", "plumbline.operators.scoring:CharacterModel", "--device", "cpu"]) == 0 and main(["gate", *c, *out]) == 0
     assert json.loads((tmp_path / "results" / "s3_gate.json").read_text())["n_baseline"] == 28

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import readout as R
 from plumbline.functions import text as T
-from plumbline.operators import plugins, qc, requests, sampling, similarity, stats
+from plumbline.operators import plugins, qc, requests, rewriting, sampling, similarity, stats
 from plumbline.plans import gate
 from plumbline.sources import jsonl, package
 from plumbline.sources.config import Config
@@ -203,7 +203,7 @@ def test_report(spark, tmp_path):
     df = spark.createDataFrame(rows, "vignette_id string, profile_id string, pair_id string, tier string, vignette_type string, text string")
     r = qc.report(df, spark.createDataFrame([("p1", 25)], "profile_id string, age int"), Config())
     assert r["counts"] == {"explicit": 1, "implicit": 1, "pairs": 1} and r["banned_leaks"]["count"] == 1 and r["hard_fail"] and r["age_experience_coherence"]["pass"]
-    jsonl.write_report(r, str(tmp_path / "a" / "r.json"))
+    jsonl.write_report(spark, r, str(tmp_path / "a" / "r.json"))
     assert json.loads((tmp_path / "a" / "r.json").read_text())["banned_leaks"]["examples"][0]["hits"] == ["risk"]
     assert jsonl.report_name("data/vignettes_edge") == "qc_report_edge.json" and jsonl.report_name("data/vignettes/") == "qc_report.json"
 
@@ -228,9 +228,9 @@ def test_config(tmp_path):
 
 def test_plugins(spark):
     jobs = spark.createDataFrame([("a safe thing", "implicit"), ("b", "explicit")], "text string, mode string")
-    got = {r["text"]: (r["final_text"], r["model"]) for r in plugins.rewritten(jobs, Config(), lambda p: p.split("\n")[0].upper()).collect()}
+    got = {r["text"]: (r["final_text"], r["model"]) for r in rewriting.rewritten(jobs, Config(), lambda p: p.split("\n")[0].upper()).collect()}
     assert got == {"a safe thing": ("a safe thing", "template-only"), "b": ("B", "gpt-4o-mini")}
-    assert {r["model"] for r in plugins.rewritten(jobs, Config()).collect()} == {"template-only"}
+    assert {r["model"] for r in rewriting.rewritten(jobs, Config()).collect()} == {"template-only"}
     calls = []
 
     def twice(p):
@@ -239,9 +239,9 @@ def test_plugins(spark):
             raise OSError
         return p
 
-    assert plugins.called(twice, "x", wait=0) == "x" and len(calls) == 3
+    assert rewriting.called(twice, "x", wait=0) == "x" and len(calls) == 3
     with pytest.raises(OSError):
-        plugins.called(lambda p: (_ for _ in ()).throw(OSError()), "x", wait=0)
+        rewriting.called(lambda p: (_ for _ in ()).throw(OSError()), "x", wait=0)
     rows = spark.createDataFrame([(f"v{i}", "t", "moderate") for i in range(4)], "vignette_id string, text string, tier string")
     assert tuple(plugins.round_trip(rows, Config(), lambda t: " Moderate.").first()) == (4, 1.0)
     units = spark.createDataFrame([("q",), ("rr",)], "user_msg string")
