@@ -19,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import mapped, mix64, ship, tidy, written
 from plumbline.llm.naming import dense
 
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Totals of so many languages are broadcast, those of more are joined.
 _LANGS = 10_000
 FILTER = 32 << 20
+KNOWN = 32 << 20
 #: A to Z to a to z, the ends of pieces to new lines, tabs to spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
@@ -195,7 +197,7 @@ def _table(pairs: DataFrame) -> tuple[np.ndarray, int]:
     return out.view(np.uint64), bits
 
 
-def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int = 5, shard: int = SHARD) -> DataFrame:
+def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int = 5, shard: int = SHARD, broadcast_bytes: int = KNOWN) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of each phrase of 2 to ``depth`` words that occurs ``least`` times or more in its language and isn't subsumed.
 
     A null text is empty and a null lang ``und``; a doc_id isn't needed, so repeated rows count each, and other columns are left alone. A text is cut into pieces in
@@ -210,23 +212,7 @@ def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int =
     tidy(spark)
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     known = dense(counted.where(F.col("f") >= least).select("lang", "word", "f"), "id").withColumn("id", (F.col("id") + 1).cast("int"))
-    each = shards.select("shard", "lang", F.posexplode("words").alias("pos", "word"))
-    maps = each.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("pos", "id")).alias("map"))  # a shard's words at most
-
-    def encode(batches):
-        for b in batches:
-            for size, codes, pairs in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                ids = np.zeros(size.as_py() + 1, np.int32)
-                if pairs.is_valid:
-                    ids[pairs.values.field(0).to_numpy() + 1] = pairs.values.field(1).to_numpy()
-                c = _unpacked(codes.as_py())
-                c = np.sign(c) * ids[np.abs(c)]
-                c = c[(c != 0) | np.append(True, c[:-1] != 0)] if len(c) else c  # one mark between runs
-                yield pa.RecordBatch.from_pydict({"codes": pa.array([_packed(c)], pa.binary())})
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = shards.select("shard", F.size("words").alias("size"), "codes").repartition(n, "shard").join(maps, "shard", "left").drop("shard")
-    coded = written(mapped(both, encode, "codes binary"), "codes")
+    coded = _coded(shards, known, broadcast_bytes)
     tidy(spark)
     pairs = _frequent(coded, 2, 2, least)
     tidy(spark)
@@ -243,6 +229,49 @@ def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int =
     return _scored(found, known, totals, percent)
 
 
+def _coded(shards: DataFrame, known: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Each shard's codes as the numbers of its words, 0 for words that aren't known. The known words are sent to the workers if they take broadcast_bytes at most (they are
+    counted first); more are joined with the shards' dictionaries."""
+    spark = shards.sparkSession
+
+    def numbered(codes: bytes, ids: np.ndarray) -> bytes:
+        """ids: by code; the first is of marks."""
+        c = _unpacked(codes)
+        c = np.sign(c) * ids[np.abs(c)]
+        return _packed(c[(c != 0) | np.append(True, c[:-1] != 0)] if len(c) else c)  # one mark between runs
+
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] + 16 * size["n"] <= broadcast_bytes:
+        table = known.select("lang", "word", "id").toArrow()
+        sent = spark.sparkContext.broadcast({lang: table.filter(pc.equal(table["lang"], lang)).select(["word", "id"]).combine_chunks() for lang in table["lang"].unique().to_pylist()})
+
+        def found(batches):
+            for b in batches:
+                for lang, words, codes in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                    ids = np.zeros(len(words) + 1, np.int32)
+                    if lang in sent.value:
+                        at = pc.index_in(words.values, sent.value[lang]["word"]).to_numpy(zero_copy_only=False)
+                        ok = ~np.isnan(at.astype(float))
+                        ids[1:][ok] = sent.value[lang]["id"].to_numpy()[at[ok].astype(int)]
+                    yield pa.RecordBatch.from_pydict({"codes": pa.array([numbered(codes.as_py(), ids)], pa.binary())})
+
+        return written(mapped(shards.select("lang", "words", "codes"), found, "codes binary"), "codes")
+    each = shards.select("shard", "lang", F.posexplode("words").alias("pos", "word"))
+    maps = each.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("pos", "id")).alias("map"))  # a shard's words at most
+
+    def joined(batches):
+        for b in batches:
+            for size, codes, pairs in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                ids = np.zeros(size.as_py() + 1, np.int32)
+                if pairs.is_valid:
+                    ids[pairs.values.field(0).to_numpy() + 1] = pairs.values.field(1).to_numpy()
+                yield pa.RecordBatch.from_pydict({"codes": pa.array([numbered(codes.as_py(), ids)], pa.binary())})
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = shards.select("shard", F.size("words").alias("size"), "codes").repartition(n, "shard").join(maps, "shard", "left").drop("shard")
+    return written(mapped(both, joined, "codes binary"), "codes")
+
+
 def _frequent(coded: DataFrame, shortest: int, longest: int, least: int, passes=None) -> DataFrame:
     """(ids, f) of the phrases of these lengths that occur so often, from each shard's automaton."""
     keys = [f"k{i}" for i in range((longest + 1) // 2)]

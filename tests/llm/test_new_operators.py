@@ -71,11 +71,10 @@ def chatter(seed, n):
     return out
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 37])
-@pytest.mark.parametrize("percent", [100, 60])
-def test_collocations(spark, shard, percent):
+@pytest.mark.parametrize(("shard", "percent", "sent"), [(1 << 20, 100, 0), (37, 100, 1 << 20), (37, 60, 0)])
+def test_collocations(spark, shard, percent, sent):
     data = chatter(1, 120) + [(500, None, "en", "s", 1), (501, "", None, "s", 1), (502, "one word " * 90, "de", "s", 1), (502, "one word " * 90, "de", "s", 1), (None, "a b", "en", "s", 1)]
-    got = collocations.top(collocations.phrases(table(spark, data, extra=True), least=5, percent=percent, shard=shard), 40)
+    got = collocations.top(collocations.phrases(table(spark, data, extra=True), least=5, percent=percent, shard=shard, broadcast_bytes=sent), 40)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(tuple(r) for r in got.collect()) == collocations_by_hand([(d[1], d[2]) for d in data], 5, 40, percent)
 
