@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from plumbline.functions.text import ANSWER, stems_pattern
 from plumbline.operators.generate import CITIES, NET_WORTH
+from plumbline.operators.stats import mixed32, poisson_limits
 from plumbline.plans.queries import CONFIG, HEDGE_MAX, LEXICON, OPTIONS, PATTERN, PRIORITIES, RHO_MIN
 
 
@@ -76,6 +79,27 @@ i as (select doc_id, w, unnest(range(greatest(len(w) - 5, 0) + 1)) as i from t),
 sh as (select distinct doc_id, array_to_string(w[i + 1 : i + 5], ' ') as s from i)"""
 _MODE = "case when lang = 'en' then 'implicit' else 'explicit' end"
 
+
+def _mixed(rows: str, keep: str, start: str, out: str) -> str:
+    """A subquery of ``rows`` with stats.mixed32 of ``start``, a step at a time."""
+    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        rows, start = f"(select {keep}, (xor(v, v >> {shift}) * {times}::ubigint) & 4294967295::ubigint as w from (select {keep}, {start} as v from {rows}))", "w"
+    return f"(select {keep}, xor(w, w >> 16) as {out} from {rows})"
+
+
+_LIMITS = ", ".join(f"({c}, {poisson_limits(c)[1].tolist()}::ubigint[])" for c in range(1, 20))  # cells of up to 19 rows
+_BOOTSTRAP = f""", k as (select c_mktsegment as g, rank() over (partition by c_mktsegment order by s) - 1 as x, rank() over (partition by c_mktsegment order by o_totalprice) - 1 as y, count(*) over (partition by c_mktsegment) as n from scored),
+cells as (select g, x * 1024 // n as a, y * 1024 // n as b, count(*) as c from k group by all),
+hashed as {_mixed('cells', 'g, a, b, c', f'xor((a * 1024 + b)::ubigint, {int(mixed32(np.array([42], np.uint32))[0])}::ubigint)', 'h')},
+turns as {_mixed('(select unnest(range(1, 2001))::ubigint as r)', 'r', 'r', 't')},
+every as {_mixed('(select g, a, b, c, r, xor(h, t) as x from hashed, turns)', 'g, a, b, c, r', 'x', 'u')},
+drawn as materialized (select g, a, b, r, len(list_filter(l, lambda v: v <= u)) as w from every join (values {_LIMITS}) as limits(c, l) using (c)),
+xs as (select g, r, a, sum(sum(w)) over (partition by g, r order by a) - (sum(w) - 1) / 2.0 - (sum(sum(w)) over (partition by g, r) + 1) / 2.0 as x from drawn group by g, r, a),
+ys as (select g, r, b, sum(sum(w)) over (partition by g, r order by b) - (sum(w) - 1) / 2.0 - (sum(sum(w)) over (partition by g, r) + 1) / 2.0 as y from drawn group by g, r, b),
+placed as materialized (select g, r, b, w, x from drawn join xs using (g, r, a) where w > 0),
+rho as (select g, r, sum(w * x * y) / sqrt(sum(w * x * x) * sum(w * y * y)) as rho from placed join ys using (g, r, b) group by g, r having sum(w * x * x) > 0 and sum(w * y * y) > 0)
+select g as c_mktsegment, round(quantile_cont(rho, 0.025), 6) as ci_low, round(quantile_cont(rho, 0.975), 6) as ci_high from rho group by g"""
+
 SQL = {
     "rubric_score_tier": _SCORED + " select o_orderkey, round(s, 6) as score, tier from scored",
     "subscores": f"select o_orderkey, round({_PRIORITY}, 8) as a_o_orderpriority, round({_PRICE}, 8) as a_o_totalprice, round({_STATUS}, 8) as a_o_orderstatus from orders",
@@ -138,4 +162,5 @@ k as (select *, sha1('openai|gpt-4o-mini|' || mode || '|' || text) as id, revers
 l as (select *, mode = 'implicit' and len({_HITS.replace('text', 'said', 1)}) > 0 as leaks from k)
 select doc_id, md5(case when substr(id, 1, 1) < 'a' then 'had' when leaks then text else said end) as final_md5, case when substr(id, 1, 1) < 'a' then 'earlier' when leaks then 'template-only' else 'gpt-4o-mini' end as model from l""",
     "rewrites_in_order": "select item_id, md5(reverse(left(text, 40))) as final_md5, 'gpt-4o-mini' as model, true as in_order from benchmark",
+    "bootstrap_ci": _SCORED + _BOOTSTRAP,
 }

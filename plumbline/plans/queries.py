@@ -211,7 +211,8 @@ def gate_decision(spark, d):
 
 def bootstrap_ci(spark, d):
     """Intervals of spearman_by_group's correlations, from resamples of the same orders."""
-    return stats.bootstrap_spearman(scored_orders(spark, d), "s", "o_totalprice", "c_mktsegment")
+    ci = stats.bootstrap_spearman(scored_orders(spark, d), "s", "o_totalprice", "c_mktsegment")
+    return ci.select("c_mktsegment", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
 def _conditions(spark, d):
