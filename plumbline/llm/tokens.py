@@ -26,6 +26,7 @@ from plumbline.llm.rans import Coder, Frequencies
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 PART_TOKENS = 1 << 23
+#: Chunks of text that a worker keeps with their ids, unless another number is asked for. Fewer cost time and change no result.
 _CACHED = 500_000
 _JOINED = 400
 #: The normaliser and the pattern of the tokenizer that cut() is made for. Files that differ encode whole texts.
@@ -48,15 +49,15 @@ class ChunkIds(dict):
     """The numbers of chunks of text already seen by this worker, and the ids of each.
 
     Looking up a new chunk gives it the next number; its ids are found before they are used. When there are more than
-    _CACHED chunks, those met since the last time stay and the others go.
+    ``cached`` chunks, those met since the last time stay and the others go.
     """
 
-    def __init__(self, path: str, width: str) -> None:
+    def __init__(self, path: str, width: str, cached: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.tokenizer, self.width, self.cached = Tokenizer.from_file(path), width, cached or _CACHED
         self.whole = not can_be_cut(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -77,7 +78,7 @@ class ChunkIds(dict):
         else:
             ids, size = np.zeros(0, self.width), np.zeros(0, np.int64)
         self.flat, self.end = ids, len(ids)
-        self.size = np.concatenate([size, np.zeros(_CACHED, np.int64)])
+        self.size = np.concatenate([size, np.zeros(self.cached, np.int64)])
         self.start = np.cumsum(self.size) - self.size
         self.used, self.clock = np.zeros(len(self.size), np.int64), 0
 
@@ -96,7 +97,7 @@ class ChunkIds(dict):
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.whole:
             return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        if len(self) > _CACHED:
+        if len(self) > self.cached:
             self._forget()
         chunks = [cut(t) for t in texts]
         n = np.array([len(c) for c in chunks])
@@ -142,8 +143,8 @@ class ChunkIds(dict):
         self.new = []
 
 
-#: Of this Python worker, by path and width.
-_IDS: dict[tuple[str, str], ChunkIds] = {}
+#: Of this Python worker, by path, width and size.
+_IDS: dict[tuple[str, str, int | None], ChunkIds] = {}
 _ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 _MARK = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))  # not the apostrophe, which can begin a piece of letters
 
@@ -167,11 +168,11 @@ def cut(text: bytes) -> list[str]:
     return text.decode("utf-8", "replace").replace("\n", " ").split(" ")
 
 
-def encode_texts(texts: list[bytes], path: str, width: str = "<u4") -> list[bytes]:
+def encode_texts(texts: list[bytes], path: str, width: str = "<u4", cached: int | None = None) -> list[bytes]:
     """The ids of each UTF-8 text as little-endian integers."""
-    if (path, width) not in _IDS:
-        _IDS[path, width] = ChunkIds(path, width)
-    return _IDS[path, width].encode(texts) if texts else []
+    if (path, width, cached) not in _IDS:
+        _IDS[path, width, cached] = ChunkIds(path, width, cached)
+    return _IDS[path, width, cached].encode(texts) if texts else []
 
 
 def vocabulary_size(path: str, end_id: int) -> int:
@@ -180,7 +181,7 @@ def vocabulary_size(path: str, end_id: int) -> int:
     return max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, str]:
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID, cached: int | None = None) -> tuple[DataFrame, str]:
     """doc_id and ids (binary), the end id last, and the width of an id: 16 bits, or 32 for a vocabulary of over 65,536."""
     width = "<u2" if vocabulary_size(path, end_id) <= 1 << 16 else "<u4"
 
@@ -188,7 +189,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame
         end = np.array([end_id], width).tobytes()
         for batch in batches:
             for b in slices(batch, "text"):
-                ids = [x + end for x in encode_texts([x or b"" for x in b.column("text").to_pylist()], path, width)]
+                ids = [x + end for x in encode_texts([x or b"" for x in b.column("text").to_pylist()], path, width, cached)]
                 yield record(doc_id=b.column("doc_id"), ids=pa.array(ids, pa.binary()))
 
     return documents_of(docs).transform(mapped, f, "doc_id long, ids binary"), width
@@ -233,11 +234,11 @@ def _blocks(width: str, frequencies: Frequencies, block_tokens: int):
     return f
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
+def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, cached: int | None = None) -> None:
     """Writes docs as a data set. Null and empty texts are the end id alone; rows that repeat a doc_id are all kept, next
     to each other; rows without a doc_id are left out; an empty table gives no blocks."""
     spark = docs.sparkSession
-    ids, width = encoded(docs, path, end_id)
+    ids, width = encoded(docs, path, end_id, cached)
     ids = written(ids, "ids")
     vocabulary = vocabulary_size(path, end_id)
     counts = np.zeros(vocabulary, np.int64)
@@ -284,9 +285,9 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     return rows.join(before, "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, cached: int | None = None) -> DataFrame:
     """Writes docs to a new folder beside the checkpoints and returns what the files hold: nulls, empty texts, repeated rows and empty
     tables as write() says. The files go with the driver; write() keeps them where they are put."""
     folder = new_path(docs.sparkSession, "tokens")
-    write(docs, folder, path, end_id)
+    write(docs, folder, path, end_id, cached=cached)
     return read(docs.sparkSession, folder)

@@ -424,3 +424,13 @@ def test_repeated_rows_beside_another_context(spark):
     data = [(1, text, None, None, 0)] * 2 + [(2, f"{prose(64, 60)} {shared} {prose(65, 60)}", None, None, 0)]
     got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(table(spark, data), 200).collect()}
     assert got[1]["n_removed"] == len(text) and got[2]["n_removed"] >= len(shared)
+
+
+def test_segments_of_very_many_pairs():
+    """Groups are kept apart however many there are."""
+    n = 9_000_000
+    a = np.arange(n)
+    got = passages.joined(a, a + 1, np.full(n, 7), np.full(n, 3), np.full(n, 5), 0)
+    assert (got[4] == 5).all() and len(got[0]) == n
+    with pytest.raises(OverflowError):
+        passages.joined(np.arange(4), np.arange(4), np.full(4, 1 << 60), np.zeros(4, np.int64), np.full(4, 5), 0)
