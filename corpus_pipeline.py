@@ -18,6 +18,10 @@ from plumbline.llm.common import scratch, table, tidy
 from plumbline.llm.queries import tokenizer_path
 
 
+#: Chunks that a token worker keeps: fewer than where token output is all that executors do, since they keep memory of the stages before.
+CHUNKS = 150_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the machine, trained on labels, scores as toxic."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -40,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids as entropy-coded files, and what reading them gives, a row for each document."""
-    return tokens.round_trip(docs, tokenizer_path())
+    return tokens.round_trip(docs, tokenizer_path(), cached=CHUNKS)
 
 
 STAGES = [
