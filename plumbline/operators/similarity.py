@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
@@ -12,6 +12,10 @@ from plumbline.sources.package import ship
 from plumbline.sources.stored import written
 
 
+#: Rows of a common shingle or band that meet in a task, of each of two blocks.
+BLOCK = 2048
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
@@ -66,12 +70,54 @@ def classes(df: DataFrame, key: str, text: str, n: int = 5) -> tuple[DataFrame,
     return sets.select(F.col(key).alias("k"), "c1", "c2"), least.join(own, ["c1", "c2", "rep"])
 
 
-def class_links(reps: DataFrame, threshold: float) -> DataFrame:
+def _partitions(df: DataFrame) -> int:
+    """As many as the session says: cells of blocks are few bytes but much work, so adaptive execution must not join them by bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _marked(reps: DataFrame) -> DataFrame:
+    """reps (rep, s) with n, the set's size, and m, a bitmap of 256 bits in which each member turns one bit round: two bitmaps differ in no more bits than
+    the sets have members that the other lacks."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda i: F.aggregate(F.filter("s", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == i), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    return reps.select("rep", F.size("s").alias("n"), F.array(*[word(i) for i in range(4)]).alias("m"), "s")
+
+
+def met_pairs(rows: DataFrame, on: str, threshold: float, more: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b, of classes (rep, n, m and other columns) that meet under a value of ``on`` and could be at the threshold by their sizes and bitmaps, and by
+    ``more``, a condition on the columns of both, named with _a and _b.
+
+    The rows of a value are dealt to blocks, and each pair of blocks is a cell of its own, compared by one task: however many rows a value has, a cell sees
+    2 * block of them about, and no pair is left out. All conditions hold within the join, before a row leaves it.
+    """
+    sizes = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    blocks = F.ceil(F.col("_c") / F.lit(block)).cast("int")
+    dealt = rows.join(sizes, on).withColumn("_own", F.pmod(F.xxhash64(F.lit(5), "rep"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("_lo", F.least("_own", "_j")).withColumn("_hi", F.greatest("_own", "_j")).drop("_c", "_j")
+    cell = [on, "_lo", "_hi"]
+    dealt = written(dealt.repartition(_partitions(rows), *cell), "cells")
+    sides = [dealt.select(*cell, *[F.col(c).alias(f"{c}_{side}") for c in dealt.columns if c not in cell]).repartition(_partitions(rows), *cell) for side in "ab"]
+    na, nb = F.col("n_a"), F.col("n_b")
+    apart = sum((F.bit_count(F.get("m_a", F.lit(i)).bitwiseXOR(F.get("m_b", F.lit(i)))) for i in range(4)), F.lit(0))
+    near = (F.col("rep_a") < F.col("rep_b")) & ((F.col("_own_a") != F.col("_own_b")) | (F.col("_lo") == F.col("_hi")))
+    near &= (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & ((na + nb - apart) / 2 >= (na + nb) * threshold / (1 + threshold) - 1e-9)
+    both = sides[0].join(sides[1], cell).where(near if more is None else near & more)
+    return both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs of classes whose whole sets are at the threshold."""
+    sa, sb = reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return both.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def class_links(reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, jaccard) for pairs of classes (rep, s) at or over the threshold, a < b.
 
     Prefix filter: each set is put in one order, the rarest shingles first, and only as many of them are joined as a pair at the
-    threshold must share one of. A pair is a candidate where its first such shingle meets, and only if the lengths and both places
-    leave room for enough in common (positional filter), so most of the pairs of a common shingle end in the join.
+    threshold must share one of. A pair is a candidate where such a shingle meets, and only if the lengths, both places (positional filter) and
+    the bitmaps of the whole sets leave room for enough in common, so most of the pairs of a common shingle end in the join.
     """
     freq = reps.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles of one text only come first in its order and join nothing: their number moves the places of the others
@@ -79,16 +125,12 @@ def class_links(reps: DataFrame, threshold: float) -> DataFrame:
     ordered = ranked.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
     alone = F.col("n") - F.size("o")
     keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1 - alone).cast("int")
-    some = ordered.where(keep > 0).select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("p", "x"))
-    prefix = written(some.select("rep", "n", (F.col("alone") + F.col("p")).alias("p"), F.col("x.h").alias("h")), "prefixes")
-    a, b = prefix.toDF("a", "na", "pa", "h"), prefix.toDF("b", "nb", "pb", "h")
-    enough = (F.col("na") + F.col("nb")) * threshold / (1 + threshold) - 1e-9
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # from the first that both have on
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    cand = a.join(b, "h").where(near).groupBy("a", "b").agg(F.max(room).alias("room"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("room") >= enough).select("a", "b")
-    sa, sb = reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
-    both = cand.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    some = ordered.where(keep > 0).join(_marked(reps).select("rep", "m"), "rep")
+    prefix = some.select("rep", "n", "m", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("p", "x"))
+    prefix = prefix.select("rep", "n", "m", (F.col("alone") + F.col("p")).alias("p"), F.col("x.h").alias("h"))
+    enough = (F.col("n_a") + F.col("n_b")) * threshold / (1 + threshold) - 1e-9
+    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))  # from here on; most at the first that both have
+    return verified(met_pairs(prefix, "h", threshold, room >= enough, block), reps, threshold)
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
@@ -102,15 +144,20 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n:
     return out.union(copies).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
-def duplicated(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
-    """(key, is_dup) for each row: whether another text is at least so similar. Rows are flagged by their class: one of several
-    copies, or one that is linked; no pair of rows is made."""
+def _flagged(df: DataFrame, key: str, text: str, n: int, links) -> DataFrame:
+    """(key, is_dup) by class: one of several copies, or one that ``links`` (of the classes' rep and s) links."""
     rows, reps = classes(df, key, text, n)
-    linked = class_links(reps.select("rep", "s"), threshold).select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+    linked = links(reps.select("rep", "s")).select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
     flags = reps.select("c1", "c2", "rep", "copies").join(linked, "rep", "left").where((F.col("copies") > 1) | F.col("linked")).select("c1", "c2", F.lit(True).alias("is_dup"))
     return rows.join(flags, ["c1", "c2"], "left").select(F.col("k").alias(key), F.coalesce("is_dup", F.lit(False)).alias("is_dup"))
 
 
+def duplicated(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
+    """(key, is_dup) for each row: whether another text is at least so similar. Rows are flagged by their class: one of several
+    copies, or one that is linked; copies make no pairs."""
+    return _flagged(df, key, text, n, lambda reps: class_links(reps, threshold))
+
+
 def _bands(bands: int, rows: int):
     rng = np.random.default_rng(20_240_604)
     xor = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -128,16 +175,35 @@ def _bands(bands: int, rows: int):
                 for part in low.reshape(bands, rows).T:
                     band = _mixed(band * np.uint64(3) + part)
                 out.append(band.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], [b.schema.names[0], "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64())), *b.columns[2:]], [b.schema.names[0], "bands", *b.schema.names[2:]])
 
     return f
 
 
-def minhash_duplicated(df: DataFrame, key: str, text: str, n: int = 5, bands: int = 8, rows: int = 8) -> DataFrame:
-    """(key, is_dup): whether another text shares a band of MinHash values; not verified. 8 bands of 8 rows fit a threshold of 0.7.
-    Signatures are made within the row, so only bands are shuffled."""
-    signed = shingle_sets(df, key, text, n).mapInArrow(_bands(bands, rows), f"`{key}` {df.schema[key].dataType.simpleString()}, bands array<long>")
-    spread = written(signed.select(key, F.explode("bands").alias("band")), "bands")
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    ids = spread.join(shared, "band", "left_semi").select(key).distinct().withColumn("is_dup", F.lit(True))
-    return df.select(key).join(ids, key, "left").select(key, F.coalesce("is_dup", F.lit(False)).alias("is_dup"))
+def banding(threshold: float, permutations: int = 128, misses: float = 0.9999, steps: int = 200) -> tuple[int, int]:
+    """(bands, rows) of at most so many permutations: the least weighted sum of the area of false candidates below the threshold and that of missed pairs from it
+    on, by the midpoint rule. misses: the weight of the second; false candidates only cost work, since they are verified."""
+    at = (np.arange(steps) + 0.5) / steps
+    below, above = at * threshold, threshold + at * (1 - threshold)
+    best = (np.inf, 1, 1)
+    for rows in range(1, permutations + 1):
+        for bands in range(1, permutations // rows + 1):
+            false = threshold * np.mean(1 - (1 - below**rows) ** bands)
+            missed = (1 - threshold) * np.mean((1 - above**rows) ** bands)
+            best = min(best, ((1 - misses) * false + misses * missed, bands, rows))
+    return best[1:]
+
+
+def minhash_links(reps: DataFrame, threshold: float, permutations: int = 128, misses: float = 0.9999, block: int = BLOCK) -> DataFrame:
+    """(a, b, jaccard) of classes (rep, s) that share a band of MinHash values and are at the threshold by their whole sets. Signatures are made within
+    the row, so only bands are shuffled."""
+    bands, rows = banding(threshold, permutations, misses)
+    marked = _marked(reps)
+    kind = reps.schema["rep"].dataType.simpleString()
+    signed = marked.select("rep", "s", "n", "m").mapInArrow(_bands(bands, rows), f"rep {kind}, bands array<long>, n int, m array<long>")
+    return verified(met_pairs(signed.select("rep", "n", "m", F.explode("bands").alias("band")), "band", threshold, block=block), reps, threshold)
+
+
+def minhash_duplicated(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5, permutations: int = 128, misses: float = 0.9999) -> DataFrame:
+    """(key, is_dup) as duplicated() gives it, but for pairs that share no band: banding() says how few."""
+    return _flagged(df, key, text, n, lambda reps: minhash_links(reps, threshold, permutations, misses))

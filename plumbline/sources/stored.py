@@ -46,7 +46,17 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     ship(spark)
     path = new_path(spark, name)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def delete(table: DataFrame) -> None:
+    """Deletes a table that written() has returned, when nothing will read it any more."""
+    path = table._written
+    if path in _PATHS:
+        _PATHS.remove(path)
+    _deleted(table.sparkSession, [path])
 
 
 def _deleted(spark: SparkSession, paths: list[str]) -> int:

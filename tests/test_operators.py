@@ -275,3 +275,61 @@ def test_batches_of_whole_texts_are_bounded_by_bytes(spark):
     assert sum(r["rows"] for r in got) == 300
     assert all(r["bytes"] <= (8 << 20) + 200_000 for r in got if r["bytes"] < 20_000_000)  # only the long text's batch is larger
     assert sum(r["bytes"] >= 20_000_000 for r in got) == 1 and max(r["bytes"] for r in got) < 29_000_000
+
+
+def test_a_common_shingle_is_split_into_cells(spark):
+    """All texts share a shingle that each of them must join by; tasks compare blocks of it, and every pair is found."""
+    n = 3000
+    sets = spark.range(n).select(F.col("id").alias("rep"), F.array(F.lit(7), 1000 + F.col("id"), 1000 + F.col("id") - F.col("id") % 2, 90000 + F.floor(F.col("id") / 6)).cast("array<long>").alias("s"))
+    sets = sets.select("rep", F.array_sort(F.array_distinct(F.transform("s", lambda x: F.xxhash64(x)))).alias("s"))
+    want = {}
+    rows = {r["rep"]: set(r["s"]) for r in sets.collect()}
+    for a in rows:
+        for b in range(a + 1, min(n, a + 6)):
+            j = len(rows[a] & rows[b]) / len(rows[a] | rows[b])
+            if j >= 0.4:
+                want[a, b] = j
+    for block in (2048, 128):
+        got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.class_links(sets, 0.4, block).collect()}
+        assert got == pytest.approx(want)
+    marked = similarity._marked(sets).withColumn("h", F.lit(1)).drop("s")
+    pairs = similarity.met_pairs(marked, "h", 0.4, block=128)
+    assert pairs.count() < 200_000  # of 4.5 million: the bitmaps stop the others within the join
+    assert {tuple(r) for r in pairs.collect()} >= set(want)
+
+
+def test_cells_are_bounded(spark):
+    """100,000 rows under one value: no cell has more than two blocks of them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(100_000).select(F.col("id").alias("rep"), (F.col("id") % 60_000 + 10).cast("int").alias("n"), F.array(*[F.xxhash64("id", F.lit(i)) for i in range(4)]).alias("m"), F.lit(1).alias("h"))
+        cells = []
+        original, similarity.written = similarity.written, lambda df, name, *by: cells.append(df) or original(df, name, *by)
+        try:
+            pairs = similarity.met_pairs(rows, "h", 0.99, block=4096)
+        finally:
+            similarity.written = original
+        most = cells[0].groupBy("h", "_lo", "_hi").count().agg(F.max("count")).first()[0]
+        assert most < 2.2 * 4096 and cells[0].select("_lo", "_hi").distinct().count() == 25 * 26 // 2
+        assert pairs.columns == ["a", "b"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_banding_and_verified_minhash(spark):
+    bands, rows = similarity.banding(0.7)
+    assert bands * rows <= 128 and (1 - 0.7**rows) ** bands < 1e-3
+    assert similarity.banding(0.9)[1] > rows and similarity.banding(0.7, misses=0.5)[1] > rows
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(3000)]
+    data = []
+    for i in range(300):
+        base = rng.choice(words, 80).tolist()
+        data.append((2 * i, " ".join(base)))
+        for at in rng.integers(0, 80, i % 6):
+            base[at] = "x"
+        data.append((2 * i + 1, " ".join(base)))
+    df = spark.createDataFrame([*data, (900, None), (901, ""), (902, None)], "k int, t string")
+    exact = {r["k"] for r in similarity.duplicated(df, "k", "t").where("is_dup").collect()}
+    got = {r["k"] for r in similarity.minhash_duplicated(df, "k", "t").where("is_dup").collect()}
+    assert got <= exact and len(got) >= 0.95 * len(exact) and len(exact) > 200
