@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mapped, mix64, ship, tidy, written
+from plumbline.llm.common import delete, mapped, mix64, ship, tidy, written
 from plumbline.llm.naming import dense
 
 SHARD = 1 << 19
@@ -213,6 +213,7 @@ def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int =
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     known = dense(counted.where(F.col("f") >= least).select("lang", "word", "f"), "id").withColumn("id", (F.col("id") + 1).cast("int"))
     coded = _coded(shards, known, broadcast_bytes)
+    delete(shards)
     tidy(spark)
     pairs = _frequent(coded, 2, 2, least)
     tidy(spark)
@@ -226,6 +227,8 @@ def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int =
             return sent.value[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1
 
         found = pairs.unionByName(_frequent(coded, 3, depth, least, passes))
+    delete(coded)
+    tidy(spark)
     return _scored(found, known, totals, percent)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.package import ship
-from plumbline.sources.stored import delete_written, new_path, scratch, shared_dir, tidy, written  # noqa: F401
+from plumbline.sources.stored import delete, delete_written, new_path, scratch, shared_dir, tidy, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
