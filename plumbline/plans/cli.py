@@ -3,8 +3,8 @@
 Steps: profiles, edges, render, submit, wait, collect, qc, advise, gate. ``qc`` exits 1 on a hard failure; ``collect`` exits 1 without
 responses; ``wait`` exits 1 if the batch ends in another state than completed and without answers; ``gate`` prints PASS or FAIL and exits 0.
 
-Models are named as ``module:function`` (or a class, which is called once): --rewriter for render (``hosted``: the configuration's backend), --classifier for
-qc, --scorer for advise, --service for submit and wait. Without them texts stay as they are, there is no round trip, and a stand-in scores.
+Models are named as ``module:function`` (or a class, which is called once): --rewriter for render (``hosted``: the configuration's backend), --classifier and
+--tokenizer (a text's number of tokens) for qc, --scorer for advise, --service for submit and wait. Without them texts stay as they are, there is no round trip, and a stand-in scores.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--backend", default=None)
     p.add_argument("--model", default=None)
-    for name in ("--rewriter", "--classifier", "--scorer", "--service"):
+    for name in ("--rewriter", "--classifier", "--scorer", "--service", "--tokenizer"):
         p.add_argument(name, default=None, metavar="MODULE:NAME")
     p.add_argument("--batch", default=None, help="the batch to wait for; without it the one that submit kept, or else the input is submitted")
     p.add_argument("--then-render", action="store_true", help="collect goes on with render and qc")
@@ -146,7 +146,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.step == "qc":
         profiles = jsonl.read(spark, a.profiles, jsonl.PROFILE) if jsonl.exists(spark, a.profiles) else None
         vignettes = jsonl.read_union(spark, a.vignettes_dir)
-        report = qc.report(vignettes, profiles, config)
+        report = qc.report(vignettes, profiles, config, loaded(a.tokenizer) if a.tokenizer else None)
         if a.classifier:
             report["round_trip"] = plugins.round_trip(vignettes.where("vignette_type = 'implicit'"), config, loaded(a.classifier)).first().asDict()
         jsonl.write_report(spark, report, f"{a.out or config.paths['results_dir']}/{jsonl.report_name(a.vignettes_dir)}")

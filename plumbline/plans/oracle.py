@@ -166,3 +166,15 @@ select doc_id, md5(case when substr(id, 1, 1) < 'a' then 'had' when leaks then t
 }
 #: Verified, so it has no false ones; at its banding a pair that is just at the threshold is missed once in 6,500.
 SQL["near_dup_minhash"] = SQL["near_dup_exact"]
+_TEXTS = f"""with v as (select doc_id, text, lang as tier, source is not distinct from 'src3' as pair, case when n_chars > 2000 then 'explicit' else 'implicit' end as kind from documents),
+w as (select *, case when pair then 'pairs' else kind end as bucket, len({_tokens('text')}) as tokens, {_HITS} as hits from v)"""
+SQL["all_checks"] = _TEXTS + f""",
+shares as (select tier, count(*) as n, count(*) / sum(count(*)) over () as value from w where not pair group by tier),
+means as (select kind, count(*) as n, avg(cast(tokens as double)) as value from w where not pair group by kind)
+select 'count' as "check", bucket as part, count(*) as n, cast(count(*) as double) as value from w group by bucket
+union all select 'leaks', 'implicit', count(*), cast(count(*) filter (kind = 'implicit' and len(hits) > 0) as double) from w
+union all select 'share', tier, n, round(value, 6) from shares union all select 'mean_tokens', kind, n, round(value, 6) from means
+union all select 'balanced', null, cast(sum(n) as bigint), cast(max(abs(value - 1 / 3)) <= {CONFIG.tier_balance_tol} as double) from shares
+union all select 'matched', null, cast(sum(n) as bigint), cast((max(value) - min(value)) / max(value) <= {CONFIG.token_len_tol} as double) from means"""
+SQL["check_examples"] = _TEXTS + """ select 'leak' as kind, cast(row_number() over (order by doc_id) as integer) as i, doc_id as vignette_id, count(*) over () as n, array_to_string(hits, '|') as hits
+from w where kind = 'implicit' and len(hits) > 0 qualify i <= 10"""

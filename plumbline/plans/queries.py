@@ -92,6 +92,23 @@ def token_length_match(spark, d):
     return m.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "matched")
 
 
+def _texts(spark, d):
+    """Documents as vignettes: languages are tiers, those of one source are pairs, long ones explicit."""
+    pair = F.when(F.col("source") == "src3", F.concat(F.lit("pair_"), F.col("doc_id").cast("string")))
+    kind = F.when(F.col("n_chars") > 2000, "explicit").otherwise("implicit")
+    return t(spark, d, "documents").select(F.col("doc_id").alias("vignette_id"), F.col("doc_id").alias("profile_id"), "text", F.col("lang").alias("tier"), pair.alias("pair_id"), kind.alias("vignette_type"))
+
+
+def all_checks(spark, d):
+    return qc.measured(_texts(spark, d), CONFIG).select("check", "part", "n", F.round("value", 6).alias("value"))
+
+
+def check_examples(spark, d):
+    """The first ten leaks, by a lexicon that many documents hold a word of, and how many there are."""
+    rows = qc.examples(qc.flagged(_texts(spark, d), None, CONFIG))
+    return rows.select("kind", "i", "vignette_id", "n", F.array_join("hits", "|").alias("hits"))
+
+
 def lexicon_hits(spark, d):
     hits = t(spark, d, "documents").select("doc_id", T.lexicon_hits(F.col("text"), LEXICON).alias("h"))
     return hits.select("doc_id", F.size("h").alias("n_hits"), F.array_join("h", "|").alias("hits"))
@@ -342,5 +359,5 @@ QUERIES = {f.__name__: f for f in (
     template_assignment, content_ids, twin_expansion, bucket_routing, union_scan, option_rotations, scoring_units, prompt_text, letter_readout,
     allocation_probs, advice_scores, hedge_rate, spearman_by_group, gate_decision, bootstrap_ci, wilcoxon_statistic, wilcoxon_p, paired_delta,
     uncached_jobs, cache_lookup, request_dedup, collect_fallbacks, stratified_sample, seeded_limit, fixed_batches, distinct_coverage,
-    generated_profiles, generated_edges, twin_vignettes, pair_vignettes, roundtrip_accuracy, rewriter_fallbacks, resumed_rewrites, rewrites_in_order,
+    generated_profiles, generated_edges, twin_vignettes, pair_vignettes, roundtrip_accuracy, rewriter_fallbacks, resumed_rewrites, rewrites_in_order, all_checks, check_examples,
 )}
