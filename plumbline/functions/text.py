@@ -69,9 +69,15 @@ def content_id(backend: str, model: str, mode: Column, text: Column) -> Column:
     return F.sha1(F.concat(F.lit(f"{backend}|{model}|"), mode, F.lit("|"), text))
 
 
+def drawn(n: Column | int, *key: Column) -> Column:
+    """A number from 0 to n - 1 by the md5 of the key, so that any engine draws the same; nulls in the key are left out."""
+    digest = F.md5(F.concat_ws("|", *[k.cast("string") for k in key]))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n) if isinstance(n, int) else n).cast("int")
+
+
 def pick(values: Column, *key: Column) -> Column:
     """One of an array's values by a hash of the key."""
-    return F.element_at(values, (F.pmod(F.xxhash64(*key), F.size(values)) + 1).cast("int"))
+    return F.element_at(values, drawn(F.size(values), *key) + 1)
 
 
 def user_message(framing: Column, narrative: Column, options: Column, instruction: Column | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.rubric import score, tier
-from plumbline.functions.text import pick
+from plumbline.functions.text import drawn, pick
 from plumbline.operators.sampling import numbered
 from plumbline.sources.config import TIERS, Rubric
 from plumbline.sources.stored import written
@@ -36,7 +36,7 @@ def rubric_draw(rubric: Rubric, seed: int, *key: Column) -> list[Column]:
             out.append(pick(strings(f.levels), *h).alias(f.name))
         else:
             lo, hi = map(int, f.range)
-            out.append((F.pmod(F.xxhash64(*h), F.lit(hi - lo + 1)) + lo).cast("int").alias(f.name))
+            out.append((drawn(hi - lo + 1, *h) + lo).alias(f.name))
     return out
 
 
@@ -53,11 +53,16 @@ def scored(df: DataFrame, rubric: Rubric) -> DataFrame:
     return df.withColumn("risk_score", F.round("_s", 2)).withColumn("tier", tier(F.col("_s"), rubric)).drop("_s")
 
 
+def drawn_profiles(ids: DataFrame, rubric: Rubric, seed: int) -> DataFrame:
+    """A profile for each row of ids (a number ``id``), with it as ``draw``."""
+    i = F.col("id")
+    rows = ids.select("id", F.format_string("p%05d", i).alias("profile_id"), *rubric_draw(rubric, seed, i), *filler_draw(seed, i))
+    return scored(rows, rubric).withColumnRenamed("id", "draw")
+
+
 def profiles(spark: SparkSession, rubric: Rubric, n: int, seed: int, first: int = 0) -> DataFrame:
     """n draws from index ``first`` on."""
-    i = F.col("id")
-    draw = spark.range(first, first + n).select("id", F.format_string("p%05d", i).alias("profile_id"), *rubric_draw(rubric, seed, i), *filler_draw(seed, i))
-    return scored(draw, rubric).withColumnRenamed("id", "draw")
+    return drawn_profiles(spark.range(first, first + n), rubric, seed)
 
 
 def first_n_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -98,14 +103,14 @@ def edge_fields(spark: SparkSession, rubric: Rubric, seed: int) -> DataFrame:
     """Rubric fields of the 60 hard cases with their bucket and number."""
     names = [f.name for f in rubric.fields]
 
-    def drawn(n: int, salt: int, fixed: dict) -> DataFrame:
+    def some(n: int, salt: int, fixed: dict) -> DataFrame:
         d = spark.range(n).select(*rubric_draw(rubric, seed + salt, F.col("id")))
         return d.select(*[F.lit(fixed[k]).cast(d.schema[k].dataType).alias(k) if k in fixed else F.col(k) for k in names])
 
     parts = [borderline(spark, rubric, [(38, 42)], 10, seed + 1).withColumn("edge_bucket", F.lit("borderline")), borderline(spark, rubric, [(68, 72)], 10, seed + 2).withColumn("edge_bucket", F.lit("borderline"))]
-    parts += [drawn(6, 3 + i, c).withColumn("edge_bucket", F.lit("contradiction")) for i, c in enumerate(CONFLICTS)]
-    parts += [drawn(2, 10 + 2 * i + j, {"age": a, "horizon_years": h}).withColumn("edge_bucket", F.lit("extreme_demo")) for i, a in enumerate((23, 75)) for j, h in enumerate((1, 35))]
-    parts += [drawn(10, 20, ALL_LOW).withColumn("edge_bucket", F.lit("anchor_conservative")), drawn(10, 21, ALL_HIGH).withColumn("edge_bucket", F.lit("anchor_aggressive"))]
+    parts += [some(6, 3 + i, c).withColumn("edge_bucket", F.lit("contradiction")) for i, c in enumerate(CONFLICTS)]
+    parts += [some(2, 10 + 2 * i + j, {"age": a, "horizon_years": h}).withColumn("edge_bucket", F.lit("extreme_demo")) for i, a in enumerate((23, 75)) for j, h in enumerate((1, 35))]
+    parts += [some(10, 20, ALL_LOW).withColumn("edge_bucket", F.lit("anchor_conservative")), some(10, 21, ALL_HIGH).withColumn("edge_bucket", F.lit("anchor_aggressive"))]
     out = None
     for k, p in enumerate(parts):
         p = p.withColumn("item", F.lit(100 * k) + F.row_number().over(Window.partitionBy("edge_bucket").orderBy(F.xxhash64(*names), *names)))

@@ -121,9 +121,13 @@ def twin_jobs(profiles: DataFrame, config: Config) -> DataFrame:
 
 
 def pair_jobs(spark: SparkSession, config: Config, n_pairs: int, mode: str = "implicit") -> DataFrame:
-    """Pairs of a conservative and an aggressive client who share all filler and the template."""
+    return pair_jobs_of(spark.range(n_pairs), config, mode)
+
+
+def pair_jobs_of(ids: DataFrame, config: Config, mode: str = "implicit") -> DataFrame:
+    """A pair for each id: a conservative and an aggressive client who share all filler and the template."""
     side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(t).alias("tier")) for s, t in (("cons", "conservative"), ("aggr", "aggressive"))]))
-    keys = spark.range(n_pairs).select(F.format_string("pair_%04d", F.col("id")).alias("pair_id"), side.alias("x")).select("pair_id", F.concat_ws("_", "pair_id", "x.side").alias("key"), "x.tier")
+    keys = ids.select(F.format_string("pair_%04d", F.col("id")).alias("pair_id"), side.alias("x")).select("pair_id", F.concat_ws("_", "pair_id", "x.side").alias("key"), "x.tier")
     df = tier_draws(config.rubric, keys, "tier", config.seed)
     df = df.select("*", *filler_draw(config.seed, F.col("pair_id"))).withColumn("profile_id", F.col("key")).withColumn("risk_score", F.round("_s", 2))
     df = df.withColumn("template_id", T.template_id(config.seed, F.col("pair_id"))).withColumn("vignette_type", F.lit(mode)).withColumn("vignette_id", F.concat(F.lit("v_"), "key"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 from plumbline.functions.text import ANSWER, stems_pattern
-from plumbline.operators.generate import CITIES, NET_WORTH
+from plumbline.operators.generate import CITIES, HOBBIES, NAMES, NET_WORTH, OCCUPATIONS
+from plumbline.operators.narrative import BANDS, KEYS, LEVELS, OPENINGS, ORDERINGS, PASTIMES, WORTH
 from plumbline.operators.stats import mixed32, poisson_limits
 from plumbline.plans.queries import CONFIG, HEDGE_MAX, LEXICON, OPTIONS, PATTERN, PRIORITIES, RHO_MIN
+from plumbline.sources.config import BANNED_STEMS, SUITABILITY
 
 
 def _list(values) -> str:
@@ -31,7 +33,11 @@ def _tokens(c: str) -> str:
     return f"regexp_extract_all({c}, '[^{_BLANK}]+')"
 
 
-_STEMS = stems_pattern(LEXICON).replace(r"(?iU)\b(?:", r"(?i)(?:^|[^\pL\pN_])((?:").replace(r")\w*", r")[\pL\pN_\pM]*)")
+def _stems(words) -> str:
+    return stems_pattern(words).replace(r"(?iU)\b(?:", r"(?i)(?:^|[^\pL\pN_])((?:").replace(r")\w*", r")[\pL\pN_\pM]*)")
+
+
+_STEMS = _stems(LEXICON)
 _HITS = f"regexp_extract_all(text, '{_STEMS}', 1)"
 _TEMPLATE = "(with k as (select md5('42|' || cast(doc_id as varchar)) as m) select (16 * (cast('0x' || substr(m, 1, 8) as bigint) + cast('0x' || substr(m, 9, 8) as bigint) + cast('0x' || substr(m, 17, 8) as bigint)) + cast('0x' || substr(m, 25, 8) as bigint)) % 24 from k)"
 _TEMPLATE_ID = f"printf('tmpl_%02d_%d', cast({_TEMPLATE} // 4 as integer), cast({_TEMPLATE} % 4 as integer))"
@@ -178,3 +184,87 @@ union all select 'balanced', null, cast(sum(n) as bigint), cast(max(abs(value -
 union all select 'matched', null, cast(sum(n) as bigint), cast((max(value) - min(value)) / max(value) <= {CONFIG.token_len_tol} as double) from means"""
 SQL["check_examples"] = _TEXTS + """ select 'leak' as kind, cast(row_number() over (order by doc_id) as integer) as i, doc_id as vignette_id, count(*) over () as n, array_to_string(hits, '|') as hits
 from w where kind = 'implicit' and len(hits) > 0 qualify i <= 10"""
+
+
+def _draw(n: int, *key: str) -> str:
+    """text.drawn; each part of the key is SQL of a string."""
+    joined = " || '|' || ".join(key)
+    return f"cast(cast('0x' || substr(md5({joined}), 1, 8) as bigint) % {n} as integer)"
+
+
+def _one(values, *key: str) -> str:
+    return f"{_list(values)}[{_draw(len(values), *key)} + 1]"
+
+
+def _fields(*key: str) -> str:
+    out = []
+    for f in SUITABILITY.fields:
+        h = ("'42'", f"'{f.name}'", *key)
+        out.append(f"{_one(f.levels, *h) if f.levels else f'{_draw(f.range[1] - f.range[0] + 1, *h)} + {f.range[0]}'} as {f.name}")
+    return ", ".join(out)
+
+
+def _filler(*key: str) -> str:
+    pools = {"net_worth_band": NET_WORTH, "occupation": OCCUPATIONS, "hobbies": HOBBIES, "city": CITIES, "name": [n for n, _ in NAMES]}
+    out = [f"{_one(v, chr(39) + '42' + chr(39), chr(39) + k + chr(39), *key)} as {k}" for k, v in pools.items()]
+    gender = _one([g for _, g in NAMES], "'42'", "'name'", *key)
+    return ", ".join([*out, f"{gender} as gender_hint"])
+
+
+def _sub(name: str) -> str:
+    f = SUITABILITY.field(name)
+    if f.levels:
+        return f"(list_position({_list(f.levels)}, {name}) - 1) / {_d(len(f.levels) - 1)}"
+    a = f"(cast({name} as double) - {_d(f.range[0])}) / {_d(f.range[1] - f.range[0])}"
+    return f"({_d(1)} - {a})" if f.invert else a
+
+
+_SCORE = f"{_d(100)} * ({' + '.join(f'{_d(f.weight)} * ({_sub(f.name)})' for f in SUITABILITY.fields)})"
+_SCORE_TIER = "cast(round(cast(s as decimal(18, 9)), 2) as double) as risk_score, case when s < 40 then 'conservative' when s <= 70 then 'moderate' else 'aggressive' end as tier"
+_GOALS = [_sub(n) for n in ("stated_goal", "past_drawdown_reaction")]
+_CONTRADICTS = f"greatest({_GOALS[0]}, {_GOALS[1]}) >= 0.8 and least({_GOALS[0]}, {_GOALS[1]}) <= 0.2"
+_KEY = "cast(c_custkey as varchar)"
+_CLIENTS = f"""with drawn as (select c_custkey as draw, printf('p%05d', c_custkey) as profile_id, {_fields(_KEY)}, {_filler(_KEY)} from customer),
+clients as (select * exclude (s), {_SCORE_TIER} from (select *, {_SCORE} as s from drawn))"""
+
+
+def _said(field: str) -> str:
+    """narrative.verbalize, as it is picked for the profile and the type."""
+    key = (f"'{field}'", "'42'", "profile_id", "vignette_type")
+    if field == "hobbies":
+        return f"replace({_one(PASTIMES, *key)}, '%s', hobbies)"
+    if field == "net_worth":
+        return "case net_worth_band " + " ".join(f"when '{v}' then {_one(texts, *key)}" for v, texts in WORTH.items()) + " end"
+    if field in BANDS:
+        cases = [(f"{field} between {lo} and {hi}", said) for lo, hi, *said in BANDS[field]]
+    else:
+        cases = [(f"{field} = '{v}'", said) for (f, v), said in LEVELS.items() if f == field]
+    return "case " + " ".join(f"when {when} and vignette_type = '{mode}' then {_one(texts, *key)}" for when, said in cases for mode, texts in zip(("explicit", "implicit"), said, strict=True)) + " end"
+
+
+def _opened(text: str) -> str:
+    parts = ["'" + x.replace("'", "''") + "'" for x in text.split("%s")]
+    return " || ".join(x for pair in zip(parts, ("name", "cast(age as varchar)", "occupation", "city", "''"), strict=True) for x in pair)
+
+
+_OPENING = "case cast(substr(template_id, 6, 2) as integer) " + " ".join(f"when {i} then {_opened(o)}" for i, o in enumerate(OPENINGS)) + " end"
+_NARRATIVE = f"""said as (select *, {_OPENING} as opening, [{', '.join(_said(k) for k in KEYS)}] as lines, {[list(o) for o in ORDERINGS]}[cast(substr(template_id, 9, 1) as integer) + 1] as sorted from jobs),
+told as (select *, opening || ' ' || array_to_string(list_transform(sorted, lambda i: lines[i + 1]), ' ') as text from said)
+select vignette_id, profile_id, pair_id, tier, risk_score, vignette_type, template_id, {_CONTRADICTS} as contradictory, 'template-only' as paraphrase_model,
+  case when vignette_type = 'implicit' then array_to_string({_HITS.replace(_STEMS, _stems(BANNED_STEMS))}, '|') else '' end as banned_terms, text from told"""
+_TEMPLATE_OF = _TEMPLATE_ID.replace("cast(doc_id as varchar)", "{key}")
+SQL["generated_profiles"] = _CLIENTS + " select * exclude (draw) from clients"
+SQL["generated_edges"] = _CLIENTS + f""", hard as (select draw, risk_score, tier, {_CONTRADICTS} as contradictory, s between 38 and 42 or s between 68 and 72 as borderline from (select *, {_SCORE} as s from clients)),
+dealt as (select *, row_number() over (order by draw) - 1 as pos from hard where contradictory or borderline)
+select * exclude (pos), {_list(OCCUPATIONS)}[pos % {len(OCCUPATIONS)} + 1] as occupation, {_list(CITIES)}[pos % {len(CITIES)} + 1] as city from dealt"""
+SQL["twin_vignettes"] = _CLIENTS + f""",
+jobs as (select *, 'v_' || profile_id || '_' || vignette_type as vignette_id, cast(null as varchar) as pair_id, {_TEMPLATE_OF.replace('{key}', 'profile_id')} as template_id
+  from clients, (select unnest(['explicit', 'implicit']) as vignette_type)),
+""" + _NARRATIVE
+SQL["pair_vignettes"] = f"""with keys as (select pair_id, pair_id || '_' || side as key, wanted from (select printf('pair_%04d', s_suppkey) as pair_id from supplier),
+  (values ('cons', 'conservative'), ('aggr', 'aggressive')) as sides(side, wanted)),
+tries as (select pair_id, key, wanted, t, {_fields('key', 'cast(t as varchar)')} from keys, (select unnest(range(400)) as t)),
+graded as (select * exclude (s), {_SCORE_TIER} from (select *, {_SCORE} as s from tries)),
+first as (select * from graded where tier = wanted qualify row_number() over (partition by key order by t) = 1),
+jobs as (select *, key as profile_id, 'v_' || key as vignette_id, 'implicit' as vignette_type, {_filler('pair_id')}, {_TEMPLATE_OF.replace('{key}', 'pair_id')} as template_id from first),
+""" + _NARRATIVE

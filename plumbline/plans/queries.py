@@ -297,20 +297,32 @@ def distinct_coverage(spark, d):
     return t(spark, d, "part").agg(*[F.count_distinct(c).alias(f"n_{c}") for c in ("p_brand", "p_type", "p_size")])
 
 
+def _clients(spark, d):
+    """A drawn profile for each customer."""
+    return G.drawn_profiles(t(spark, d, "customer").select(F.col("c_custkey").alias("id")), SUITABILITY, 42)
+
+
 def generated_profiles(spark, d):
-    return G.balanced_profiles(spark, SUITABILITY, 200, 42)[0].drop("draw")
+    return _clients(spark, d).drop("draw")
 
 
 def generated_edges(spark, d):
-    return G.edge_profiles(spark, SUITABILITY, 42)
+    """Customers whose draw is near a cut-off or contradicts itself, dealt the pools in turn."""
+    hard = _clients(spark, d).select("draw", "risk_score", "tier", contradictory(SUITABILITY).alias("contradictory"), G.in_windows(score(SUITABILITY), [(38, 42), (68, 72)]).alias("borderline")).where("contradictory or borderline")
+    return G.round_robin(hard, ["draw"], {"occupation": G.OCCUPATIONS, "city": G.CITIES}).drop("pos")
+
+
+def _told(rows):
+    return rows.select("vignette_id", "profile_id", "pair_id", "tier", F.round("risk_score", 2).alias("risk_score"), "vignette_type", "template_id", "contradictory", "paraphrase_model", F.array_join("banned_terms_found", "|").alias("banned_terms"), "text")
 
 
 def twin_vignettes(spark, d):
-    return N.finalized(N.twin_jobs(G.edge_profiles(spark, SUITABILITY, 42), Config()), Config())
+    return _told(N.finalized(N.twin_jobs(_clients(spark, d), Config()), Config()))
 
 
 def pair_vignettes(spark, d):
-    return N.finalized(N.pair_jobs(spark, Config(), 20), Config())
+    """A pair of clients for each supplier."""
+    return _told(N.finalized(N.pair_jobs_of(t(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), Config()), Config()))
 
 
 def roundtrip_accuracy(spark, d):
@@ -323,7 +335,7 @@ def rewriter_fallbacks(spark, d):
     return rewriting.rewritten(rows, CONFIG, str.upper).select("item_id", "final_text", "model")
 
 
-def _told(prompt: str) -> str:
+def _turned(prompt: str) -> str:
     """A rewriter without a network: a text's first 40 characters turned round."""
     return prompt[:40][::-1]
 
@@ -336,7 +348,7 @@ def resumed_rewrites(spark, d):
         cache = Cache(spark, new_path(spark, "rewrites"))
         had = requests.with_ids(jobs, CONFIG).where(F.substring("cache_id", 1, 1) < "a").dropDuplicates(["cache_id"])
         cache.append(had.select("cache_id", F.lit("had").alias("text"), F.lit("earlier").alias("model")))
-        done = rewriting.rewrite_through(jobs, cache, CONFIG, _told)
+        done = rewriting.rewrite_through(jobs, cache, CONFIG, _turned)
         return keep(done.select("doc_id", F.md5("final_text").alias("final_md5"), "model"), "rewritten")
 
 
@@ -344,7 +356,7 @@ def rewrites_in_order(spark, d):
     """Whole items rewritten by several calls at a time; the rows of a partition stay in order."""
     rows = t(spark, d, "benchmark").select("item_id", "text", F.lit("explicit").alias("mode")).repartitionByRange(4, "item_id").sortWithinPartitions("item_id")
     part = F.spark_partition_id()
-    rows = rewriting.rewritten(rows, CONFIG, _told).select("item_id", F.md5("final_text").alias("final_md5"), "model", part.alias("p"), F.monotonically_increasing_id().alias("i"))
+    rows = rewriting.rewritten(rows, CONFIG, _turned).select("item_id", F.md5("final_text").alias("final_md5"), "model", part.alias("p"), F.monotonically_increasing_id().alias("i"))
     ahead = F.lead("item_id").over(Window.partitionBy("p").orderBy("i"))
     return rows.select("item_id", "final_md5", "model", F.coalesce(ahead >= F.col("item_id"), F.lit(True)).alias("in_order"))
 
