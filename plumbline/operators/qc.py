@@ -40,12 +40,12 @@ def length_match(df: DataFrame, group: str, length: Column, tol: float) -> DataF
     return means.select("lo", "hi", F.coalesce(spread <= tol, F.lit(True)).alias("matched"))
 
 
-def tenure(rows: DataFrame, profiles: DataFrame, young: int = T.YOUNG) -> DataFrame:
-    """(vignette_id, age, snippet): young clients who tell of a long past of investing. Rows without a profile are dropped;
+def tenure(rows: DataFrame, profiles: DataFrame, young: int = T.YOUNG, pattern: str = T.TENURE) -> DataFrame:
+    """(vignette_id, age, snippet): young clients who tell of a long past of investing, or of what ``pattern`` finds. Rows without a profile are dropped;
     a profile without an age isn't young; of several profiles of an id the least age counts."""
     p = profiles.groupBy("profile_id").agg(F.coalesce(F.min("age"), F.lit(99)).alias("age"))
-    hits = rows.where(F.col("text").rlike(T.TENURE)).join(p, "profile_id").where(F.col("age") <= young)
-    return hits.select("vignette_id", "age", T.snippet(F.col("text"), T.TENURE).alias("snippet"))
+    hits = rows.where(F.col("text").rlike(pattern)).join(p, "profile_id").where(F.col("age") <= young)
+    return hits.select("vignette_id", "age", T.snippet(F.col("text"), pattern).alias("snippet"))
 
 
 def measured(vignettes: DataFrame, config: Config, tokens: Column | None = None) -> DataFrame:

@@ -136,7 +136,7 @@ select doc_id, d.a is not null as is_dup from documents left join d on d.a = doc
     "content_ids": "select doc_id, sha1('openai|gpt-4o-mini|implicit|' || text) as cache_id from documents",
     "twin_expansion": f"select 'v_' || cast(doc_id as varchar) || '_' || vignette_type as vignette_id, doc_id, vignette_type, {_TEMPLATE_ID} as template_id from documents, (select unnest(['explicit', 'implicit']) as vignette_type)",
     "bucket_routing": _VIGNETTES,
-    "union_scan": f"select doc_id, case bucket when 'explicit' then 0 when 'implicit' then 1 else 2 end as source_order from ({_VIGNETTES})",
+    "union_scan": f"select doc_id, case bucket when 'explicit' then 0 when 'implicit' then 1 else 2 end as source_order, md5(text) as text_md5 from ({_VIGNETTES}) join (select doc_id, text from documents) using (doc_id)",
     "option_rotations": f"select item_id, cast(perm_idx as integer) as perm_idx, {_slots(' / ')} as slots from benchmark, {_ROT}",
     "scoring_units": f"select doc_id, condition, cast(perm_idx as integer) as perm_idx, concat_ws(',', perm_idx % 4, (perm_idx + 1) % 4, (perm_idx + 2) % 4, (perm_idx + 3) % 4) as perm from labels, {_CONDITIONS}, {_ROT} where condition = 'baseline' or toxic = 1",
     "prompt_text": f"select item_id, condition, cast(perm_idx as integer) as perm_idx, md5(case when condition = 'instruction' then '{CONFIG.instruction}' || chr(10) else '' end || {_PROMPT}) as prompt_md5 from benchmark, {_CONDITIONS}, {_ROT} where condition = 'baseline' or item_id % 2 = 0",

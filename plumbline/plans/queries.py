@@ -16,6 +16,7 @@ from plumbline.operators import generate as G
 from plumbline.operators import narrative as N
 from plumbline.operators import plugins, qc, requests, rewriting, sampling, similarity, stats
 from plumbline.plans import gate
+from plumbline.sources import jsonl
 from plumbline.sources.cache import Cache
 from plumbline.sources.config import SUITABILITY, Config, FieldSpec, Rubric
 from plumbline.sources.jsonl import bucket
@@ -121,14 +122,14 @@ def lexicon_leak_gate(spark, d):
 
 
 def pattern_snippets_lookup(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "text").where(F.col("text").rlike(PATTERN))
-    known = t(spark, d, "labels").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(9))).alias("quality"))  # the least of several
-    return docs.join(known, "doc_id").where("quality <= 0").select("doc_id", T.snippet(F.col("text"), PATTERN).alias("snippet"))
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("vignette_id"), F.col("doc_id").alias("profile_id"), "text")
+    hits = qc.tenure(rows, t(spark, d, "labels").select(F.col("doc_id").alias("profile_id"), F.col("quality").alias("age")), 0, PATTERN)
+    return hits.select(F.col("vignette_id").alias("doc_id"), "snippet")
 
 
 def shingle_counts(spark, d):
-    toks = t(spark, d, "documents").select("doc_id", T.tokens(F.lower("text")).alias("w"))
-    return toks.select("doc_id", F.size(T.shingles(F.col("w"))).alias("n_shingles"))
+    sets = similarity.shingle_sets(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return sets.select("doc_id", F.size("s").alias("n_shingles"))
 
 
 def near_dup_exact(spark, d):
@@ -163,9 +164,13 @@ def bucket_routing(spark, d):
 
 
 def union_scan(spark, d):
-    rows = _vignettes(spark, d).withColumn("bucket", bucket())
-    parts = [rows.where(F.col("bucket") == b).select("doc_id", F.lit(i).alias("source_order")) for i, b in enumerate(("explicit", "implicit", "pairs"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Documents written as buckets of JSON Lines, and the buckets read again as one table."""
+    rows = _texts(spark, d).withColumn("vignette_id", F.col("vignette_id").cast("string")).withColumn("profile_id", F.col("profile_id").cast("string"))
+    fields = [f.split()[0] for f in jsonl.VIGNETTE.split(", ")]
+    rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in fields])
+    folder = new_path(spark, "vignettes")
+    jsonl.write_buckets(rows, folder)
+    return jsonl.read_union(spark, folder).select(F.col("vignette_id").cast("long").alias("doc_id"), "source_order", F.md5("text").alias("text_md5"))
 
 
 def option_rotations(spark, d):
