@@ -22,6 +22,8 @@ from plumbline.llm.common import documents_of, mapped, record, slices
 DIM = 1 << 13
 CLUSTERS = 4
 SAMPLE = 2400
+#: Texts of a language that its centroids are learnt from at least.
+LEAST = 8
 SAMPLE_BYTES = 1 << 17
 UNKNOWN = "und"
 _SLICE = 1 << 20
@@ -168,7 +170,8 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
-    """Learns from all rows of docs (doc_id, text, lang) whose lang is not null."""
+    """Learns from all rows of docs (doc_id, text, lang) whose lang is not null. Centroids are learnt from about ``sample`` texts, LEAST a language at
+    least: so many languages that this doesn't suffice are an error, and texts and centroids on the driver and in the broadcast stay bounded."""
     rows = documents_of(docs, "lang").where(F.col("lang").isNotNull())
     found = rows.select("text").transform(mapped, _frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # DIM rows at most
     n = max(1, sum(r["n"] for r in found if r["place"] < 0))
@@ -178,10 +181,13 @@ def fit(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mode
             df[r["place"]] = r["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     short = rows.where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    per = {r["lang"]: r["n"] for r in short.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = sample // LEAST
+    per = {r["lang"]: r["n"] for r in short.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
+    if len(per) > most:
+        raise ValueError(f"over {most} languages: learn them from a larger sample, of {LEAST} texts a language at least")
     if not per:
         return Model([], np.zeros((0, DIM), np.float32), np.zeros(0, int), idf, np.zeros(0))
-    each = max(8, sample // len(per))
+    each = sample // len(per)
     share = F.create_map(*[x for lang, k in per.items() for x in (F.lit(lang), F.lit(min(1.0, each / k)))])
     u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     got = short.where(u < F.element_at(share, F.col("lang"))).select("doc_id", "lang", "text").collect()

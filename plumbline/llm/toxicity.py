@@ -1,9 +1,9 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 Strings are words (what stands between white space, lower-cased, without punctuation at the ends, with marks for both ends; letters
-spelt apart form one more word). The kernel counts common subsequences of three characters; one that spans g characters more than three
-weighs DECAY^g in its word, so ``id.iot`` and ``idi0ot`` stay near ``idiot``. Landmarks are training words; the Nystroem
-map K_mm^(-1/2) k(., landmarks) makes the kernel machine linear.
+spelt apart form one more word). The kernel counts common subsequences of three characters with at most two inserted among them in all (``_STEPS``); one
+with g inserted weighs DECAY^g in its word, so ``id.iot`` and ``idi0ot`` stay near ``idiot`` (``i--d--i--o--t``, with two between any two letters, doesn't). Landmarks are training
+words; the Nystroem map K_mm^(-1/2) k(., landmarks) makes the kernel machine linear.
 
 Sentences and documents are labelled, not words, so the machine is a multiple-instance one: all words of clean sentences
 are negative, and words that mark toxic ones positive, found anew from its own scores in each round. A document is scored by a logistic curve

@@ -387,3 +387,10 @@ def test_training_does_not_depend_on_the_order_of_texts():
     marks = toxicity.train(["...", "?!", "a word"], [0, 0, 1])  # no word in clean texts
     assert marks.table is None and marks.prior == pytest.approx(1 / 3)
     assert toxicity.train([], []).prior == 0
+
+
+def test_too_many_languages_for_a_sample_are_an_error(spark):
+    data = [(i, f"some words of language {i}", f"l{i}", "s", 0) for i in range(30)]
+    assert len(langid.fit(table(spark, data), sample=240).langs) <= 30
+    with pytest.raises(ValueError, match="larger sample"):
+        langid.fit(table(spark, data), sample=239)

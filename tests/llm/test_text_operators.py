@@ -434,3 +434,40 @@ def test_segments_of_very_many_pairs():
     assert (got[4] == 5).all() and len(got[0]) == n
     with pytest.raises(OverflowError):
         passages.joined(np.arange(4), np.arange(4), np.full(4, 1 << 60), np.zeros(4, np.int64), np.full(4, 5), 0)
+
+
+def test_a_document_that_all_others_share_with_is_cut_in_rows(spark, monkeypatch):
+    """A passage in every document: the first holder's stretches are dealt to rows of bounded size, and each document finds its passage."""
+    common = prose(77, 60)
+    data = [(i, f"{prose(1000 + i, 30)} {common} {prose(3000 + i, 20)}", "en", "s", 0) for i in range(150)]
+    df = table(spark, data)
+    want = {tuple(r) for r in passages.all_documents(df).select("doc_id", "class_id", "n_passages", "n_shared_words").collect()}
+    assert want == {(i, 0, 1, 60) for i in range(150)}
+    monkeypatch.setattr(passages, "STRETCHES", 10)
+    sizes = []
+    original = passages._wanted
+    monkeypatch.setattr(passages, "_wanted", lambda sides: sizes.append(original(sides)) or sizes[0])
+    got = {tuple(r) for r in passages.all_documents(df).select("doc_id", "class_id", "n_passages", "n_shared_words").collect()}
+    assert got == want
+    most = sizes[0].groupBy("doc_id").agg({"*": "count"}).agg({"count(1)": "max"}).first()[0]
+    longest = max(len(r["want"]) for r in sizes[0].collect())
+    assert most >= 5 and longest <= 40
+
+
+def test_ranges_are_merged(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(d, s, s + rng.randint(1, 900)) for d in range(3) for s in (rng.randrange(40_000) for _ in range(60))]
+    df = spark.createDataFrame(data, "doc_id long, s long, e long")
+    got = {(r["doc_id"], r["s"], r["e"]) for r in passages._merged(df, "doc_id").collect()}
+    want = set()
+    for d in range(3):
+        runs = []
+        for s, e in sorted((s, e) for x, s, e in data if x == d):
+            if runs and s <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], e)
+            else:
+                runs.append([s, e])
+        want |= {(d, s, e) for s, e in runs}
+    assert got == want
