@@ -1,11 +1,11 @@
 """Line dedup that can be undone: exact reference counts of lines, and sharded cuckoo filters of the frequent ones.
 
-State (three written tables):
- * postings (shard, k1, k2, doc_id): which document holds which line key (128 bits of it), once each;
- * counts (shard, k1, k2, n_docs, last_doc): the exact reference counts;
+State (written tables):
+ * postings (k1, k2, doc_id): which document holds which line key (128 bits of it), once each;
+ * counts (k1, k2, n_docs, last_doc): the exact reference counts;
  * filters (shard, blob): a cuckoo filter for each shard with the keys that reach ``least_docs`` documents.
-Insertions and document deletions update the counts of the keys they touch and insert into or delete from the filters of
-their shards only. Lines are dropped by probing the filters and confirming what passes by the counts.
+Insertions and document deletions add tables with the counts of the keys they touch, and insert into or delete from the filters of
+the shards of keys that become or cease to be frequent only. Lines are dropped by probing the filters and confirming what passes by the counts.
 """
 
 from __future__ import annotations
@@ -215,25 +215,45 @@ def _rewritten(least_chars: int):
     return f
 
 
-@dataclass
+BROADCAST = 32 << 20
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Rows of a few numbers for a broadcast if as many as there are allow it; they are counted first."""
+    return F.broadcast(df) if df.count() * 16 * (len(df.columns) + 2) <= BROADCAST else df
+
+
+@dataclass(frozen=True)
 class LineIndex:
-    """The state over the documents seen so far."""
+    """The state over the documents seen so far: tables that are only added to, the newest last.
+
+    postings: tables (k1, k2, doc_id). gone: (doc_id, upto): documents deleted from the first ``upto`` tables of postings. counts: tables (k1, k2, n_docs, last_doc) of
+    keys in two documents or more when a table of counts was written, a later row in place of earlier ones (n_docs may have fallen to 1 or 0 there). filters: tables (shard, blob), a later row in place of earlier ones.
+    An update writes the postings, counts and filters that it changes, and shuffles no more than the rows of the keys it touches: older tables are read where they lie,
+    against a broadcast of those keys or documents. compact() makes one table of each again.
+    """
 
-    postings: DataFrame
-    counts: DataFrame
-    filters: DataFrame
+    postings: tuple[DataFrame, ...]
+    counts: tuple[DataFrame, ...]
+    filters: tuple[DataFrame, ...]
     shards: int
     least_chars: int = LEAST_CHARS
     least_docs: int = LEAST_DOCS
+    gone: DataFrame | None = None
+    n_frequent: int = 0
 
     @classmethod
     def build(cls, docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> LineIndex:
-        keys = written(line_keys(docs, least_chars), "lines")
-        by_key = keys.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")) if cls._repeats(docs) else keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        counts = written(by_key.where("n_docs > 1"), "counts")
+        return cls._of(written(line_keys(docs, least_chars), "lines"), cls._repeats(docs), least_chars, least_docs)
+
+    @classmethod
+    def _of(cls, keys: DataFrame, repeats: bool, least_chars: int, least_docs: int) -> LineIndex:
+        n = F.count_distinct("doc_id") if repeats else F.count(F.lit(1))
+        counts = written(keys.groupBy("k1", "k2").agg(n.alias("n_docs"), F.max("doc_id").alias("last_doc")).where("n_docs > 1"), "counts")
         frequent = counts.where(F.col("n_docs") >= least_docs)
-        shards = max(1, -(-frequent.count() // SHARD_KEYS))
-        return cls(keys, counts, cls._built(frequent, shards), shards, least_chars, least_docs)
+        n_frequent = frequent.count()
+        shards = max(1, -(-n_frequent // SHARD_KEYS))
+        return cls((keys,), (counts,), (cls._built(frequent, shards),), shards, least_chars, least_docs, None, n_frequent)
 
     @staticmethod
     def _repeats(docs: DataFrame) -> bool:
@@ -250,20 +270,44 @@ class LineIndex:
         dealt = frequent.select(cls._shard(shards).alias("shard"), "k1").repartition("shard").sortWithinPartitions("shard")
         return written(dealt.transform(mapped, _filters, "shard long, blob binary"), "filters")
 
+    @staticmethod
+    def _numbered(tables: tuple[DataFrame, ...]) -> DataFrame:
+        out = tables[0].withColumn("gen", F.lit(0))
+        for i, t in enumerate(tables[1:], 1):
+            out = out.unionByName(t.withColumn("gen", F.lit(i)))
+        return out
+
+    def _alive(self) -> DataFrame:
+        """All postings that hold: those of no deleted document, unless it was inserted again."""
+        rows = self._numbered(self.postings)
+        if self.gone is not None:
+            rows = rows.join(_few(self.gone), "doc_id", "left").where("upto is null or gen >= upto").drop("upto")
+        return rows.drop("gen")
+
+    @staticmethod
+    def _newest(tables: tuple[DataFrame, ...], keys: list[str], only: DataFrame | None = None) -> DataFrame:
+        """The last row of each key, of those in ``only``."""
+        if len(tables) == 1:
+            return tables[0] if only is None else tables[0].join(only, keys, "left_semi")
+        rows = LineIndex._numbered(tables)
+        rows = rows if only is None else rows.join(only, keys, "left_semi")
+        values = [c for c in tables[0].columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "gen").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+
     def passing(self, postings: DataFrame) -> DataFrame:
         """The postings that the filters of their shards hold. A shard's postings are dealt to as many places as their number asks for (PLACE
         each), each with a copy of the filter (a few hundred KB), so a line of a third of all rows doesn't meet in one task."""
         salts = max(1, -(-postings.count() // (PLACE * self.shards)))
         probes = postings.select(self._shard(self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("blob"), "k1", "k2", "doc_id")
         none = F.lit(None).cast("long")
-        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "blob", none.alias("k1"), none.alias("k2"), none.alias("doc_id"))
+        filters = self._newest(self.filters, ["shard"]).select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "blob", none.alias("k1"), none.alias("k2"), none.alias("doc_id"))
         dealt = filters.union(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").asc_nulls_last())
         return dealt.transform(mapped, _probed, "k1 long, k2 long, doc_id long")
 
     def drops(self, postings: DataFrame | None = None) -> DataFrame:
         """(doc_id, d1, d2): the keys that each document loses, confirmed by the exact counts."""
-        frequent = self.counts.where(F.col("n_docs") >= self.least_docs)
-        hits = self.passing(self.postings if postings is None else postings).join(frequent, ["k1", "k2"]).where("doc_id <> last_doc")
+        frequent = self._newest(self.counts, ["k1", "k2"]).where(F.col("n_docs") >= self.least_docs)
+        hits = self.passing(self._alive() if postings is None else postings).join(frequent, ["k1", "k2"]).where("doc_id <> last_doc")
         pairs = hits.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("d"))
         return pairs.select("doc_id", F.col("d.k1").alias("d1"), F.col("d.k2").alias("d2"))
 
@@ -276,37 +320,65 @@ class LineIndex:
         rows = documents_of(docs).join(self.drops(), "doc_id", "left")
         return rows.transform(mapped, _rewritten(self.least_chars), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept binary")
 
-    def _changed(self, postings: DataFrame, touched: DataFrame) -> LineIndex:
-        """The state with these postings; touched: the keys whose counts may differ."""
-        touched = written(touched.select("k1", "k2").distinct(), "touched")
-        fresh = postings.join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")).where("n_docs > 1")
-        counts = written(self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(fresh), "counts")
-        old = self.counts.where(F.col("n_docs") >= self.least_docs).join(touched, ["k1", "k2"], "left_semi").select("k1", "k2")
-        new = counts.where(F.col("n_docs") >= self.least_docs).join(touched, ["k1", "k2"], "left_semi").select("k1", "k2")
-        frequent = counts.where(F.col("n_docs") >= self.least_docs)
-        shards = max(1, -(-frequent.count() // SHARD_KEYS))
-        if shards > self.shards:  # more keys than the shards are made for
-            return LineIndex(postings, counts, self._built(frequent, shards), shards, self.least_chars, self.least_docs)
-        moves = new.exceptAll(old).withColumn("by", F.lit(1)).union(old.exceptAll(new).withColumn("by", F.lit(-1)))
-        moves = moves.select(self._shard(self.shards).alias("shard"), F.lit(None).cast("binary").alias("blob"), "k1", "by")
-        held = self.filters.select("shard", "blob", F.lit(None).cast("long").alias("k1"), F.lit(-2).alias("by"))
+    def _of_documents(self, ids: DataFrame) -> DataFrame:
+        """The postings that hold of some documents; older tables are read, not shuffled."""
+        near = _few(ids)
+        return LineIndex(tuple(t.join(near, "doc_id", "left_semi") for t in self.postings), self.counts, self.filters, self.shards, gone=self.gone)._alive().distinct()
+
+    def _before(self, keys: DataFrame) -> DataFrame:
+        """(k1, k2, n_docs, last_doc) of the keys as they are: from the counts, and for keys that those don't have from the one posting there may be."""
+        near = _few(keys)
+        known = written(self._newest(self.counts, ["k1", "k2"], near), "known")
+        rest = _few(keys.join(known, ["k1", "k2"], "left_anti"))
+        alone = self._alive().join(rest, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        return known.unionByName(alone)
+
+    def _moved(self, before: DataFrame, after: DataFrame) -> tuple[tuple[DataFrame, ...], int]:
+        """The filters with one table more, of the shards in which a key becomes or ceases to be frequent."""
+        old, new = (x.where(F.col("n_docs") >= self.least_docs).select("k1", "k2") for x in (before, after))
+        moves = new.join(old, ["k1", "k2"], "left_anti").withColumn("by", F.lit(1)).union(old.join(new, ["k1", "k2"], "left_anti").withColumn("by", F.lit(-1)))
+        moves = written(moves.select(self._shard(self.shards).alias("shard"), F.lit(None).cast("binary").alias("blob"), "k1", "by"), "moves")
+        if moves.isEmpty():
+            return self.filters, 0
+        held = self._newest(self.filters, ["shard"], _few(moves.select("shard").distinct())).select("shard", "blob", F.lit(None).cast("long").alias("k1"), F.lit(-2).alias("by"))
         dealt = held.union(moves).repartition("shard").sortWithinPartitions("shard", "by")
-        filters = written(dealt.transform(mapped, _moved, "shard long, blob binary"), "filters")
-        full = filters.where("blob is null").select("shard")
-        if not full.isEmpty():
-            again = frequent.withColumn("shard", self._shard(self.shards)).join(full, "shard", "left_semi")
-            filters = written(filters.where("blob is not null").union(self._built(again, self.shards)), "filters")
-        return LineIndex(postings, counts, filters, self.shards, self.least_chars, self.least_docs)
+        return (*self.filters, written(dealt.transform(mapped, _moved, "shard long, blob binary"), "filters")), moves.agg(F.sum("by")).first()[0]
+
+    def _updated(self, postings: tuple[DataFrame, ...], gone: DataFrame | None, before: DataFrame, after: DataFrame) -> LineIndex:
+        after = written(after, "counts")
+        filters, more = self._moved(before, after)
+        out = LineIndex(postings, (*self.counts, after), filters, self.shards, self.least_chars, self.least_docs, gone, self.n_frequent + more)
+        full = len(filters) > len(self.filters) and not filters[-1].where("blob is null").isEmpty()
+        return out.compact() if full or -(-out.n_frequent // SHARD_KEYS) > self.shards else out  # more keys than the shards are made for
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        more = written(line_keys(docs, self.least_chars), "lines")
-        return self._changed(written(self.postings.union(more).distinct(), "lines"), more)
+        """With more documents. A document that is there already gets the lines that it hasn't; rows without a doc_id are left out."""
+        more = written(line_keys(docs, self.least_chars).distinct(), "lines")
+        added = written(more.join(self._of_documents(more.select("doc_id").distinct()), ["k1", "k2", "doc_id"], "left_anti"), "lines")
+        grown = added.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("d"))
+        before = written(self._before(added.select("k1", "k2").distinct()), "before")
+        both = grown.join(before, ["k1", "k2"], "left")
+        after = both.select("k1", "k2", (F.coalesce("n_docs", F.lit(0)) + F.col("n")).alias("n_docs"), F.greatest("last_doc", "d").alias("last_doc")).where("n_docs > 1")
+        return self._updated((*self.postings, added), self.gone, before, after)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """doc_ids: the documents (column doc_id) to forget."""
-        ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        gone = self.postings.join(ids, "doc_id", "left_semi")
-        return self._changed(written(self.postings.join(ids, "doc_id", "left_anti"), "lines"), gone)
+        """doc_ids: the documents (column doc_id) to forget. Where a key's last document goes, the last one left is found among its postings."""
+        ids = written(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "ids")
+        lost = written(self._of_documents(ids), "lost")
+        mark = ids.withColumn("upto", F.lit(len(self.postings)))
+        gone = written(mark if self.gone is None else self.gone.join(ids, "doc_id", "left_anti").unionByName(mark), "gone")
+        left = LineIndex(self.postings, self.counts, self.filters, self.shards, gone=gone)
+        before = written(self._before(lost.select("k1", "k2").distinct()), "before")
+        fewer = before.join(lost.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")), ["k1", "k2"]).withColumn("n_docs", F.col("n_docs") - F.col("n")).drop("n")
+        bare = fewer.join(_few(ids.withColumnRenamed("doc_id", "last_doc")), "last_doc", "left_semi").select("k1", "k2")
+        last = left._alive().join(_few(bare), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("doc_id").alias("d"))
+        after = fewer.join(last, ["k1", "k2"], "left").select("k1", "k2", "n_docs", F.coalesce("d", "last_doc").alias("last_doc"))
+        return self._updated(self.postings, gone, before, after)
+
+    def compact(self) -> LineIndex:
+        """The same state in one table of each kind, without what was deleted, and with filters for as many keys as there are."""
+        keys = written(self._alive().distinct(), "lines")
+        return self._of(keys, False, self.least_chars, self.least_docs)
 
 
 def _moved(batches):

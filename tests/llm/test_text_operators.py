@@ -67,6 +67,60 @@ def test_lines_inserted_beyond_the_first_shards(spark, monkeypatch):
     assert sorted(map(tuple, index.apply(table(spark, data[:3])).drop("kept").collect())) == lines_by_hand(data[:3])
 
 
+def test_lines_updated_again_and_again(spark):
+    """Insertions, deletions and insertions of deleted documents, in any order, give what a new index gives."""
+    import random
+
+    rng = random.Random(8)
+    lines = [prose(500 + i, 6) for i in range(25)]
+    there = {k: "\n".join(rng.sample(lines, 4)) for k in range(12)}
+    frame = lambda d: table(spark, [(k, x, None, None, 0) for k, x in sorted(d.items())])
+    index = LineIndex.build(frame(there))
+    for turn in range(4):
+        gone = rng.sample(sorted(there), 4)
+        index = index.delete(spark.createDataFrame([(k,) for k in [*gone, 999, None]], "doc_id long"))
+        back = {k: there.pop(k) for k in gone}
+        more = {100 * turn + k: "\n".join(rng.sample(lines, 5)) for k in range(20, 23)} | {gone[0]: back[gone[0]], gone[1]: lines[turn]}
+        index = index.insert(frame(more))
+        there |= more
+        if turn == 2:
+            index = index.compact()
+            assert len(index.postings) == len(index.counts) == len(index.filters) == 1 and index.gone is None
+        assert sorted(map(tuple, index.apply(frame(there)).drop("kept").collect())) == lines_by_hand([(k, x) for k, x in there.items()])
+    same = index.insert(frame(there))  # all there already
+    assert sorted(map(tuple, same.apply(frame(there)).drop("kept").collect())) == lines_by_hand([(k, x) for k, x in there.items()])
+    assert index.insert(empty(spark)).apply(frame(there)).count() == len(there)
+
+
+def shuffled_rows(spark, f):
+    """What f gives, and how many rows its stages wrote to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    out = f()
+    return out, total() - before
+
+
+def test_an_update_shuffles_the_touched_keys_only(spark):
+    common = [prose(700 + i, 6) for i in range(3)]
+    data = [(k, "\n".join([*common, *(prose(10_000 + 40 * k + i, 5) for i in range(40))]), None, None, 0) for k in range(500)]
+    index = LineIndex.build(table(spark, data))
+    n = index.postings[0].count()
+    one = table(spark, [(9000, "\n".join([*common, prose(5, 6)]), None, None, 0)])
+    grown, rows = shuffled_rows(spark, lambda: index.insert(one))
+    assert n > 20_000 and rows < 400
+    left, rows = shuffled_rows(spark, lambda: grown.delete(spark.createDataFrame([(9000,)], "doc_id long")))
+    assert rows < 2500  # the postings of three lines whose last document goes
+    counts = {(r["k1"], r["k2"]): (r["n_docs"], r["last_doc"]) for r in LineIndex._newest(left.counts, ["k1", "k2"]).where("n_docs > 1").collect()}
+    assert sorted(counts.values()) == [(500, 499)] * 3
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 20_000)
     f = CuckooFilter.build(keys[:10_000])
