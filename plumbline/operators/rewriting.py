@@ -170,7 +170,7 @@ def rewrite_through(jobs: DataFrame, cache: Cache, config: Config, rewriter: Cal
 
             def commit(bucket: int) -> None:
                 rows = dealt.where(F.col("bucket") == bucket).drop("bucket").repartition(parts)
-                rows = rewritten(rows, config, rewriter, wait, rate and rate / open_commits, keep_errors=True)
+                rows = rewritten(rows, config, rewriter, wait, rate, keep_errors=True)  # all open commits together have as many partitions as can run at once
                 cache.append(rows.select("cache_id", F.col("final_text").alias("text"), "model", "error"))
 
             with ThreadPoolExecutor(open_commits) as pool:
