@@ -27,7 +27,7 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 18
 PART_TOKENS = 1 << 23
 #: Chunks of text that a worker keeps with their ids, unless another number is asked for. Fewer cost time and change no result.
-_CACHED = 500_000
+_CACHED = 800_000
 _JOINED = 400
 #: The normaliser and the pattern of the tokenizer that cut() is made for. Files that differ encode whole texts.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
