@@ -191,12 +191,28 @@ def _table(pairs: DataFrame) -> tuple[np.ndarray, int]:
             h = _spread(ids[::2], ids[1::2], bits)
             yield pa.RecordBatch.from_pydict({"i": h >> 6, "w": (np.uint64(1) << (h & 63).astype(np.uint64)).view(np.int64)})
 
-    words = mapped(pairs.select("ids"), f, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
+    words = mapped(pairs.select("ids"), f, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w"))
     out = np.zeros(bits // 64, np.int64)
-    out[words["i"].to_numpy()] = words["w"].to_numpy()
+    for part in _streamed(words):
+        out[part["i"].to_numpy()] = part["w"].to_numpy()
     return out.view(np.uint64), bits
 
 
+def _streamed(rows: DataFrame):
+    """rows as Arrow batches, a task's at a time: the driver's JVM never holds more of them, where toArrow() holds all."""
+
+    def f(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_pydict({"blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32)
+    for row in written(mapped(rows.repartition(parts), f, "blob binary"), "streamed").toLocalIterator():
+        yield from pa.ipc.open_stream(row["blob"])
+
+
 def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int = 5, shard: int = SHARD, broadcast_bytes: int = KNOWN) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of each phrase of 2 to ``depth`` words that occurs ``least`` times or more in its language and isn't subsumed.
 
@@ -227,6 +243,7 @@ def phrases(docs: DataFrame, least: int = 100, percent: int = 100, depth: int =
             return sent.value[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1) == 1
 
         found = pairs.unionByName(_frequent(coded, 3, depth, least, passes))
+        sent.destroy()
     delete(coded)
     tidy(spark)
     return _scored(found, known, totals, percent)
@@ -245,8 +262,11 @@ def _coded(shards: DataFrame, known: DataFrame, broadcast_bytes: int) -> DataFra
 
     size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
     if size["bytes"] + 16 * size["n"] <= broadcast_bytes:
-        table = known.select("lang", "word", "id").toArrow()
-        sent = spark.sparkContext.broadcast({lang: table.filter(pc.equal(table["lang"], lang)).select(["word", "id"]).combine_chunks() for lang in table["lang"].unique().to_pylist()})
+        parts: dict[str, list[pa.RecordBatch]] = {}
+        for part in _streamed(known.select("lang", "word", "id")):
+            for lang in pc.unique(part["lang"]).to_pylist():
+                parts.setdefault(lang, []).append(part.filter(pc.equal(part["lang"], lang)).select(["word", "id"]))
+        sent = spark.sparkContext.broadcast({lang: pa.Table.from_batches(parts.pop(lang)).combine_chunks() for lang in list(parts)})
 
         def found(batches):
             for b in batches:
@@ -258,9 +278,11 @@ def _coded(shards: DataFrame, known: DataFrame, broadcast_bytes: int) -> DataFra
                         ids[1:][ok] = sent.value[lang]["id"].to_numpy()[at[ok].astype(int)]
                     yield pa.RecordBatch.from_pydict({"codes": pa.array([numbered(codes.as_py(), ids)], pa.binary())})
 
-        return written(mapped(shards.select("lang", "words", "codes"), found, "codes binary"), "codes")
+        out = written(mapped(shards.select("lang", "words", "codes"), found, "codes binary"), "codes")
+        sent.destroy()
+        return out
     each = shards.select("shard", "lang", F.posexplode("words").alias("pos", "word"))
-    maps = each.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("pos", "id")).alias("map"))  # a shard's words at most
+    maps = each.join(_shuffled(known.select("lang", "word", "id")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("pos", "id")).alias("map"))  # a shard's words at most
 
     def joined(batches):
         for b in batches:
@@ -271,7 +293,7 @@ def _coded(shards: DataFrame, known: DataFrame, broadcast_bytes: int) -> DataFra
                 yield pa.RecordBatch.from_pydict({"codes": pa.array([numbered(codes.as_py(), ids)], pa.binary())})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = shards.select("shard", F.size("words").alias("size"), "codes").repartition(n, "shard").join(maps, "shard", "left").drop("shard")
+    both = shards.select("shard", F.size("words").alias("size"), "codes").repartition(n, "shard").join(_shuffled(maps), "shard", "left").drop("shard")
     return written(mapped(both, joined, "codes binary"), "codes")
 
 
@@ -296,28 +318,34 @@ def _frequent(coded: DataFrame, shortest: int, longest: int, least: int, passes=
     return written(rows.select(F.array_remove(F.array(*halves), 0).alias("ids"), "f"), "phrases")
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """For joins with a table of phrases or words: these grow with the input, and Parquet packs them so well that Spark would send ten times the size it expects
+    through the driver."""
+    return side.hint("merge")
+
+
 def _scored(found: DataFrame, known: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
     """Phrases with their lowest cut and text, without subsumed ones."""
     size = F.size("ids")
     longer = found.where(size > 2)
     links = longer.select(F.slice("ids", F.lit(2), size).alias("ids"), "f").unionByName(longer.select(F.slice("ids", F.lit(1), size - 1).alias("ids"), "f"))
-    kept = found.join(links.groupBy("ids").agg(F.max("f").alias("g")), "ids", "left").where(F.col("g").isNull() | (100 * F.col("g") < percent * F.col("f")))
+    kept = found.join(_shuffled(links.groupBy("ids").agg(F.max("f").alias("g"))), "ids", "left").where(F.col("g").isNull() | (100 * F.col("g") < percent * F.col("f")))
     kept = written(kept.select("ids", F.col("f").alias("a")), "kept")
     parts = found.unionByName(known.select(F.array("id").alias("ids"), "f"))
     cut = kept.select("ids", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     cut = cut.select("*", F.slice("ids", F.lit(1), F.col("k")).alias("left"), F.slice("ids", F.col("k") + 1, size).alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
-        cut = cut.join(parts.select(F.col("ids").alias(side), F.col("f").alias(name)), side).drop(side)
-    words = kept.select("ids", F.posexplode("ids").alias("pos", "id")).join(known.select("id", "lang", "word"), "id")
+        cut = cut.join(_shuffled(parts.select(F.col("ids").alias(side), F.col("f").alias(name))), side).drop(side)
+    words = kept.select("ids", F.posexplode("ids").alias("pos", "id")).join(_shuffled(known.select("id", "lang", "word")), "id")
     words = words.groupBy("ids").agg(F.any_value("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
     words = words.select("ids", "lang", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("phrase"))
     few = totals.count() <= _LANGS
     words = words.join(F.broadcast(totals) if few else totals, "lang")
     big = lambda c: F.col(c).cast("decimal(38,0)") if isinstance(c, str) else F.lit(c).cast("decimal(38,0)")
     score = F.call_function("div", big(1000) * big("a") * big("n"), big("l") * big("r"))
-    cut = cut.join(words.select("ids", "n"), "ids").withColumn("score", score)
+    cut = cut.join(_shuffled(words.select("ids", "n")), "ids").withColumn("score", score)
     best = cut.groupBy("ids").agg(F.any_value("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("b"))
-    return best.join(words, "ids").select("lang", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), "n", F.col("b.score").alias("score"))
+    return best.join(_shuffled(words), "ids").select("lang", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), "n", F.col("b.score").alias("score"))
 
 
 def top(found: DataFrame, most: int = 2000, parts: int = 64) -> DataFrame:

@@ -102,6 +102,18 @@ def test_scores_pass_64_bits(spark):
     assert got["score"] == 1000 * big * (9 * big + 11) // ((big + 7) * big)
 
 
+def test_phrases_do_not_pass_the_driver_whole(spark):
+    """Tables that grow with the input are joined by shuffle, however small Spark thinks them; what workers are sent reaches the driver a task at a time."""
+    found = spark.createDataFrame([([1, 2], 200), ([2, 1], 150), ([1, 2, 1], 120)], "ids array<int>, f long")
+    known = spark.createDataFrame([(1, "en", "a", 900), (2, "en", "b", 800)], "id int, lang string, word string, f long")
+    got = collocations._scored(found, known, spark.createDataFrame([("en", 5000)], "lang string, n long"), 100)
+    assert sorted(r["phrase"] for r in got.collect()) == ["a b", "a b a", "b a"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("strategy=merge"), plan.count("strategy=broadcast"), plan.count("Join ")) == (6, 2, 8)  # that with the totals is in the plan twice
+    parts = list(collocations._streamed(spark.range(5000)))
+    assert len(parts) >= 30 and sorted(x for p in parts for x in p["id"].to_pylist()) == list(range(5000))
+
+
 def test_automaton_is_one():
     """States are the classes of equal end positions; a suffix link leads to the longest suffix of another class."""
     rng = np.random.default_rng(3)
