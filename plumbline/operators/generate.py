@@ -53,10 +53,15 @@ def scored(df: DataFrame, rubric: Rubric) -> DataFrame:
     return df.withColumn("risk_score", F.round("_s", 2)).withColumn("tier", tier(F.col("_s"), rubric)).drop("_s")
 
 
+def spread(ids: DataFrame) -> DataFrame:
+    """ids over as many tasks as the session's shuffles have: a number is few bytes but much work, and Spark cuts tables into tasks by bytes."""
+    return ids.select("id").repartition(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def drawn_profiles(ids: DataFrame, rubric: Rubric, seed: int) -> DataFrame:
     """A profile for each row of ids (a number ``id``), with it as ``draw``."""
     i = F.col("id")
-    rows = ids.select("id", F.format_string("p%05d", i).alias("profile_id"), *rubric_draw(rubric, seed, i), *filler_draw(seed, i))
+    rows = spread(ids).select("id", F.format_string("p%05d", i).alias("profile_id"), *rubric_draw(rubric, seed, i), *filler_draw(seed, i))
     return scored(rows, rubric).withColumnRenamed("id", "draw")
 
 

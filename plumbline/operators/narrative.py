@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.rubric import contradictory
-from plumbline.operators.generate import filler_draw, tier_draws
+from plumbline.operators.generate import filler_draw, spread, tier_draws
 from plumbline.sources.config import Config
 
 #: (field, value) -> explicit and implicit phrasings, any of which will do. Implicit ones hold no stem of the lexicon.
@@ -107,7 +107,9 @@ def verbalize(field: str, mode: Column, *key: Column) -> Column:
 
 def narrative(template: Column, mode: Column, *key: Column) -> Column:
     """The opening and nine sentences in the template's order; openings may name a number before the trade, so all are strings."""
-    opening = F.element_at(F.array(*[F.format_string(o, "name", F.col("age").cast("string"), "occupation", "city") for o in OPENINGS]), F.substring(template, 6, 2).cast("int") + 1)
+    number = F.substring(template, 6, 2).cast("int")
+    said = [(number == i, F.format_string(o, "name", F.col("age").cast("string"), "occupation", "city")) for i, o in enumerate(OPENINGS)]
+    opening = reduce(lambda acc, c: F.when(*c) if acc is None else acc.when(*c), said, None)  # only the one that is told is made
     said = F.array(*[verbalize(k, mode, *key) for k in KEYS])
     order = F.element_at(F.array(*[F.array(*map(F.lit, o)) for o in ORDERINGS]), F.substring(template, 9, 1).cast("int") + 1)
     return F.concat_ws(" ", opening, F.array_join(F.transform(order, lambda i: F.get(said, i)), " "))
@@ -127,7 +129,7 @@ def pair_jobs(spark: SparkSession, config: Config, n_pairs: int, mode: str = "im
 def pair_jobs_of(ids: DataFrame, config: Config, mode: str = "implicit") -> DataFrame:
     """A pair for each id: a conservative and an aggressive client who share all filler and the template."""
     side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(t).alias("tier")) for s, t in (("cons", "conservative"), ("aggr", "aggressive"))]))
-    keys = ids.select(F.format_string("pair_%04d", F.col("id")).alias("pair_id"), side.alias("x")).select("pair_id", F.concat_ws("_", "pair_id", "x.side").alias("key"), "x.tier")
+    keys = spread(ids).select(F.format_string("pair_%04d", F.col("id")).alias("pair_id"), side.alias("x")).select("pair_id", F.concat_ws("_", "pair_id", "x.side").alias("key"), "x.tier")
     df = tier_draws(config.rubric, keys, "tier", config.seed)
     df = df.select("*", *filler_draw(config.seed, F.col("pair_id"))).withColumn("profile_id", F.col("key")).withColumn("risk_score", F.round("_s", 2))
     df = df.withColumn("template_id", T.template_id(config.seed, F.col("pair_id"))).withColumn("vignette_type", F.lit(mode)).withColumn("vignette_id", F.concat(F.lit("v_"), "key"))

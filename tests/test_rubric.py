@@ -117,3 +117,12 @@ def test_bands(spark):
 
 def test_score_needs_all_fields(spark):
     assert one(spark, MIDDLE).select(score(SUITABILITY)).first()[0] == pytest.approx(56.33, abs=0.01)
+
+
+def test_few_bytes_of_ids_are_many_tasks(spark):
+    """Drawing and telling a client is much work for few bytes: a table in one part is dealt to as many tasks as shuffles have."""
+    ids = spark.range(0, 1000, 1, 1)
+    assert ids.rdd.getNumPartitions() == 1
+    twins = N.finalized(N.twin_jobs(G.drawn_profiles(ids, SUITABILITY, 3), Config()), Config())
+    sizes = [r["count"] for r in twins.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(sizes) == 2000 and max(sizes) < 700
