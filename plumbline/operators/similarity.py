@@ -14,6 +14,8 @@ from plumbline.sources.stored import written
 
 #: Rows of a common shingle or band that meet in a task, of each of two blocks.
 BLOCK = 2048
+#: Bits of a shingle's hash by which its rareness is counted: a table of 8 MB.
+SLOTS = 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def classes(df: DataFrame, key: str, text: str, n: int = 5) -> tuple[DataFrame,
     sets = written(shingle_sets(df, key, text, n).withColumn("c1", F.xxhash64("s")).withColumn("c2", F.xxhash64(F.lit(1), F.reverse("s"))), "shingles")
     least = sets.groupBy("c1", "c2").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
     own = sets.select(F.col(key).alias("rep"), "c1", "c2", "s").dropDuplicates(["rep", "c1", "c2"])
-    return sets.select(F.col(key).alias("k"), "c1", "c2"), least.join(own, ["c1", "c2", "rep"])
+    return sets.select(F.col(key).alias("k"), "c1", "c2"), written(least.join(own, ["c1", "c2", "rep"]), "classes")  # read several times: sets are shuffled once
 
 
 def _partitions(df: DataFrame) -> int:
@@ -83,8 +85,8 @@ def _marked(reps: DataFrame) -> DataFrame:
     return reps.select("rep", F.size("s").alias("n"), F.array(*[word(i) for i in range(4)]).alias("m"), "s")
 
 
-def met_pairs(rows: DataFrame, on: str, threshold: float, more: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b, of classes (rep, n, m and other columns) that meet under a value of ``on`` and could be at the threshold by their sizes and bitmaps, and by
+def met_pairs(rows: DataFrame, on: str, threshold: float, more: Column | None = None, block: int = BLOCK, marks: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b, of classes (rep, n, m and other columns; m can be given apart, as marks (rep, m), so that only rows that meet carry it) that meet under a value of ``on`` and could be at the threshold by their sizes and bitmaps, and by
     ``more``, a condition on the columns of both, named with _a and _b.
 
     The rows of a value are dealt to blocks, and each pair of blocks is a cell of its own, compared by one task: however many rows a value has, a cell sees
@@ -92,7 +94,10 @@ def met_pairs(rows: DataFrame, on: str, threshold: float, more: Column | None =
     """
     sizes = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     blocks = F.ceil(F.col("_c") / F.lit(block)).cast("int")
-    dealt = rows.join(sizes, on).withColumn("_own", F.pmod(F.xxhash64(F.lit(5), "rep"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.join(sizes, on)
+    if marks is not None:
+        rows = rows.join(marks, "rep")
+    dealt = rows.withColumn("_own", F.pmod(F.xxhash64(F.lit(5), "rep"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumn("_lo", F.least("_own", "_j")).withColumn("_hi", F.greatest("_own", "_j")).drop("_c", "_j")
     cell = [on, "_lo", "_hi"]
     dealt = written(dealt.repartition(_partitions(rows), *cell), "cells")
@@ -107,30 +112,64 @@ def met_pairs(rows: DataFrame, on: str, threshold: float, more: Column | None =
 
 def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs of classes whose whole sets are at the threshold."""
+    pairs = written(pairs, "candidates")  # few as a rule: then Spark knows it, and only the sets that they name are shuffled
+    reps = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
     sa, sb = reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", (F.col("i") / (F.size("sa") + F.size("sb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def _counts(reps: DataFrame) -> np.ndarray:
+    """How many shingles of all sets have each value of their first SLOTS bits: a table of bounded size, whatever the input's."""
+
+    def f(batches):
+        n = np.zeros(1 << SLOTS, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - SLOTS), minlength=1 << SLOTS)
+        i = np.flatnonzero(n)
+        for lo in range(0, len(i), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(i[lo : lo + (1 << 16)].astype(np.int32)), pa.array(n[i[lo : lo + (1 << 16)]])], ["i", "n"])
+
+    got = reps.select("s").mapInArrow(f, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOTS, np.int64)
+    out[got["i"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _prefixes(sent, threshold: float):
+    """(rep, n, p, h): of each set the shingles that a pair at the threshold must share one of, and their places."""
+
+    def f(batches):
+        for b in batches:
+            sets = b.column(1)
+            h, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
+            start = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, sent.value[h.view(np.uint64) >> np.uint64(64 - SLOTS)], row))
+            keep = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            place = np.arange(len(h)) - start[row]
+            got = np.flatnonzero(place < keep[row])
+            for lo in range(0, len(got), 1 << 14):
+                at = got[lo : lo + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(n[row[at]].astype(np.int32)), pa.array(place[at].astype(np.int32)), pa.array(h[order[at]])], ["rep", "n", "p", "h"])
+
+    return f
+
+
 def class_links(reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, jaccard) for pairs of classes (rep, s) at or over the threshold, a < b.
 
-    Prefix filter: each set is put in one order, the rarest shingles first, and only as many of them are joined as a pair at the
+    Prefix filter: each set is put in one order, the rarest shingles first (by how many shingles share 20 bits of their hash, so that a small table says it and
+    no shingle is shuffled for it; any order is right), and only as many of them are joined as a pair at the
     threshold must share one of. A pair is a candidate where such a shingle meets, and only if the lengths, both places (positional filter) and
     the bitmaps of the whole sets leave room for enough in common, so most of the pairs of a common shingle end in the join.
     """
-    freq = reps.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # shingles of one text only come first in its order and join nothing: their number moves the places of the others
-    ranked = reps.select("rep", F.size("s").alias("n"), F.explode("s").alias("h")).join(freq, "h")
-    ordered = ranked.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    alone = F.col("n") - F.size("o")
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1 - alone).cast("int")
-    some = ordered.where(keep > 0).join(_marked(reps).select("rep", "m"), "rep")
-    prefix = some.select("rep", "n", "m", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("p", "x"))
-    prefix = prefix.select("rep", "n", "m", (F.col("alone") + F.col("p")).alias("p"), F.col("x.h").alias("h"))
+    kind = reps.schema["rep"].dataType.simpleString()
+    sent = reps.sparkSession.sparkContext.broadcast(_counts(reps))
+    prefix = reps.select("rep", "s").mapInArrow(_prefixes(sent, threshold), f"rep {kind}, n int, p int, h long")
     enough = (F.col("n_a") + F.col("n_b")) * threshold / (1 + threshold) - 1e-9
     room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))  # from here on; most at the first that both have
-    return verified(met_pairs(prefix, "h", threshold, room >= enough, block), reps, threshold)
+    return verified(met_pairs(prefix, "h", threshold, room >= enough, block, _marked(reps).select("rep", "m")), reps, threshold)
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:

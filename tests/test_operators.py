@@ -333,3 +333,21 @@ def test_banding_and_verified_minhash(spark):
     exact = {r["k"] for r in similarity.duplicated(df, "k", "t").where("is_dup").collect()}
     got = {r["k"] for r in similarity.minhash_duplicated(df, "k", "t").where("is_dup").collect()}
     assert got <= exact and len(got) >= 0.95 * len(exact) and len(exact) > 200
+
+
+def test_sets_are_stored_once_and_ordered_without_a_shuffle(spark, monkeypatch):
+    """What near-duplicates shuffle grows as the input: classes are stored, prefixes and bands are made from them in the row, and bitmaps go with rows that meet only."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    data = [(i, " ".join(rng.choice(words, 30).tolist() + ["a"] * 30)) for i in range(60)]
+    data += [(100 + i, data[i][1].replace("w7 ", "y ")) for i in range(60)]
+    _, reps = similarity.classes(spark.createDataFrame(data, "k int, t string"), "k", "t", 2)
+    assert hasattr(reps, "_written")
+    reps = reps.select("rep", "s").cache()
+    seen, original = [], similarity.met_pairs
+    monkeypatch.setattr(similarity, "met_pairs", lambda rows, *a, **k: seen.append(rows) or original(rows, *a, **k))
+    exact = {(r["a"], r["b"]) for r in similarity.class_links(reps, 0.5).collect()}
+    assert all("Exchange" not in rows._jdf.queryExecution().executedPlan().toString() and "m" not in rows.columns for rows in seen) and len(seen) == 1
+    sets = {r["rep"]: set(r["s"]) for r in reps.collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    assert exact == want and len(want) > 20
