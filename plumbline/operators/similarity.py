@@ -66,10 +66,11 @@ def shingle_sets(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
 def classes(df: DataFrame, key: str, text: str, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Texts of equal sets as one class, told apart by 128 bits of the set: (key, c1, c2) of each row, and (c1, c2, rep, copies, s) of
     each class, rep being its smallest key."""
-    sets = written(shingle_sets(df, key, text, n).withColumn("c1", F.xxhash64("s")).withColumn("c2", F.xxhash64(F.lit(1), F.reverse("s"))), "shingles")
-    least = sets.groupBy("c1", "c2").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sets = shingle_sets(df, key, text, n).withColumn("c1", F.xxhash64("s")).withColumn("c2", F.xxhash64(F.lit(1), F.reverse("s")))
+    rows = written(sets.select(F.col(key).alias("k"), "c1", "c2"), "shingles")  # without the sets, which are made again rather than written twice
+    least = rows.groupBy("c1", "c2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies"))
     own = sets.select(F.col(key).alias("rep"), "c1", "c2", "s").dropDuplicates(["rep", "c1", "c2"])
-    return sets.select(F.col(key).alias("k"), "c1", "c2"), written(least.join(own, ["c1", "c2", "rep"]), "classes")  # read several times: sets are shuffled once
+    return rows, written(least.join(own, ["c1", "c2", "rep"]), "classes")  # read several times: sets are shuffled once
 
 
 def _partitions(df: DataFrame) -> int:
@@ -237,10 +238,9 @@ def minhash_links(reps: DataFrame, threshold: float, permutations: int = 128, mi
     """(a, b, jaccard) of classes (rep, s) that share a band of MinHash values and are at the threshold by their whole sets. Signatures are made within
     the row, so only bands are shuffled."""
     bands, rows = banding(threshold, permutations, misses)
-    marked = _marked(reps)
     kind = reps.schema["rep"].dataType.simpleString()
-    signed = marked.select("rep", "s", "n", "m").mapInArrow(_bands(bands, rows), f"rep {kind}, bands array<long>, n int, m array<long>")
-    return verified(met_pairs(signed.select("rep", "n", "m", F.explode("bands").alias("band")), "band", threshold, block=block), reps, threshold)
+    signed = reps.select("rep", "s", F.size("s").alias("n")).mapInArrow(_bands(bands, rows), f"rep {kind}, bands array<long>, n int")
+    return verified(met_pairs(signed.select("rep", "n", F.explode("bands").alias("band")), "band", threshold, block=block, marks=_marked(reps).select("rep", "m")), reps, threshold)
 
 
 def minhash_duplicated(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5, permutations: int = 128, misses: float = 0.9999) -> DataFrame:
