@@ -393,6 +393,42 @@ def test_passages_of_lines_that_stand_together(spark):
     assert [(r["doc_id"], r["class_id"], r["passages"]) for r in sorted(got)] == [(50, 50, [(40, 100)]), (60, 50, [(40, 100)])]
 
 
+@pytest.mark.parametrize("holders", [2, 20])
+def test_fuzzy_passages_of_seeds_that_others_hold_first(spark, holders):
+    """All seeds of a passage stand in other documents before and between the two that share it, ten words in each."""
+    w = prose(71, 60).split()
+    other = [f"changed{k}" if k % 10 == 9 else x for k, x in enumerate(w)]
+    pieces = [" ".join(w[k : k + 10]) for k in range(0, 51, 5)]
+    data = [(at + 20 * k + n, f"{prose(1000 + at + 20 * k + n, 40)} {piece} {prose(9000 + at + 20 * k + n, 40)}", None, None, 0) for at in (0, 1000) for k, piece in enumerate(pieces) for n in range(holders)]
+    data += [(k, f"{prose(300 + k, 70)} {' '.join(x)} {prose(600 + k, 70)}", None, None, 0) for k, x in ((900, w), (2000, other))]
+    got = {r["doc_id"]: r for r in passages.documents_with_passages(table(spark, data).coalesce(1).sortWithinPartitions("doc_id")).collect()}
+    assert set(got) == {900, 2000} and {r["class_id"] for r in got.values()} == {900}
+    assert all(s <= 75 and e >= 125 for r in got.values() for s, e in r["passages"])
+
+
+@pytest.mark.parametrize("block", [3, 4, 1000])
+def test_holders_meet_each_with_each(monkeypatch, block):
+    """Whether in one task or block by block, but for those that passages of one class cover."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    h, d = np.repeat(np.array([5, 9, 12], np.uint64), [60, 40, 40]), np.concatenate([rng.integers(0, 30, 60), np.arange(40), np.arange(40)])
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    p, n = np.arange(len(h)) * 50, np.full(len(h), 17)
+    covered = d % 3 == 0
+    entry = (d, 2 * p + covered, n, np.where(covered, d // 10 - d, 0))
+    batch = pa.RecordBatch.from_pydict({"part": [k for k, _ in passages._dealt_entries(1, h, *entry)], "blob": [v for _, v in passages._dealt_entries(1, h, *entry)]})
+    out = list(passages._paired(1)([batch]))
+    more = [pa.RecordBatch.from_pylist([r], schema=b.schema) for b in out for r in b.to_pylist() if r["other"] is not None]
+    blobs = [r["blob"] for b in [*out, *passages._crossed(1)(more)] for r in b.to_pylist() if r.get("other") is None]
+    got = {(x, y) for v in blobs for x, y in zip(*(c.tolist() for c in passages._unpack(v, 5, False)[:2]))}
+    sets = [sorted(set(d[h == k].tolist())) for k in (5, 9, 12)]
+    assert got == {(x, y) for one in sets for x in one for y in one if x < y and not (x % 3 == 0 == y % 3 and x // 10 == y // 10)}
+    assert bool(more) == (block < 1000)
+
+
 @pytest.mark.parametrize("n,changed", [(60, 3), (60, 6), (60, 8), (100, 10), (100, 15), (100, 20)])
 def test_fuzzy_passages_are_chained(n, changed):
     rng, got = np.random.default_rng(n + changed), 0
