@@ -429,6 +429,53 @@ def test_holders_meet_each_with_each(monkeypatch, block):
     assert bool(more) == (block < 1000)
 
 
+def test_holders_of_a_common_line_meet_near_it_only(spark, monkeypatch):
+    """Holders of a line that stands in many documents make no pairs by it alone, and the passages about it are found all the same, whichever words
+    are changed, left out and put in."""
+    line, w = prose(91, 14), prose(92, 60).split()
+    one = [*w[:15], *line.split(), *w[15:]]
+    other = [x if k % 7 != 3 or 12 < k < 31 else f"changed{k}" for k, x in enumerate(one) if k != 8]
+    data = [(k, f"{prose(1000 + k, 70)} {line} {prose(2000 + k, 70)}", None, None, 0) for k in range(1, 60)]
+    data += [(k, f"{prose(300 + k, 70)} {' '.join(x)} {prose(600 + k, 70)}", None, None, 0) for k, x in ((900, one), (990, other))]
+    df = table(spark, data)
+    made = []
+    verified = passages._verified
+    monkeypatch.setattr(passages, "_verified", lambda base, found, *more: made.append(found.count()) or verified(base, found, *more))
+    got = []
+    for block in (1024, 8):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got.append(sorted(passages.documents_with_passages(df).collect()))
+    assert got[0] == got[1] and [r["doc_id"] for r in got[0]] == [900, 990] and {r["class_id"] for r in got[0]} == {900}
+    assert max(made[1], made[3]) <= 10  # of 1,830 pairs
+
+
+def test_words_said_over_and_over_meet_in_few_places():
+    """Of a pair of seeds that one document holds 5,000 times in a row, and another once, one in 16 words and both ends meet."""
+    d, p = np.array([1] * 5000 + [2]), np.array([2 * k for k in range(5000)] + [14])
+    entry = (d, p, np.full(5001, 7), np.zeros(5001, np.int64))
+    a, b, p, q, n = passages._met_segments(entry, np.array([0, 5000]), np.array([5000, 1]), np.array([0]), np.array([1]))
+    assert len(a) <= 2 * 5000 // 16 + 8 and {0, 4999} <= set(p.tolist()) and np.diff(np.unique(p - q)).max() <= 17
+
+
+def test_bytes_of_words_refuse_no_passage():
+    rng = np.random.default_rng(5)
+    wide, said = passages.SHORT + 2 * passages.REACH, []
+    for trial in range(300):
+        x, y = rng.integers(1, 255, (2, wide)).astype(np.uint8)
+        n, lead = int(rng.integers(50, 110)), int(rng.integers(0, 60))
+        part = x[lead : lead + n].copy()
+        part[rng.choice(n, int(rng.integers(0, n // 4)), replace=False)] = 0
+        part = np.delete(part, rng.choice(n, int(rng.integers(0, 8)), replace=False))
+        y[lead : lead + len(part)] = np.where(part == 0, rng.integers(1, 255, len(part)), part)
+        i, j = passages.matched(x, y, -passages.SLACK, passages.SLACK)
+        if passages.stretches(i, j, 50, 0.8):
+            said.append(all(passages.can_hold(s[None], t[None], np.zeros(1, np.int64), np.zeros(1, np.int64), 50, 0.8)[0] for s, t in ((x, y), (y, x))))
+    assert len(said) > 100 and all(said)
+    x, y = rng.integers(1, 255, (2, 100, wide)).astype(np.uint8)
+    y[:, 60:74] = x[:, 60:74]
+    assert not passages.can_hold(x, y, np.zeros(100, np.int64), np.zeros(100, np.int64), 50, 0.8).any()
+
+
 @pytest.mark.parametrize("n,changed", [(60, 3), (60, 6), (60, 8), (100, 10), (100, 15), (100, 20)])
 def test_fuzzy_passages_are_chained(n, changed):
     rng, got = np.random.default_rng(n + changed), 0
