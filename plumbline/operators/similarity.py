@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.sources.package import ship
-from plumbline.sources.stored import written
+from plumbline.sources.stored import scratch, tidy, written
 
 
 #: Rows of a common shingle or band that meet in a task, of each of two blocks.
 BLOCK = 2048
 #: Bits of a shingle's hash by which its rareness is counted: a table of 8 MB.
 SLOTS = 20
+#: Keys of classes that meet in one round, and the most rounds: each round leaves the disk before the next.
+KEYS, ROUNDS = 1 << 22, 8
+#: Pairs of classes whose sets are made and compared in one round, the rows for each of its pairs, and the most rounds.
+PAIRS, SPARE, CHECKS = 1 << 18, 6, 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -93,15 +97,15 @@ def met_pairs(rows: DataFrame, on: str, threshold: float, more: Column | None =
     The rows of a value are dealt to blocks, and each pair of blocks is a cell of its own, compared by one task: however many rows a value has, a cell sees
     2 * block of them about, and no pair is left out. All conditions hold within the join, before a row leaves it.
     """
-    sizes = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     blocks = F.ceil(F.col("_c") / F.lit(block)).cast("int")
+    sizes = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     rows = rows.join(sizes, on)
     if marks is not None:
         rows = rows.join(marks, "rep")
     dealt = rows.withColumn("_own", F.pmod(F.xxhash64(F.lit(5), "rep"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumn("_lo", F.least("_own", "_j")).withColumn("_hi", F.greatest("_own", "_j")).drop("_c", "_j")
     cell = [on, "_lo", "_hi"]
-    dealt = written(dealt.repartition(_partitions(rows), *cell), "cells")
+    dealt = written(dealt, "cells")
     sides = [dealt.select(*cell, *[F.col(c).alias(f"{c}_{side}") for c in dealt.columns if c not in cell]).repartition(_partitions(rows), *cell) for side in "ab"]
     na, nb = F.col("n_a"), F.col("n_b")
     apart = sum((F.bit_count(F.get("m_a", F.lit(i)).bitwiseXOR(F.get("m_b", F.lit(i)))) for i in range(4)), F.lit(0))
@@ -138,25 +142,116 @@ def _counts(reps: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sent, threshold: float):
-    """(rep, n, p, h): of each set the shingles that a pair at the threshold must share one of, and their places."""
+    """Of each set the shingles that a pair at the threshold must share one of, the rarest first, and how many."""
+
+    def f(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((h.view(np.int64), sent.value[h >> np.uint64(64 - SLOTS)], row))
+        keep = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        return h[order[place < keep[row]]], keep
+
+    return f
+
+
+def _signed(keys):
+    """(key, s) to (key, c1, c2, n, m, w, keys): 128 bits that tell the set from others, its size, its bitmap as _marked() makes it, a bitmap of two to four
+    bits a member, and the keys by which it meets others."""
+
+    def lists(flat: np.ndarray, many: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(flat.view(np.int64)))
 
     def f(batches):
         for b in batches:
-            sets = b.column(1)
-            h, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
-            start = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, sent.value[h.view(np.uint64) >> np.uint64(64 - SLOTS)], row))
-            keep = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
-            place = np.arange(len(h)) - start[row]
-            got = np.flatnonzero(place < keep[row])
+            if not b.num_rows:
+                continue
+            h, n = b.column(1).flatten().to_numpy().view(np.uint64), b.column(1).value_lengths().to_numpy().astype(np.int64)
+            start = np.cumsum(n) - n  # no set is empty
+            told = [np.add.reduceat(_mixed(_mixed(h ^ np.uint64(x)) + np.uint64(x)), start).view(np.int64) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+            bit, word = np.uint64(1) << (h & np.uint64(63)), h >> np.uint64(6) & np.uint64(3)
+            marks = np.stack([np.bitwise_xor.reduceat(np.where(word == np.uint64(i), bit, np.uint64(0)), start) for i in range(4)], axis=1)
+            words = 1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)
+            ends = np.cumsum(words)
+            wide = np.zeros(int(ends[-1]), np.uint64)
+            np.bitwise_xor.at(wide, np.repeat(ends - words, n) + ((h >> np.uint64(6)).astype(np.int64) & np.repeat(words - 1, n)), bit)
+            held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int32)), pa.py_buffer(wide)])
+            columns = [b.column(0), *map(pa.array, told), pa.array(n.astype(np.int32)), lists(marks.ravel(), np.full(len(n), 4)), held, lists(*keys(h, n))]
+            yield pa.RecordBatch.from_arrays(columns, [b.schema.names[0], "c1", "c2", "n", "m", "w", "keys"])
+
+    return f
+
+
+def _entries(round_: int, rounds: int):
+    """(rep, n, keys) to (rep, n, p, h): those keys, with their places, that meet in a round."""
+
+    def f(batches):
+        for b in batches:
+            keys = b.column(2)
+            h, many = keys.flatten().to_numpy(), keys.value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(many)), many)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
+            got = np.flatnonzero(_mixed(h.view(np.uint64)) % np.uint64(rounds) == np.uint64(round_))
             for lo in range(0, len(got), 1 << 14):
                 at = got[lo : lo + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(n[row[at]].astype(np.int32)), pa.array(place[at].astype(np.int32)), pa.array(h[order[at]])], ["rep", "n", "p", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), b.column(1).take(pa.array(row[at])), pa.array(place[at].astype(np.int32)), pa.array(h[at])], ["rep", "n", "p", "h"])
+
+    return f
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer one folded to the other's length: the sets differ by as many members at least."""
+    one, two, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), [len(x), len(y)]
+    while size[0] != size[1]:
+        if size[0] < size[1]:
+            one, two, size = two, one, size[::-1]
+        size[0] //= 2
+        one = (one >> 8 * size[0]) ^ (one & ((1 << 8 * size[0]) - 1))
+    return (one ^ two).bit_count()
+
+
+def _near(threshold: float):
+    """(a, b, na, wa, nb, wb) to the pairs that could be at the threshold by their long bitmaps."""
+
+    def f(batches):
+        for b in batches:
+            na, wa, nb, wb = (b.column(i).to_pylist() for i in range(2, 6))
+            ok = [(p + q - _apart(x, y)) / 2 >= (p + q) * threshold / (1 + threshold) - 1e-9 for p, x, q, y in zip(na, wa, nb, wb, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return f
 
 
+def _nearer(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes (rep, n, w) but for those whose long bitmaps differ too much: 256 bits say little of sets of many hundreds."""
+    kind = signed.schema["rep"].dataType.simpleString()
+    pairs = written(pairs, "pairs")  # Spark knows how many there are: bitmaps of others are not shuffled
+    some = signed.select("rep", "n", "w").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+    both = pairs.join(some.toDF("a", "na", "wa"), "a").join(some.toDF("b", "nb", "wb"), "b")
+    return both.select("a", "b", "na", "wa", "nb", "wb").mapInArrow(_near(threshold), f"a {kind}, b {kind}")
+
+
+def _met(signed: DataFrame, threshold: float, more: Column | None, block: int = BLOCK, round_: int = 0, rounds: int = 1) -> DataFrame:
+    """met_pairs() of the keys of classes (rep, n, m, keys), or of a round's."""
+    kind = signed.schema["rep"].dataType.simpleString()
+    rows = signed.select("rep", "n", "keys").mapInArrow(_entries(round_, rounds), f"rep {kind}, n int, p int, h long")
+    return met_pairs(rows, "h", threshold, more, block, signed.select("rep", "m"))
+
+
+def _with_keys(sets: DataFrame, keys) -> DataFrame:
+    key, kind = sets.columns[0], sets.schema[0].dataType.simpleString()
+    return sets.mapInArrow(_signed(keys), f"`{key}` {kind}, c1 long, c2 long, n int, m array<long>, w binary, keys array<long>")
+
+
+def _by_prefix(sets: DataFrame, threshold: float):
+    return _prefixes(sets.sparkSession.sparkContext.broadcast(_counts(sets)), threshold)
+
+
+def _room(threshold: float) -> Column:
+    """Positional filter of two places of one shingle in their prefixes."""
+    enough = (F.col("n_a") + F.col("n_b")) * threshold / (1 + threshold) - 1e-9
+    return F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= enough  # from here on; most at the first that both have
+
+
 def class_links(reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, jaccard) for pairs of classes (rep, s) at or over the threshold, a < b.
 
@@ -165,12 +260,8 @@ def class_links(reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFr
     threshold must share one of. A pair is a candidate where such a shingle meets, and only if the lengths, both places (positional filter) and
     the bitmaps of the whole sets leave room for enough in common, so most of the pairs of a common shingle end in the join.
     """
-    kind = reps.schema["rep"].dataType.simpleString()
-    sent = reps.sparkSession.sparkContext.broadcast(_counts(reps))
-    prefix = reps.select("rep", "s").mapInArrow(_prefixes(sent, threshold), f"rep {kind}, n int, p int, h long")
-    enough = (F.col("n_a") + F.col("n_b")) * threshold / (1 + threshold) - 1e-9
-    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))  # from here on; most at the first that both have
-    return verified(met_pairs(prefix, "h", threshold, room >= enough, block, _marked(reps).select("rep", "m")), reps, threshold)
+    signed = written(_with_keys(reps.select("rep", "s"), _by_prefix(reps, threshold)), "signed")
+    return verified(_met(signed, threshold, _room(threshold), block), reps, threshold)
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
@@ -184,18 +275,83 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, n:
     return out.union(copies).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
-def _flagged(df: DataFrame, key: str, text: str, n: int, links) -> DataFrame:
-    """(key, is_dup) by class: one of several copies, or one that ``links`` (of the classes' rep and s) links."""
-    rows, reps = classes(df, key, text, n)
-    linked = links(reps.select("rep", "s")).select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+def _checked(pairs: DataFrame, df: DataFrame, key: str, text: str, threshold: float, n: int, told: DataFrame, rows: int) -> DataFrame:
+    """The pairs (a, b) of classes at the threshold by their whole sets, which are made anew from the texts, in rounds: what a round shuffles is bounded by its pairs.
+    told: (rep, c1, c2) of all classes; rows: how many rows there are."""
+    spark, total = df.sparkSession, pairs.count()
+    rounds = min(max(-(-total // PAIRS), -(-total * SPARE // max(rows, 1)), 1), CHECKS)
+    few = F.broadcast if total <= 2 * PAIRS * rounds else lambda t: t
+    out = []
+    for r in range(rounds):
+        with scratch(spark) as keep:
+            some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == r)
+            ids = written(told.join(some.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep"), "ids")
+            texts = df.join(few(ids.select(F.col("rep").alias(key)).distinct()), key, "left_semi")
+            sets = _with_sets(shingle_sets(texts, key, text, n)).withColumnRenamed(key, "rep").join(few(ids), ["rep", "c1", "c2"], "left_semi")
+            sides = [sets.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")).join(few(some), c) for c in "ab"]
+            both = sides[0].join(sides[1], ["a", "b"]).withColumn("i", F.size(F.array_intersect("sa", "sb")))
+            alike = F.col("i") / (F.size("sa") + F.size("sb") - F.col("i")) >= threshold
+            out.append(keep(both.where(alike).select("a", "b").distinct(), "alike"))
+        del some, ids, texts, sets, sides, both
+        tidy(spark)
+    return _union(out)
+
+
+def _with_sets(sets: DataFrame) -> DataFrame:
+    """(key, s) to (key, c1, c2, s), told apart as _signed() does."""
+    none = lambda h, n: (h, n)
+    return _with_keys(sets, none).select(sets.columns[0], "c1", "c2", F.col("keys").alias("s"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _linked(pairs: DataFrame, *of) -> DataFrame:
+    """(rep): the classes that a pair at the threshold holds. A class needs one such pair: one of each is checked, and then those of which a side is without."""
+    pairs = written(pairs, "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "a", "b")
+    one = written(ends.groupBy("rep").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("x")).select("x.*").distinct(), "one")
+    reps = lambda found: found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    linked = written(reps(_checked(one, *of)), "linked")
+    both = pairs.join(linked.toDF("a").withColumn("x", F.lit(1)), "a", "left").join(linked.toDF("b").withColumn("y", F.lit(1)), "b", "left")
+    left = both.where("x is null or y is null").select("a", "b").join(one, ["a", "b"], "left_anti")
+    return linked.union(reps(_checked(written(left, "left"), *of))).distinct()
+
+
+def _flagged(df: DataFrame, key: str, text: str, n: int, threshold: float, keys_of, more: Column | None) -> DataFrame:
+    """(key, is_dup) by class: one of several copies, or one that is linked with another that shares one of the keys by ``keys_of`` (of rows' sets).
+
+    Whole sets are neither stored nor shuffled, but for those of candidates: rows are stored with their keys, classes with the keys of one row, and keys meet in rounds.
+    """
+    spark = df.sparkSession
+    sets = shingle_sets(df, key, text, n)
+    keys = keys_of(sets)
+    tidy(spark)
+    rows = written(_with_keys(sets, keys).withColumnRenamed(key, "k"), "signed")
+    one = F.min_by(F.struct("n", "m", "w", "keys"), "k").alias("x")
+    reps = written(rows.groupBy("c1", "c2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies"), one).select("c1", "c2", "rep", "copies", "x.*"), "classes")
+    tidy(spark)
+    known = reps.where("rep is not null")
+    total = reps.agg(F.sum("copies").alias("rows"), F.sum(F.size("keys")).alias("keys")).first()
+    rounds = min(max(-(-(total["keys"] or 0) // KEYS), 1), ROUNDS)
+    met = []
+    for r in range(rounds):
+        with scratch(spark) as keep:
+            met.append(keep(_nearer(_met(known, threshold, more, round_=r, rounds=rounds), known, threshold), "met"))
+        tidy(spark)
+    linked = _linked(_union(met).distinct(), df, key, text, threshold, n, known.select("rep", "c1", "c2"), total["rows"] or 0).withColumn("linked", F.lit(True))
     flags = reps.select("c1", "c2", "rep", "copies").join(linked, "rep", "left").where((F.col("copies") > 1) | F.col("linked")).select("c1", "c2", F.lit(True).alias("is_dup"))
-    return rows.join(flags, ["c1", "c2"], "left").select(F.col("k").alias(key), F.coalesce("is_dup", F.lit(False)).alias("is_dup"))
+    return rows.select("k", "c1", "c2").join(flags, ["c1", "c2"], "left").select(F.col("k").alias(key), F.coalesce("is_dup", F.lit(False)).alias("is_dup"))
 
 
 def duplicated(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5) -> DataFrame:
     """(key, is_dup) for each row: whether another text is at least so similar. Rows are flagged by their class: one of several
     copies, or one that is linked; copies make no pairs."""
-    return _flagged(df, key, text, n, lambda reps: class_links(reps, threshold))
+    return _flagged(df, key, text, n, threshold, lambda sets: _by_prefix(sets, threshold), _room(threshold))
 
 
 def _bands(bands: int, rows: int):
@@ -203,19 +359,17 @@ def _bands(bands: int, rows: int):
     xor = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
     mul = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def f(batches):
-        for b in batches:
-            out = []
-            for s in b.column(1):
-                h = s.values.to_numpy().view(np.uint64)
-                low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), 4096):
-                    low = np.minimum(low, ((h[None, at : at + 4096] ^ xor[:, None]) * mul[:, None]).min(axis=1))
-                band = np.arange(bands, dtype=np.uint64)
-                for part in low.reshape(bands, rows).T:
-                    band = _mixed(band * np.uint64(3) + part)
-                out.append(band.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64())), *b.columns[2:]], [b.schema.names[0], "bands", *b.schema.names[2:]])
+    def f(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty((len(n), bands), np.uint64)
+        for k, end in enumerate(np.cumsum(n).tolist()):
+            low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+            for at in range(end - int(n[k]), end, 4096):
+                low = np.minimum(low, ((h[None, at : min(at + 4096, end)] ^ xor[:, None]) * mul[:, None]).min(axis=1))
+            band = np.arange(bands, dtype=np.uint64)
+            for part in low.reshape(bands, rows).T:
+                band = _mixed(band * np.uint64(3) + part)
+            out[k] = band
+        return out.ravel(), np.full(len(n), bands)
 
     return f
 
@@ -237,12 +391,10 @@ def banding(threshold: float, permutations: int = 128, misses: float = 0.9999, s
 def minhash_links(reps: DataFrame, threshold: float, permutations: int = 128, misses: float = 0.9999, block: int = BLOCK) -> DataFrame:
     """(a, b, jaccard) of classes (rep, s) that share a band of MinHash values and are at the threshold by their whole sets. Signatures are made within
     the row, so only bands are shuffled."""
-    bands, rows = banding(threshold, permutations, misses)
-    kind = reps.schema["rep"].dataType.simpleString()
-    signed = reps.select("rep", "s", F.size("s").alias("n")).mapInArrow(_bands(bands, rows), f"rep {kind}, bands array<long>, n int")
-    return verified(met_pairs(signed.select("rep", "n", F.explode("bands").alias("band")), "band", threshold, block=block, marks=_marked(reps).select("rep", "m")), reps, threshold)
+    signed = written(_with_keys(reps.select("rep", "s"), _bands(*banding(threshold, permutations, misses))), "signed")
+    return verified(_met(signed, threshold, None, block), reps, threshold)
 
 
 def minhash_duplicated(df: DataFrame, key: str, text: str, threshold: float = 0.7, n: int = 5, permutations: int = 128, misses: float = 0.9999) -> DataFrame:
     """(key, is_dup) as duplicated() gives it, but for pairs that share no band: banding() says how few."""
-    return _flagged(df, key, text, n, lambda reps: minhash_links(reps, threshold, permutations, misses))
+    return _flagged(df, key, text, n, threshold, lambda sets: _bands(*banding(threshold, permutations, misses)), None)

@@ -352,3 +352,42 @@ def test_sets_are_stored_once_and_ordered_without_a_shuffle(spark, monkeypatch):
     sets = {r["rep"]: set(r["s"]) for r in reps.collect()}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
     assert exact == want and len(want) > 20 and banded <= want
+
+
+def test_whole_sets_are_not_stored_and_keys_meet_in_rounds(spark, monkeypatch):
+    """What is on disk at once is bounded by rounds: no table holds whole sets, keys meet some at a time, and sets are compared for some pairs at a time."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(80):
+        base = rng.choice(words, 60 if i % 8 else 900).tolist()
+        data.append((4 * i, " ".join(base)))
+        for k in range(1, 4):
+            for at in rng.integers(0, len(base), 1 + 2 * (i % 4)):
+                base[int(at)] = f"x{i % 5}"
+            data.append((4 * i + k, " ".join(base)))
+    data += [(1000, data[0][1]), (1000, data[0][1]), (1001, None), (1002, ""), (None, data[4][1])]
+    sets = {k: {tuple(t.split()[i : i + 2]) for i in range(max(1, len(t.split()) - 1))} for k, t in data if k is not None and k < 1000}
+    want = {k for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b]) for k in (a, b)} | {0, 4, 1000, 1001, 1002}
+    tables, original = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name, *by: tables.append((name, df.columns)) or original(df, name, *by))
+    for name, value in (("KEYS", 2000), ("ROUNDS", 3), ("PAIRS", 10), ("SPARE", 0), ("CHECKS", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    df = spark.createDataFrame(data, "k int, t string")
+    got = similarity.duplicated(df, "k", "t", 0.9, 2)
+    assert {r["k"] for r in got.where("is_dup").collect()} - {None} == want and got.count() == len(data)
+    assert 60 < len(want) < 300 and all("s" not in columns for _, columns in tables)
+    assert [name for name, _ in tables].count("cells") == 3 and [name for name, _ in tables].count("ids") > 2
+
+
+def test_long_bitmaps_never_say_more_than_the_sets():
+    """Of any two sizes: bitmaps of different lengths are folded to one; of long sets they tell most of what differs."""
+    rng = np.random.default_rng(3)
+    draw = lambda k: rng.integers(-(1 << 63), 1 << 63, k)
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (40, 30, 20), (900, 700, 500), (5000, 90, 60), (3000, 2600, 1500)):
+        common = draw(both)
+        held = [np.sort(np.concatenate([common, draw(k - both)])) for k in (n, m)]
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(held, pa.list_(pa.int64()))], ["k", "s"])
+        out = next(similarity._signed(lambda h, k: (h, k))([batch]))
+        apart = similarity._apart(*out.column("w").to_pylist())
+        assert apart <= n + m - 2 * both and (min(n, m) < 600 or apart > 0.5 * (n + m - 2 * both))
