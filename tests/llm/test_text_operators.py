@@ -608,3 +608,19 @@ def test_ranges_are_merged(spark):
                 runs.append([s, e])
         want |= {(d, s, e) for s, e in runs}
     assert got == want
+
+
+def test_alignments_that_hold_no_passage_end_early():
+    """Where too few words of every long stretch stand in the other text nothing is aligned; what is found stays the same."""
+    rng = np.random.default_rng(1)
+    found = ended = 0
+    for t in range(300):
+        y = rng.integers(0, 30 if t % 2 else 3000, 170).astype(np.uint32)
+        x = y.copy()
+        x[rng.integers(0, 170, int(rng.integers(0, 120)))] = 7
+        x = np.delete(x, rng.integers(0, 170, 4 * (t % 3)))
+        whole, early = passages.matched(x, y, -8, 8, 40), passages.matched(x, y, -8, 8, 40, 0.8)
+        assert passages.stretches(*early, 50, 0.8) == passages.stretches(*whole, 50, 0.8)
+        found += bool(passages.stretches(*whole, 50, 0.8))
+        ended += len(whole[0]) > 0 and not len(early[0])
+    assert found > 50 and ended > 20
